@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +25,13 @@ def make_session(master: str = "local[8]", partitions: int = 8, memory: str = "8
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def share_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver did, where they share its file system."""
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(":")
+    if root not in paths:
+        environment["PYTHONPATH"] = ":".join(filter(None, [*paths, root]))
+    return spark
