@@ -57,8 +57,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``; for files their size on disk."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def hash_bits(key: Column, salt: str = "", digits: int = 15) -> Column:

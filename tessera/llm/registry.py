@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import native_queries, text_queries
+from tessera.llm import native_queries, repeat_queries, text_queries
 
-_MODULES = (native_queries, text_queries)
+_MODULES = (native_queries, repeat_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
