@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import hash_bits_sql
 from tessera.llm.decontaminate import find_contained
+from tessera.llm.fingerprints import compare_edits, digits, likeness
 from tessera.llm.mixing import plan_mix
 from tessera.llm.sharding import BITS, assign_shards
 
@@ -23,6 +24,20 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and its edit, with their likeness and that to the next document."""
+    found = compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        digits(F.col("tuples")).alias("fingerprint"),
+        digits(F.col("edited_tuples")).alias("edited_fingerprint"),
+        likeness(F.col("tuples"), F.col("edited_tuples")).alias("near_edited"),
+        likeness(F.col("tuples"), F.col("next_tuples")).alias("near_next"),
+    )
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     planned = plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -35,7 +50,7 @@ def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "shard_id", "shard_bits")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_mix_sources": op5_mix_sources, "op10_extendible_sharding": op10_extendible_sharding}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_order_minhash": op2_order_minhash, "op5_mix_sources": op5_mix_sources, "op10_extendible_sharding": op10_extendible_sharding}
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '')"
 
