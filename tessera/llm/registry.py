@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import native_queries, repeat_queries, text_queries
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _MODULES = (native_queries, repeat_queries, text_queries)
 
 
@@ -15,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict = {}
     for module in _MODULES:
         found.update(module.QUERIES)
+    found["pipeline"] = _pipeline
     return found
 
 

@@ -1,10 +1,11 @@
-"""Queries that remove repeated passages."""
+"""Queries about repeated passages and near duplicates."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.jaccard_join import near_duplicates
 from tessera.llm.native_queries import table
 from tessera.llm.substring_dedup import remove_repeated_passages
 from tessera.llm.suffix_dedup import remove_repeats
@@ -26,5 +27,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", *_removed("kept"))
 
 
-QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op6_substring_dedup": op6_substring_dedup}
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near duplicates of each document."""
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op8_jaccard_join": op8_jaccard_join, "op3_suffix_dedup": op3_suffix_dedup, "op6_substring_dedup": op6_substring_dedup}
 ORACLES: dict[str, str] = {}

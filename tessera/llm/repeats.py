@@ -219,6 +219,20 @@ def distinct_anchors(seq: Sequences, width: int, k: int) -> tuple[np.ndarray, ..
     return hashes, first, last, distinct, inverse, counts
 
 
+def common_entries(bucket: int, blobs: pd.DataFrame, kind: int) -> pd.DataFrame:
+    """For the blocks that sent hashes to a bucket, a bit for each hash: whether another block sent it."""
+    blocks, each = blobs["block"].tolist(), [np.frombuffer(d, np.uint64) for d in blobs["data"]]
+    hashes = np.concatenate(each)
+    order = np.argsort(hashes, kind="stable")
+    same = np.zeros(len(hashes) + 1, bool)
+    same[1:-1] = hashes[order[1:]] == hashes[order[:-1]]
+    hit = np.empty(len(hashes), bool)
+    hit[order] = same[1:] | same[:-1]
+    cuts = np.cumsum([len(e) for e in each])[:-1]
+    rows = [(b, bucket, kind, np.packbits(bits).tobytes()) for b, bits in zip(blocks, np.split(hit, cuts), strict=True) if bits.any()]
+    return pd.DataFrame(rows, columns=["block", "bucket", "kind", "data"])
+
+
 def find_repeats(
     texts: DataFrame,
     buckets: int,
@@ -244,16 +258,7 @@ def find_repeats(
         return pd.DataFrame(rows, columns=["bucket", "block", "kind", "data"])
 
     def common(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
-        blocks, each = blobs["block"].tolist(), [np.frombuffer(d, np.uint64) for d in blobs["data"]]
-        hashes = np.concatenate(each)
-        order = np.argsort(hashes, kind="stable")
-        same = np.zeros(len(hashes) + 1, bool)
-        same[1:-1] = hashes[order[1:]] == hashes[order[:-1]]
-        hit = np.empty(len(hashes), bool)
-        hit[order] = same[1:] | same[:-1]
-        cuts = np.cumsum([len(e) for e in each])[:-1]
-        rows = [(b, key[0], 0, np.packbits(bits).tobytes()) for b, bits in zip(blocks, np.split(hit, cuts), strict=True) if bits.any()]
-        return pd.DataFrame(rows, columns=["block", "bucket", "kind", "data"])
+        return common_entries(key[0], blobs, 0)
 
     def propose(key: tuple, block: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         columns = ["bucket", "block", "kind", "data"]
