@@ -55,6 +55,13 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
+def within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the values are in ``known``, which is sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def needed(n: np.ndarray | int, percent: int):
     """Shingles of a set of n that a linked set must share."""
     return -(-np.asarray(n) * percent // 100)
@@ -117,7 +124,7 @@ def candidate_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, w
         own, sets = load(block, told)
         heads = prefix(sets)
         hit = _answered(*_announce(heads), buckets, told, 1)
-        stay = [i for i, h in enumerate(heads) if len(h) and np.isin(h, hit).any()]
+        stay = [i for i, h in enumerate(heads) if within(h, hit).any()]
         return own[stay], [sets[i] for i in stay]
 
     def second(key: tuple, block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
@@ -128,7 +135,7 @@ def candidate_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, w
         hit = _answered(*_announce(sets), buckets, told, 2)
         rows = []
         for i, s in zip(own.tolist(), sets, strict=True):
-            kept = s[np.isin(s, hit)]
+            kept = s[within(s, hit)]
             if len(kept) >= needed(len(s), percent):
                 rows.append((i, len(s), kept.astype(np.int64)))
         return pd.DataFrame(rows, columns=["doc", "n", "shingles"])
