@@ -36,4 +36,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from tessera.plans import sequence_queries  # noqa: F401
+    from tessera.plans import group_queries, sequence_queries, stage_queries, vector_queries  # noqa: F401

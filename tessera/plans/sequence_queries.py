@@ -328,8 +328,8 @@ def ancova_adjusted_means(spark: SparkSession, d: str) -> DataFrame:
 @register(
     "ancova_transition_effect",
     SQL
-    + """, e AS (SELECT patient_id, to_state, sample AS at FROM (SELECT *, microstate AS to_state, lag(microstate) OVER (PARTITION BY patient_id ORDER BY sample) AS p FROM ali) WHERE microstate <> p),
-h AS (SELECT e.patient_id, e.to_state, (a.sample >= at)::int AS post, a.corr AS y, a.gfp AS x FROM e JOIN ali a ON a.patient_id = e.patient_id AND a.sample BETWEEN at - 4 AND at + 3),
+    + """, e AS (SELECT patient_id, to_state, sample AS ev FROM (SELECT *, microstate AS to_state, lag(microstate) OVER (PARTITION BY patient_id ORDER BY sample) AS p FROM ali) WHERE microstate <> p),
+h AS (SELECT e.patient_id, e.to_state, (a.sample >= ev)::int AS post, a.corr AS y, a.gfp AS x FROM e JOIN ali a ON a.patient_id = e.patient_id AND a.sample BETWEEN ev - 4 AND ev + 3),
 g AS (SELECT patient_id, to_state, post, count(*) AS n, avg(y) AS my, avg(x) AS mx, count(*) * covar_pop(x, y) AS xy, count(*) * var_pop(x) AS xx FROM h GROUP BY 1, 2, 3),
 b AS (SELECT patient_id, to_state, sum(xy) / sum(xx) AS beta FROM g GROUP BY 1, 2)
 SELECT p.patient_id, p.to_state, (p.n + q.n)::bigint AS n_samples, round(p.my, 9) AS pre_value, round(q.my, 9) AS post_value, round((q.my - beta * q.mx) - (p.my - beta * p.mx), 8) AS effect_mean_diff, round(beta, 9) AS gfp_beta
