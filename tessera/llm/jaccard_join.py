@@ -33,11 +33,23 @@ from tessera.llm.substring_dedup import word_codes
 
 #: Members of a component that are compared at once.
 CHUNK = 256
+#: Bytes of text that are hashed at once; a longer text is hashed alone.
+HASHED_BYTES = 2_000_000
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     lower = [(t or "").encode("utf-8").lower() for t in texts]  # of bytes, lower() only changes A-Z
+    out, start, size = [], 0, 0
+    for i, t in enumerate(lower):
+        if size and size + len(t) > HASHED_BYTES:
+            out += _shingle_sets(lower[start:i], width)
+            start, size = i, 0
+        size += len(t)
+    return out + _shingle_sets(lower[start:], width)
+
+
+def _shingle_sets(lower: list[bytes], width: int) -> list[np.ndarray]:
     seq: Sequences = word_codes(lower)
     marks = window_hashes(seq.codes, width)
     sums = None
