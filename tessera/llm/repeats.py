@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import input_bytes
 
 #: Bytes of input files in a block, and in what a bucket is made from.
-BLOCK_BYTES, BUCKET_BYTES = 1_500_000, 6_000_000
+BLOCK_BYTES, BUCKET_BYTES = 750_000, 2_500_000
 #: Units that are hashed at once; longer sequences are cut with overlap. Positions must fit in POSITION_BITS.
-PART_UNITS, POSITION_BITS = 4_000_000, 24
+PART_UNITS, POSITION_BITS = 1_000_000, 24
 
 BLOBS = "bucket long, block long, kind int, data binary"
 REPLIES = "block long, bucket long, kind int, data binary"

@@ -21,6 +21,8 @@ from tessera.llm.repeats import BYTE_CODES, Sequences, blocked, by_bucket, count
 
 K = 64
 CONTEXT, ALL = 0, 1
+#: Bytes of suffixes that are ordered at once.
+PART_BYTES = 1_500_000
 
 
 def _sequences(texts: list[bytes]) -> Sequences:
@@ -92,13 +94,22 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         hashes, n, document, offset, settled = (np.concatenate([p[i] for p in parts]) for i in (1, 3, 4, 5, 6))
         data = np.frombuffer(b"".join(p[7] for p in parts), np.uint8)
         n = n.astype(np.int64)
-        ends = np.cumsum(n + width - 1)
-        at = _starts(ends - (n + width - 1), n)  # window starts in data
-        marks = window_hashes(BYTE_CODES[data], width)[at]
-        inside = at - np.repeat(ends - (n + width - 1), n)
-        earlier, later = previous_factor_bounds([np.repeat(hashes, n), marks], [np.repeat(document, n), np.repeat(offset, n) + inside])
-        hit = earlier if keep == "first" else earlier | later
-        hit |= np.repeat(settled, n).astype(bool) if keep == "none" else False
+        size = n + width - 1
+        begins, places = np.cumsum(size) - size, np.cumsum(n) - n
+        hit = np.zeros(int(n.sum()), bool)
+        # Only suffixes with one anchor are compared, so a large bucket is done in parts.
+        splits = -(-len(data) // PART_BYTES)
+        part = (hashes // np.uint64(buckets)) % np.uint64(splits)
+        for j in range(splits):
+            i = np.flatnonzero(part == j)
+            if not len(i):
+                continue
+            local = np.cumsum(size[i]) - size[i]
+            at = _starts(local, n[i])  # window starts in the part's data
+            marks = window_hashes(BYTE_CODES[data[_starts(begins[i], size[i])]], width)[at]
+            inside = at - np.repeat(local, n[i])
+            earlier, later = previous_factor_bounds([np.repeat(hashes[i], n[i]), marks], [np.repeat(document[i], n[i]), np.repeat(offset[i], n[i]) + inside])
+            hit[_starts(places[i], n[i])] = earlier if keep == "first" else earlier | later | np.repeat(settled[i], n[i]).astype(bool)
         done = 0
         for block, _, first, count, *_ in parts:
             count = count.astype(np.int64)
