@@ -244,8 +244,10 @@ LAGS, SHIFTS = [-2, -1, 0, 1, 2], 8
     "nmi_lag_grid_arith_surrogates",
     SQL
     + """, n AS (SELECT patient_id, count(*) AS n FROM ali GROUP BY 1), sh AS (SELECT i AS s, CASE WHEN i = 0 THEN 0 ELSE 1 + (i * 7919) % 97 END AS k FROM range(0, 9) r(i)),
-rolled AS (SELECT ali.patient_id, s, ali.sample, b.field_state FROM ali JOIN n USING (patient_id) CROSS JOIN sh JOIN ali b ON b.patient_id = ali.patient_id AND b.sample = (ali.sample - k + 100 * n) % n),
-src AS (SELECT a.patient_id, g.l AS lag_samples, s, a.microstate AS a, b.field_state AS b, count(*)::double AS c FROM ali a CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS l) g JOIN rolled b ON b.patient_id = a.patient_id AND b.sample = a.sample + g.l GROUP BY ALL),
+al AS MATERIALIZED (SELECT patient_id, sample, microstate, field_state FROM ali), asked AS MATERIALIZED (SELECT patient_id, s, sample, (sample - k + 100 * n) % n AS given FROM al JOIN n USING (patient_id), sh),
+rolled AS MATERIALIZED (SELECT q.patient_id, s, q.sample, b.field_state FROM asked q JOIN al b ON b.patient_id = q.patient_id AND b.sample = q.given),
+later AS MATERIALIZED (SELECT patient_id, microstate, l, sample + l AS sample FROM al, (SELECT unnest([-2, -1, 0, 1, 2]) AS l) g),
+src AS (SELECT a.patient_id, a.l AS lag_samples, s, a.microstate AS a, b.field_state AS b, count(*)::double AS c FROM later a JOIN rolled b USING (patient_id, sample) GROUP BY ALL),
 v AS ("""
     + _NMI.format(keys="patient_id, lag_samples, s", src="SELECT * FROM src")
     + """), o AS (SELECT patient_id, lag_samples, nmi AS obs FROM v WHERE s = 0)
