@@ -14,7 +14,8 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Each round gives every node the least label among its neighbours' and its own, then lets labels follow labels.
     Labels only fall; a round without change ends it. Neighbours' labels are combined before each shuffle.
     """
-    both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
+    links = materialize(links.select("a", "b"))  # read twice below: both directions of the same rows
+    both = materialize(links.union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
     label = materialize(nodes.select("node").distinct().withColumn("component", F.col("node")))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))

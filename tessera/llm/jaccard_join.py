@@ -149,7 +149,7 @@ def candidate_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, w
         for i, s in zip(own.tolist(), sets, strict=True):
             kept = s[within(s, hit)]
             if len(kept) >= needed(len(s), percent):
-                rows.append((i, len(s), kept.astype(np.int64)))
+                rows.append((i, len(s), np.sort(kept.astype(np.int64))))
         return pd.DataFrame(rows, columns=["doc", "n", "shingles"])
 
     def met(kind: int):
@@ -187,18 +187,27 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
     # Shingles of one set only come first in the order and take their places in the prefix.
     order = Window.partitionBy("doc").orderBy("f", "shingle")
     spread = shared.withColumn("at", F.row_number().over(order)).withColumn("shared", F.count("*").over(Window.partitionBy("doc")))
-    prefix = spread.where(F.expr(f"at + n - shared <= n - ceil(n * {percent} / 100.0D) + 1"))
-    prefix = materialize(prefix.select("shingle", "doc", "f", "at"))
+    # The larger set of a linked pair has a common shingle in its prefix of n - ceil(t n) + 1; the first common one is
+    # then also among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller, which may lack fewer.
+    place = F.col("at") + F.col("n") - F.col("shared")
+    prefix = spread.withColumn("place", place).where(F.expr(f"place <= n - ceil(n * {percent} / 100.0D) + 1"))
+    prefix = prefix.withColumn("short", F.expr(f"place <= n - ceil(n * {2 * percent} / {100 + percent}.0D) + 1"))
+    prefix = materialize(prefix.select("shingle", "doc", "n", "at", "short"))
 
     leader = prefix.groupBy("shingle").agg(F.min_by("doc", F.struct(F.xxhash64("doc"), "doc")).alias("leader"))
     rarest = prefix.where("at = 1").select("shingle", F.col("doc").alias("a")).join(leader.withColumnRenamed("leader", "b"), "shingle").where("a <> b").select("a", "b")
     star = materialize(verify(rarest, sets, percent))
     label = components(sets.select(F.col("doc").alias("node")), star)
 
-    placed = prefix.select("shingle", "doc").join(label.withColumnRenamed("node", "doc"), "doc").select("shingle", "component").distinct()
-    open_ = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
+    placed = prefix.join(label.withColumnRenamed("node", "doc"), "doc").groupBy("shingle", "component")
+    placed = placed.agg(F.max("short").alias("short"), F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.when(F.col("short"), F.col("n"))).alias("from_n"), F.max(F.when(F.col("short"), F.col("n"))).alias("to_n"))
+    open_ = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("short").alias("any")).where("lo < hi AND any").select("shingle")
     mixed = placed.join(open_, "shingle")
-    meet = mixed.select("shingle", F.col("component").alias("x")).join(mixed.select("shingle", F.col("component").alias("y")), "shingle").where("x < y").select("x", "y").distinct()
+    # One side is a smaller set with the shingle in its short prefix; the other has sets of a fitting size.
+    lesser = mixed.where("short").select("shingle", F.col("component").alias("x"), "from_n", "to_n")
+    larger = mixed.select("shingle", F.col("component").alias("y"), "least", "most")
+    fits = F.expr(f"x <> y AND from_n <= most AND {percent} * least <= 100 * to_n")
+    meet = lesser.join(larger, "shingle").where(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     sizes = label.groupBy("component").agg(F.count("*").alias("members"))
     meet = meet.join(sizes.select(F.col("component").alias("x"), F.col("members").alias("mx")), "x").join(sizes.select(F.col("component").alias("y"), F.col("members").alias("my")), "y")
     swap = F.col("mx") <= F.col("my")
@@ -224,6 +233,7 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
         """One link at most of each document of ``other`` into the chunk."""
         if not len(own) or not len(other):
             return pd.DataFrame([], columns=["a", "b"])
+        own = own.sort_values("doc")
         every = np.concatenate(own["shingles"].tolist())
         owner = np.repeat(np.arange(len(own)), [len(s) for s in own["shingles"]])
         n_own, ids = own["n"].to_numpy(), own["doc"].to_numpy()
