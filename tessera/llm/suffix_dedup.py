@@ -120,14 +120,13 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         return out
 
     def finish(ids: np.ndarray, texts: list[bytes], seq: Sequences, replies: list[tuple[int, bytes]]) -> pd.DataFrame:
-        edges = np.zeros(len(seq.data) + 1, np.int32)
+        starts = []
         for kind, blob in replies:
             _, first, count, bits = unpack(blob, np.int64, np.int64, np.int64, np.uint8)
             at = _starts(first, count)
-            if kind == CONTEXT:
-                at = at[np.unpackbits(bits, count=len(at)).astype(bool)]
-            edges[: len(seq.data)] += np.bincount(at, minlength=len(seq.data)).astype(np.int32)
-            edges -= np.bincount(at + width, minlength=len(edges)).astype(np.int32)
+            starts.append(at[np.unpackbits(bits, count=len(at)).astype(bool)] if kind == CONTEXT else at)
+        at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        edges = np.bincount(at, minlength=len(seq.data) + 1) - np.bincount(at + width, minlength=len(seq.data) + 1)
         gone = np.cumsum(edges[:-1]) > 0
         rows, at = [], 0
         for i, t in zip(ids, texts, strict=True):
