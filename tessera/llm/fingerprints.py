@@ -89,12 +89,14 @@ def compare_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     order = materialize(placed.join(before, "__at").select("__key", "__twin", "__n", "__key_before", "__twin_before", F.floor(F.col("__n_before") / 4).alias("__head")))
 
     texts = row.select("__id", "__text", "__key", "__hash").withColumn("__twin", twin)
-    known = texts.join(order.withColumnRenamed("__twin", "__t"), "__key").where(F.col("__twin") == F.col("__t")).drop("__t")
+    # As a difference, so that it is no join key and the texts stay dealt by __key alone.
+    same = F.col("__twin") - F.col("__t") == 0
+    known = texts.join(order.withColumnRenamed("__twin", "__t"), "__key").where(same).drop("__t")
     known = with_fingerprint(known, "__text", "__tuples", k)
     heads = known.select(
         F.col("__key_before").alias("__key"), F.col("__twin_before").alias("__t"), F.expr("left(__text, cast(__head AS int))").alias("__next"), F.col("__tuples").alias("__next_tuples")
     )
-    both = known.join(heads, "__key").where(F.col("__twin") == F.col("__t"))
+    both = known.join(heads, "__key").where(same)
     both = both.withColumn("__edited", F.expr("concat(left(__text, cast(__n - floor(__n / 4) AS int)), __next)"))
     both = with_fingerprint(both, "__edited", "__edited_tuples", k)
     return both.select(
