@@ -192,7 +192,7 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
     place = F.col("at") + F.col("n") - F.col("shared")
     prefix = spread.withColumn("place", place).where(F.expr(f"place <= n - ceil(n * {percent} / 100.0D) + 1"))
     prefix = prefix.withColumn("short", F.expr(f"place <= n - ceil(n * {2 * percent} / {100 + percent}.0D) + 1"))
-    prefix = materialize(prefix.select("shingle", "doc", "n", "at", "short"))
+    prefix = materialize(prefix.select("shingle", "doc", "n", "at", (F.col("n") - F.col("place")).alias("behind"), "short"))
 
     leader = prefix.groupBy("shingle").agg(F.min_by("doc", F.struct(F.xxhash64("doc"), "doc")).alias("leader"))
     rarest = prefix.where("at = 1").select("shingle", F.col("doc").alias("a")).join(leader.withColumnRenamed("leader", "b"), "shingle").where("a <> b").select("a", "b")
@@ -200,13 +200,15 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
     label = components(sets.select(F.col("doc").alias("node")), star)
 
     placed = prefix.join(label.withColumnRenamed("node", "doc"), "doc").groupBy("shingle", "component")
-    placed = placed.agg(F.max("short").alias("short"), F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.when(F.col("short"), F.col("n"))).alias("from_n"), F.max(F.when(F.col("short"), F.col("n"))).alias("to_n"))
+    placed = placed.agg(F.max("short").alias("short"), F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.when(F.col("short"), F.col("n"))).alias("from_n"), F.max(F.when(F.col("short"), F.col("n"))).alias("to_n"), F.max("behind").alias("behind"))
     open_ = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("short").alias("any")).where("lo < hi AND any").select("shingle")
     mixed = placed.join(open_, "shingle")
     # One side is a smaller set with the shingle in its short prefix; the other has sets of a fitting size.
-    lesser = mixed.where("short").select("shingle", F.col("component").alias("x"), "from_n", "to_n")
-    larger = mixed.select("shingle", F.col("component").alias("y"), "least", "most")
-    fits = F.expr(f"x <> y AND from_n <= most AND {percent} * least <= 100 * to_n")
+    lesser = mixed.where("short").select("shingle", F.col("component").alias("x"), "from_n", "to_n", F.col("behind").alias("behind_x"))
+    larger = mixed.select("shingle", F.col("component").alias("y"), "least", "most", F.col("behind").alias("behind_y"))
+    # If it is their first common one, what lies behind it in either order bounds what they share.
+    enough = f"{100 + percent} * (1 + least(behind_x, behind_y)) >= {percent} * (from_n + least)"
+    fits = F.expr(f"x <> y AND from_n <= most AND {percent} * least <= 100 * to_n AND {enough}")
     meet = lesser.join(larger, "shingle").where(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     sizes = label.groupBy("component").agg(F.count("*").alias("members"))
     meet = meet.join(sizes.select(F.col("component").alias("x"), F.col("members").alias("mx")), "x").join(sizes.select(F.col("component").alias("y"), F.col("members").alias("my")), "y")
