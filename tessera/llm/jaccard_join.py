@@ -114,7 +114,7 @@ def _answered(distinct: np.ndarray, twice: np.ndarray, buckets: int, replies: pd
 
 def candidate_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     """(doc, n, shingles) of the chosen documents of which enough shingles occur in others; of the shingles those that do."""
-    blocks, buckets = counts_for(docs)
+    blocks, buckets = counts_for(docs, text)
     texts = blocked(docs, doc_id, text, blocks)
     empty = F.lit(None)
     ids = chosen.select(F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block"), F.col("doc").alias("bucket"), F.lit(-1).alias("kind"), empty.cast("binary").alias("data"))

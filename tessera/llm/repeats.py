@@ -33,6 +33,9 @@ PART_UNITS, POSITION_BITS = 1_000_000, 24
 BLOBS = "bucket long, block long, kind int, data binary"
 REPLIES = "block long, bucket long, kind int, data binary"
 
+#: Estimates from here on are Spark's stand-in for not knowing.
+UNKNOWN = 1 << 60
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: A random number for each byte, from a fixed seed.
@@ -180,9 +183,11 @@ def by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(buckets[part[0]]), part
 
 
-def counts_for(docs: DataFrame) -> tuple[int, int]:
-    """Numbers of blocks and buckets, in proportion to the input."""
+def counts_for(docs: DataFrame, text: str) -> tuple[int, int]:
+    """Numbers of blocks and buckets, in proportion to the input; a table without an estimate is measured."""
     size = input_bytes(docs)
+    if size >= UNKNOWN:
+        size = (docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0) // 2
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-size // BLOCK_BYTES)), max(least, -(-size // BUCKET_BYTES))
 

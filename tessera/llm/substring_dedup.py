@@ -40,7 +40,7 @@ def word_codes(texts: list[bytes]) -> Sequences:
 def remove_repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13) -> DataFrame:
     """(doc_id, n_words, kept, spans): the words that stay, joined by one space, and the removed runs (start, end) in words."""
     k = min(K, width)
-    blocks, buckets = counts_for(docs)
+    blocks, buckets = counts_for(docs, text)
 
     def local(seq: Sequences, ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows in the runs, by position: their starts, marks and documents' ids."""

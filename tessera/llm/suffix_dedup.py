@@ -54,7 +54,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     if keep not in ("none", "first"):
         raise ValueError(f"keep: {keep}")
     k = min(K, width)
-    blocks, buckets = counts_for(docs)
+    blocks, buckets = counts_for(docs, text)
 
     def send(block: int, ids: np.ndarray, seq: Sequences, runs: tuple) -> list[tuple[int, int, bytes]]:
         hashes, first, last = runs
