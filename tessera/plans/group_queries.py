@@ -187,9 +187,9 @@ def eeg_parameter_gev(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     from tessera.operators.sequence import runs
-    from tessera.plans.standins import aligned, labels
+    from tessera.plans.standins import aligned, paired_labels
 
-    length = runs(labels(spark, d), ["patient_id"]).groupBy("patient_id", "microstate").agg(F.avg("n_samples").alias("mean_run"), F.median("n_samples").alias("median_run"), F.count("*").alias("n_runs"))
+    length = runs(paired_labels(spark, d), ["patient_id"]).groupBy("patient_id", "microstate").agg(F.avg("n_samples").alias("mean_run"), F.median("n_samples").alias("median_run"), F.count("*").alias("n_runs"))
     w = Window.partitionBy("patient_id")
     square = F.pow(F.col("gfp"), 2)
     part = aligned(spark, d).groupBy("patient_id", "microstate").agg(F.count("*").alias("n"), F.avg("corr").alias("mean_corr"), F.sum(square * F.pow(F.col("corr"), 2)).alias("num"), F.sum(square).alias("own"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import vectors as V
 from tessera.plans.registry import register
-from tessera.plans.standins import SQL, aligned, effects, field, labels, read, vectors
+from tessera.plans.standins import SQL, aligned, effects, field, labels, paired_labels, read, vectors
 
 #: Regions that a global trace may use, here by channel number.
 CORE = (0, 1, 2, 3, 5)
@@ -25,7 +25,7 @@ def segment_recording_join(spark: SparkSession, d: str) -> DataFrame:
 
 @register("gfp_left_join", SQL + "SELECT patient_id, sample, microstate, gfp FROM lab LEFT JOIN fld USING (patient_id, sample)")
 def gfp_left_join(spark: SparkSession, d: str) -> DataFrame:
-    return labels(spark, d).join(field(spark, d).select("patient_id", "sample", "gfp"), ["patient_id", "sample"], "left").select("patient_id", "sample", "microstate", "gfp")
+    return paired_labels(spark, d).join(field(spark, d).select("patient_id", "sample", "gfp"), ["patient_id", "sample"], "left").select("patient_id", "sample", "microstate", "gfp")
 
 
 @register(
@@ -34,7 +34,7 @@ def gfp_left_join(spark: SparkSession, d: str) -> DataFrame:
 )
 def condition_denominators_union(spark: SparkSession, d: str) -> DataFrame:
     count = lambda df, name: df.groupBy("patient_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("family"), "patient_id", "n")
-    return count(labels(spark, d), "labels").unionByName(count(field(spark, d), "field")).unionByName(count(aligned(spark, d), "paired"))
+    return count(paired_labels(spark, d), "labels").unionByName(count(field(spark, d), "field")).unionByName(count(aligned(spark, d), "paired"))
 
 
 @register("patient_union_distinct", "SELECT c_nationkey AS id FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT n_regionkey FROM nation")

@@ -9,7 +9,7 @@ from tessera.operators import asof as A
 from tessera.operators import sequence as S
 from tessera.operators import statistics as C
 from tessera.plans.registry import register
-from tessera.plans.standins import SQL, aligned, field, labels
+from tessera.plans.standins import SQL, aligned, field, labels, paired_labels
 
 KEY = ["patient_id"]
 
@@ -99,7 +99,7 @@ aso AS (SELECT patient_id, sample, time_sec, microstate, corr, CASE side WHEN 'b
 
 
 def asof(spark: SparkSession, d: str) -> DataFrame:
-    return A.asof_nearest(labels(spark, d), field(spark, d).drop("sample"), KEY, tolerance=300.0)
+    return A.asof_nearest(paired_labels(spark, d), field(spark, d).drop("sample"), KEY, tolerance=300.0)
 
 
 @register("asof_nearest_tolerance", SQL + _ASOF + "SELECT patient_id, sample, time_sec, microstate, corr, field_state, gfp FROM aso")
@@ -113,7 +113,7 @@ def asof_nearest_tolerance(spark: SparkSession, d: str) -> DataFrame:
 )
 def asof_chained(spark: SparkSession, d: str) -> DataFrame:
     trace = field(spark, d)
-    first = A.asof_nearest(labels(spark, d), trace.select("patient_id", "time_sec", "gfp"), KEY, tolerance=300.0)
+    first = A.asof_nearest(paired_labels(spark, d), trace.select("patient_id", "time_sec", "gfp"), KEY, tolerance=300.0)
     both = A.asof_nearest(first, trace.select("patient_id", "time_sec", "field_state"), KEY, tolerance=300.0).dropna(subset=["gfp", "field_state"])
     both = S.switch_indicator(both, KEY, state="field_state", name="field_switch")
     return S.switch_indicator(both, KEY, state="microstate", name="label_switch").select("patient_id", "sample", "microstate", "field_state", "gfp", "field_switch", "label_switch")
@@ -125,7 +125,7 @@ def asof_chained(spark: SparkSession, d: str) -> DataFrame:
 )
 def asof_left_wide_dropna(spark: SparkSession, d: str) -> DataFrame:
     wide = field(spark, d).select("patient_id", "time_sec", "gfp", F.when(F.col("field_state") > 0, F.col("field_state")).alias("field_state"))
-    joined = A.asof_nearest(labels(spark, d), wide, KEY, tolerance=300.0).dropna(how="any")
+    joined = A.asof_nearest(paired_labels(spark, d), wide, KEY, tolerance=300.0).dropna(how="any")
     return joined.unpivot(["patient_id", "sample"], ["corr", "gfp"], "region", "value")
 
 
@@ -138,7 +138,7 @@ SELECT patient_id, from_state, to_state, count(*) AS n_events, round(avg(hit), 9
 )
 def window_response_rate(spark: SparkSession, d: str) -> DataFrame:
     responses = S.transitions(field(spark, d), KEY, state="field_state").select("patient_id", "event_sec")
-    events = S.transitions(labels(spark, d), KEY).select("patient_id", "event_sec", "from_state", "to_state")
+    events = S.transitions(paired_labels(spark, d), KEY).select("patient_id", "event_sec", "from_state", "to_state")
     hit = A.next_event_within(events, responses, KEY, window=250.0)
     return hit.groupBy("patient_id", "from_state", "to_state").agg(F.count("*").alias("n_events"), F.round(F.avg(F.col("responded").cast("int")), 9).alias("rate"))
 
@@ -153,7 +153,7 @@ SELECT patient_id, from_state, to_state, dest AS response_state, count(*) AS n_e
 )
 def destination_response_rate(spark: SparkSession, d: str) -> DataFrame:
     responses = S.transitions(field(spark, d), KEY, state="field_state").select("patient_id", "event_sec", F.col("to_state").alias("response_state"))
-    events = S.transitions(labels(spark, d), KEY).select("patient_id", "event_sec", "from_state", "to_state")
+    events = S.transitions(paired_labels(spark, d), KEY).select("patient_id", "event_sec", "from_state", "to_state")
     asked = events.join(responses.select("patient_id", "response_state").distinct(), "patient_id")
     hit = A.next_event_within(asked, responses, ["patient_id", "response_state"], window=900.0)
     return hit.groupBy("patient_id", "from_state", "to_state", "response_state").agg(F.count("*").alias("n_events"), F.round(F.avg(F.col("responded").cast("int")), 9).alias("rate"))
@@ -167,7 +167,7 @@ def destination_response_rate(spark: SparkSession, d: str) -> DataFrame:
 SELECT patient_id, to_state, count(*) AS n_events, round(avg(post - pre), 6) AS effect_mean_diff FROM e WHERE pre IS NOT NULL AND post IS NOT NULL GROUP BY 1, 2""",
 )
 def pre_post_event_effect(spark: SparkSession, d: str) -> DataFrame:
-    events = S.transitions(labels(spark, d), KEY).select("patient_id", "transition_id", "to_state", "event_sec", (F.col("event_sec") - 900).alias("lo"), (F.col("event_sec") + 900).alias("hi"))
+    events = S.transitions(paired_labels(spark, d), KEY).select("patient_id", "transition_id", "to_state", "event_sec", (F.col("event_sec") - 900).alias("lo"), (F.col("event_sec") + 900).alias("hi"))
     held = A.interval_join(field(spark, d), events, KEY, width=1800.0, start="lo", end="hi")
     side = F.col("time_sec") < F.col("event_sec")
     each = held.groupBy("patient_id", "transition_id", "to_state").agg(F.avg(F.when(side, F.col("gfp"))).alias("pre"), F.avg(F.when(~side, F.col("gfp"))).alias("post"))

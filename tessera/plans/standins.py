@@ -35,8 +35,17 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """patient_id, sample, time_sec, microstate, corr: events with even ids."""
-    return _numbered(_base(spark, sf_dir).where("event_id % 2 = 0")).select("patient_id", "sample", "time_sec", "microstate", F.col("value").alias("corr"))
+    """patient_id, sample, time_sec, microstate, corr: all events."""
+    return _labels(_base(spark, sf_dir))
+
+
+def paired_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of events with even ids only, for queries that also read ``field``: its rows are the others."""
+    return _labels(_base(spark, sf_dir).where("event_id % 2 = 0"))
+
+
+def _labels(base: DataFrame) -> DataFrame:
+    return _numbered(base).select("patient_id", "sample", "time_sec", "microstate", F.col("value").alias("corr"))
 
 
 def field(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,12 +55,12 @@ def field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sequences by sample number: patient_id, sample, time_sec, microstate, corr, field_state, gfp."""
-    return labels(spark, sf_dir).join(field(spark, sf_dir).drop("time_sec"), ["patient_id", "sample"])
+    return paired_labels(spark, sf_dir).join(field(spark, sf_dir).drop("time_sec"), ["patient_id", "sample"])
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """patient_id, sample, channel, value: the first eight dimensions of the embeddings."""
-    rows = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 5).alias("patient_id"), F.floor(F.col("vec_id") / 5).alias("sample"), F.posexplode(F.slice("embedding", 1, 8)).alias("channel", "value"))
+    """patient_id, sample, channel, value: all dimensions of the embeddings."""
+    rows = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 5).alias("patient_id"), F.floor(F.col("vec_id") / 5).alias("sample"), F.posexplode("embedding").alias("channel", "value"))
     return rows.select("patient_id", "sample", F.col("channel").cast("long").alias("channel"), F.col("value").cast("double").alias("value"))
 
 

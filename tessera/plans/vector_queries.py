@@ -128,7 +128,7 @@ _REG = ", reg AS (SELECT patient_id, 'r' || (channel % 3) AS region, sample, avg
 
 def _mapping(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d).select("patient_id", "channel").distinct()
-    return rows.withColumn("region", F.when(F.col("channel") < 7, F.concat(F.lit("r"), F.col("channel") % 3)))
+    return rows.withColumn("region", F.concat(F.lit("r"), F.col("channel") % 3))
 
 
 def regions(spark: SparkSession, d: str) -> DataFrame:
