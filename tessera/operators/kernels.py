@@ -303,6 +303,72 @@ def shifted_coupling(a: np.ndarray, b: np.ndarray, lags: list[int], surrogates:
     return pd.DataFrame(rows, columns=["lag_samples", "n_samples", "observed_coupling", "null_mean_coupling", "effect_mean_diff", "p_perm"])
 
 
+def shifted_response_rates(events: pd.DataFrame, times: np.ndarray, labels: np.ndarray, window: float, surrogates: int, seed: int) -> pd.DataFrame:
+    """Share of events (event_sec, from_state, to_state) with a label switch in [event, event + window), against circular shifts of the labels.
+
+    A row for each kind of event and response: any switch (response_state -1), and switches to each state that the
+    labels switch to. A shift without a switch of the kind counts as a rate of 0.
+    """
+    kinds, group = np.unique(events[["from_state", "to_state"]].to_numpy().reshape(-1, 2), axis=0, return_inverse=True)
+    group, start = group.ravel(), events["event_sec"].to_numpy(float)
+    size = np.bincount(group, minlength=len(kinds))
+
+    def switches(states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(states[1:] != states[:-1]) + 1
+        return times[at], states[at]
+
+    def rates(states: np.ndarray) -> np.ndarray:
+        at, to = switches(states)
+        out = []
+        for d in (None, *asked):
+            soon = np.append(at if d is None else at[to == d], np.inf)
+            hit = soon[np.searchsorted(soon, start)] < start + window
+            out.append(np.bincount(group, weights=hit, minlength=len(kinds)) / size)
+        return np.array(out)
+
+    asked = np.unique(switches(labels)[1]).tolist()
+    rows, observed = [], rates(labels)
+    shifts = np.random.default_rng(seed).integers(1, max(2, len(labels)), size=max(1, surrogates))
+    null = np.array([rates(np.roll(labels, int(k))) for k in shifts])
+    for j, d in enumerate((-1, *asked)):
+        for i, (a, b) in enumerate(kinds):
+            obs, each = observed[j, i], null[:, j, i]
+            rows.append((a, b, "any-switch" if j == 0 else "destination-state", d, size[i], obs, each.mean(), obs - each.mean(), (np.sum(each >= obs) + 1) / (len(each) + 1)))
+    return pd.DataFrame(rows, columns=["from_state", "to_state", "response_kind", "response_state", "n_events", "observed_coupling", "null_mean_coupling", "effect_mean_diff", "p_perm"])
+
+
+def shifted_trajectory(trace: np.ndarray, at: np.ndarray, before: int, after: int, surrogates: int, seed: int) -> pd.DataFrame:
+    """Mean of a trace at each offset from events, against circular shifts of the trace; two-sided about the shifts' mean."""
+    rng, rows = np.random.default_rng(seed), []
+    for offset in range(-before, after + 1):
+        held = at + offset
+        held = held[(held >= 0) & (held < len(trace))]
+        if not len(held):
+            continue
+        observed = trace[held].mean()
+        null = np.array([trace[(held - k) % len(trace)].mean() for k in rng.integers(1, max(2, len(trace)), size=max(1, surrogates))])
+        extreme = np.abs(null - null.mean()) >= abs(observed - null.mean())
+        rows.append((offset, len(held), observed, null.mean(), observed - null.mean(), (extreme.sum() + 1) / (len(null) + 1)))
+    return pd.DataFrame(rows, columns=["offset_samples", "n_events", "observed_coupling", "null_mean_coupling", "effect_mean_diff", "p_perm"])
+
+
+def pair_connectivity(matrix: np.ndarray, method: str) -> np.ndarray:
+    """Connectivity of each pair of columns (corr: absolute correlation, plv, wpli); NaN where it isn't defined."""
+    n = matrix.shape[1]
+    out = np.full((n, n), np.nan)
+    z = analytic(matrix.T) if method in ("plv", "wpli") else matrix.T - matrix.mean(axis=0)[:, None]
+    flat = matrix.std(axis=0) == 0
+    for a in range(n):
+        for b in range(a + 1, n):
+            if method == "plv":
+                out[a, b] = phase_locking(z[a], z[b])
+            elif method == "wpli":
+                out[a, b] = weighted_phase_lag(z[a], z[b]) if np.imag(z[a] * np.conj(z[b])).any() else np.nan
+            elif not (flat[a] or flat[b]):
+                out[a, b] = abs((z[a] * z[b]).sum()) / np.sqrt((z[a] ** 2).sum() * (z[b] ** 2).sum())
+    return out
+
+
 def group_archetypes(patterns: np.ndarray, owners: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Archetypes of all subjects' patterns, each subject's patterns assigned to different ones: (archetypes, assigned, similarity)."""
     archetypes = polarity_clusters(patterns, k, seed)[0]

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.asof import interval_join
+from tessera.operators.kernels import pair_connectivity
+
 
 def field_power(signals: DataFrame, keys: list[str], *, order: str = "sample", metric: str = "spatial-std") -> DataFrame:
     """Power of each sample across channels: population deviation, or root mean square."""
@@ -135,3 +140,39 @@ def connectivity_on_off(signals: DataFrame, keys: list[str], *, state: str, min_
     return both.select(*by, state, corr("").alias("state_connectivity"), corr("_o").alias("off_connectivity"), (corr("") - corr("_o")).alias("effect_mean_diff"), F.col("n").alias("n_state_samples"), F.col("n_o").alias("n_nonstate_samples")).dropna(
         subset=["state_connectivity", "off_connectivity"]
     )
+
+
+def event_locked_connectivity(signals: DataFrame, events: DataFrame, keys: list[str], event_keys: list[str], *, window: float, min_samples: int, method: str = "corr", series: str = "region", time: str = "time_sec", event: str = "event_sec") -> DataFrame:
+    """Connectivity in [event, event + window) against [event - window, event), as means over the events of a kind.
+
+    Events with under ``min_samples`` times on a side don't count, nor do pairs not defined on both sides.
+    """
+    if method not in ("corr", "plv", "wpli"):
+        raise ValueError(f"unknown method {method}")
+    w = F.lit(float(window))
+    asked = events.select(*keys, *event_keys, F.col(event).alias("__at"), (F.col(event) - w).alias("__lo"), (F.col(event) + w).alias("__hi")).withColumn("__event", F.monotonically_increasing_id())
+    held = interval_join(signals.select(*keys, F.col(time).alias("__t"), F.col(series).alias("__s"), "value"), asked, keys, width=2 * window, time="__t", start="__lo", end="__hi")
+    rows = held.groupBy(*keys, *event_keys, "__event", "__at").agg(F.collect_list("__t").alias("__t"), F.collect_list("__s").alias("__s"), F.collect_list("value").alias("value"))
+    names = [*keys, *event_keys]
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+
+    def run(parts):
+        for part in parts:
+            out = []
+            for row in part.itertuples(index=False, name=None):
+                given = dict(zip(part.columns, row, strict=True))
+                times, i = np.unique(np.asarray(given["__t"], float), return_inverse=True)
+                labels, j = np.unique(np.asarray(given["__s"]), return_inverse=True)
+                table = np.full((len(times), len(labels)), np.nan)
+                table[i, j] = given["value"]
+                pre, post = table[times < given["__at"]], table[times >= given["__at"]]
+                if min(len(pre), len(post)) < max(2, min_samples):
+                    continue
+                a, b = pair_connectivity(post, method), pair_connectivity(pre, method)
+                out += [(*(given[c] for c in names), labels[x], labels[y], a[x, y], b[x, y], len(post), len(pre)) for x, y in zip(*np.nonzero(~np.isnan(a) & ~np.isnan(b)), strict=True)]
+            yield pd.DataFrame(out, columns=[*names, "region_a", "region_b", "__a", "__b", "__na", "__nb"])
+
+    each = rows.mapInPandas(run, f"{head}, region_a string, region_b string, __a double, __b double, __na long, __nb long")
+    return each.groupBy(*names, "region_a", "region_b").agg(
+        F.count("*").alias("n_events"), F.avg("__a").alias("state_connectivity"), F.avg("__b").alias("off_connectivity"), F.avg(F.col("__a") - F.col("__b")).alias("effect_mean_diff"), F.avg("__na").alias("n_state_samples"), F.avg("__nb").alias("n_nonstate_samples")
+    )

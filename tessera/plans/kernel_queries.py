@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import kernels as K
+from tessera.operators import sequence as S
 from tessera.operators import vectors as V
 from tessera.plans.registry import register
-from tessera.plans.standins import aligned, effects, field, vectors
+from tessera.plans.standins import aligned, effects, field, paired_labels, vectors
+from tessera.plans.vector_queries import labelled_transitions, regions
 
 KEY = ["patient_id"]
 
@@ -180,3 +182,60 @@ def circular_shift_seeded(spark: SparkSession, d: str) -> DataFrame:
 
     schema = "lag_samples long, n_samples long, observed_coupling double, null_mean_coupling double, effect_mean_diff double, p_perm double"
     return K.grouped(aligned(spark, d).select("patient_id", "sample", "microstate", "field_state"), KEY, schema, kernel)
+
+
+_NULL = "observed_coupling double, null_mean_coupling double, effect_mean_diff double, p_perm double"
+
+
+def _response_rates(events: DataFrame, responses: DataFrame, state: str, window: float) -> DataFrame:
+    """Switches of one sequence after transitions of another, against shifts of the former."""
+    none = lambda *names: [F.lit(None).cast("long").alias(n) for n in names]
+    moves = S.transitions(events, KEY, state=next(c for c in ("microstate", "field_state") if c in events.columns))
+    both = moves.select("patient_id", F.col("event_sec").alias("time_sec"), "from_state", "to_state", *none("sample", "state")).unionByName(
+        responses.select("patient_id", "time_sec", *none("from_state", "to_state"), "sample", F.col(state).alias("state"))
+    )
+
+    def kernel(part: pd.DataFrame) -> pd.DataFrame:
+        asked, trace = part[part["state"].isna()], part[part["state"].notna()].sort_values("sample")
+        asked = asked.rename(columns={"time_sec": "event_sec"}).astype({"from_state": "int64", "to_state": "int64"})
+        return K.shifted_response_rates(asked, trace["time_sec"].to_numpy(float), trace["state"].to_numpy().astype(int), window, 128, 42)
+
+    return K.grouped(both, KEY, f"from_state long, to_state long, response_kind string, response_state long, n_events long, {_NULL}", kernel)
+
+
+@register("response_rate_surrogates")
+def response_rate_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    """``window_response_rate`` and its rates by destination against 128 circular shifts."""
+    return _response_rates(paired_labels(spark, d), field(spark, d), "field_state", 250.0)
+
+
+@register("reverse_response_rate_surrogates")
+def reverse_response_rate_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    """Label switches after transitions of the field state."""
+    return _response_rates(field(spark, d), paired_labels(spark, d), "microstate", 250.0)
+
+
+@register("destination_rate_surrogates")
+def destination_rate_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    """``destination_response_rate`` against 128 circular shifts."""
+    return _response_rates(paired_labels(spark, d), field(spark, d), "field_state", 900.0).where("response_kind = 'destination-state'").drop("response_kind")
+
+
+@register("peak_trajectory_surrogates")
+def peak_trajectory_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    """``peak_centered_trajectory`` against 128 circular shifts."""
+    trace = aligned(spark, d).select("patient_id", "sample", "corr", "gfp")
+    peaks = S.local_maxima(trace, KEY, value="gfp").select("patient_id", "sample", F.lit(True).alias("peak"))
+
+    def kernel(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("sample")
+        return K.shifted_trajectory(part["corr"].to_numpy(float), np.flatnonzero(part["peak"].notna().to_numpy()), 5, 5, 128, 42)
+
+    return K.grouped(trace.join(peaks, ["patient_id", "sample"], "left"), KEY, f"offset_samples long, n_events long, {_NULL}", kernel)
+
+
+@register("event_locked_connectivity")
+def event_locked_connectivity(spark: SparkSession, d: str) -> DataFrame:
+    """Region connectivity in the 8 samples after against before the transitions of the labels."""
+    signals = regions(spark, d).withColumn("time_sec", F.col("sample").cast("double"))
+    return V.event_locked_connectivity(signals, labelled_transitions(spark, d), KEY, ["to_state"], window=8.0, min_samples=4)

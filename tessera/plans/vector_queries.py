@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import regions as R
+from tessera.operators import sequence as S
 from tessera.operators import statistics as C
 from tessera.operators import vectors as V
 from tessera.plans.registry import register
@@ -94,9 +95,17 @@ def conditioned_maps(spark: SparkSession, d: str) -> DataFrame:
     return flat(V.mean_pattern(_labelled(spark, d), ["patient_id", "microstate"]).select("patient_id", "microstate", "map"), "map")
 
 
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    return labels(spark, d).select(F.substring("patient_id", 2, 9).cast("long").alias("patient_id"), "sample", "microstate")
+
+
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    states = labels(spark, d).select(F.substring("patient_id", 2, 9).cast("long").alias("patient_id"), "sample", "microstate")
-    return vectors(spark, d).join(states, ["patient_id", "sample"])
+    return vectors(spark, d).join(_states(spark, d), ["patient_id", "sample"])
+
+
+def labelled_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Transitions of the labels of the vectors' patients, with sample numbers as times."""
+    return S.transitions(_states(spark, d).withColumn("time_sec", F.col("sample").cast("double")), KEY)
 
 
 @register(
