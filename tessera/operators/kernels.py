@@ -303,6 +303,24 @@ def shifted_coupling(a: np.ndarray, b: np.ndarray, lags: list[int], surrogates:
     return pd.DataFrame(rows, columns=["lag_samples", "n_samples", "observed_coupling", "null_mean_coupling", "effect_mean_diff", "p_perm"])
 
 
+def arithmetic_shifts(n: int, count: int) -> np.ndarray:
+    """Shifts between 1 and n - 1 without a random stream."""
+    return 1 + (np.arange(1, count + 1) * 7919) % max(1, n - 1)
+
+
+def shifted_lag_grid(a: np.ndarray, b: np.ndarray, lags: list[int], shifts: np.ndarray, digits: int = 9) -> pd.DataFrame:
+    """Mutual information at each lag, where all of b is shifted around its end before lagging; values are compared rounded."""
+    rows = []
+    for lag in sorted(set(lags)):
+        if abs(lag) >= len(a):
+            continue
+        x, at = (a[: len(a) - lag], slice(lag, None)) if lag >= 0 else (a[-lag:], slice(None, lag))
+        observed, *null = (round(mutual_information(x, np.roll(b, int(k))[at]), digits) for k in (0, *shifts))
+        null = np.array(null)
+        rows.append((lag, observed, null.mean(), observed - null.mean(), (np.sum(null >= observed) + 1) / (len(null) + 1)))
+    return pd.DataFrame(rows, columns=["lag_samples", "observed_coupling", "null_mean_coupling", "effect_mean_diff", "p_perm"])
+
+
 def shifted_response_rates(events: pd.DataFrame, times: np.ndarray, labels: np.ndarray, window: float, surrogates: int, seed: int) -> pd.DataFrame:
     """Share of events (event_sec, from_state, to_state) with a label switch in [event, event + window), against circular shifts of the labels.
 

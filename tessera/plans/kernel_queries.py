@@ -161,7 +161,7 @@ def sign_flip_p(spark: SparkSession, d: str) -> DataFrame:
 def within_subject_perm_p(spark: SparkSession, d: str) -> DataFrame:
     def kernel(part: pd.DataFrame) -> pd.DataFrame:
         m = part.pivot_table(index="subject", columns="microstate", values="value").dropna().to_numpy()
-        return pd.DataFrame({"n_subjects": [len(m)], "statistic": [K.within_f(m)], "p_perm": [K.within_permutation_p(m, 42, 256)]})
+        return pd.DataFrame({"n_subjects": [len(m)], "statistic": [K.within_f(m)], "p_perm": [K.within_permutation_p(m, 42)]})
 
     return K.grouped(effects(spark, d), ["grp"], "n_subjects long, statistic double, p_perm double", kernel)
 
@@ -178,7 +178,7 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 def circular_shift_seeded(spark: SparkSession, d: str) -> DataFrame:
     def kernel(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("sample")
-        return K.shifted_coupling(part["microstate"].to_numpy(), part["field_state"].to_numpy(), list(range(-3, 4)), 128, 42)
+        return K.shifted_coupling(part["microstate"].to_numpy(), part["field_state"].to_numpy(), list(range(-10, 11)), 128, 42)
 
     schema = "lag_samples long, n_samples long, observed_coupling double, null_mean_coupling double, effect_mean_diff double, p_perm double"
     return K.grouped(aligned(spark, d).select("patient_id", "sample", "microstate", "field_state"), KEY, schema, kernel)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import asof as A
+from tessera.operators import kernels as K
 from tessera.operators import sequence as S
 from tessera.operators import statistics as C
 from tessera.plans.registry import register
@@ -237,7 +239,7 @@ def nmi_zero_lag(spark: SparkSession, d: str) -> DataFrame:
     return C.mutual_information(aligned(spark, d), KEY, "microstate", "field_state").select("patient_id", "n_samples", *r9("nmi"))
 
 
-LAGS, SHIFTS = [-2, -1, 0, 1, 2], 8
+LAGS, SHIFTS = list(range(-10, 11)), 128
 
 
 @register(
@@ -255,15 +257,15 @@ SELECT patient_id, lag_samples, any_value(obs) AS observed_coupling, round(avg(n
 FROM v JOIN o USING (patient_id, lag_samples) WHERE s > 0 GROUP BY 1, 2""",
 )
 def nmi_lag_grid_arith_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    """The SQL twin has 5 lags and 8 shifts of at most 97 samples."""
+
+    def kernel(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("sample")
+        return K.shifted_lag_grid(part["microstate"].to_numpy(), part["field_state"].to_numpy(), LAGS, K.arithmetic_shifts(len(part), SHIFTS))
+
     pairs = aligned(spark, d).select("patient_id", "sample", "microstate", "field_state")
-    shifts = spark.range(SHIFTS + 1).select(F.col("id").alias("s"), F.when(F.col("id") == 0, 0).otherwise(1 + (F.col("id") * 7919) % 97).alias("shift"))
-    rolled = S.circular_shift(pairs, KEY, shifts, state="field_state").select("patient_id", "sample", "s", F.col("shifted").alias("field_state"))
-    paired = S.lag_pairs(pairs.select("patient_id", "sample", "microstate"), rolled, KEY, LAGS)
-    value = C.mutual_information(paired, ["patient_id", "lag_samples", "s"], "microstate", "field_state").withColumn("nmi", F.round("nmi", 9))
-    keys = ["patient_id", "lag_samples"]
-    observed = value.where("s = 0").select(*keys, F.col("nmi").alias("obs"))
-    found = C.against_null(value.where("s > 0").join(observed, keys), keys, observed="obs", null="nmi")
-    return found.select(F.col("patient_id"), F.col("lag_samples").cast("long").alias("lag_samples"), "observed_coupling", *(F.round(c, 8).alias(c) for c in ("null_mean_coupling", "effect_mean_diff")), F.round("p_perm", 9).alias("p_perm"))
+    found = K.grouped(pairs, KEY, "lag_samples long, observed_coupling double, null_mean_coupling double, effect_mean_diff double, p_perm double", kernel)
+    return found.select("patient_id", "lag_samples", "observed_coupling", *(F.round(c, 8).alias(c) for c in ("null_mean_coupling", "effect_mean_diff")), F.round("p_perm", 9).alias("p_perm"))
 
 
 @register(

@@ -1,10 +1,14 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import kernels as K
+from tessera.operators import sequence as S
+from tessera.operators import statistics as C
 from tessera.operators import vectors as V
 from tessera.plans import registry
+from tessera.plans.standins import aligned
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +82,29 @@ def test_event_locked_connectivity(spark, method):
 def test_event_locked_query(spark):
     found = run(spark, "event_locked_connectivity")
     assert len(found) and (found.n_state_samples <= 8).all() and (found.n_nonstate_samples >= 4).all()
+
+
+def test_lag_grids_have_all_lags_and_shifts(spark):
+    for name in ("nmi_lag_grid_arith_surrogates", "circular_shift_seeded"):
+        found = run(spark, name)
+        assert set(found.groupby("patient_id").lag_samples.agg(lambda s: tuple(sorted(s)))) == {tuple(range(-10, 11))}
+        hits = found.p_perm * 129
+        assert np.allclose(hits, hits.round(), atol=1e-6) and hits.min() < 129 / 9
+    assert K.arithmetic_shifts(5000, 128).max() > 4000 and set(K.arithmetic_shifts(2, 9)) == {1}
+    p = run(spark, "within_subject_perm_p").p_perm * 2049
+    assert np.allclose(p, p.round(), atol=1e-6)
+
+
+def test_lag_grid_equals_its_plan(spark):
+    pairs = aligned(spark, SF).select("patient_id", "sample", "microstate", "field_state").where("patient_id = 'p1'")
+    part = pairs.toPandas().sort_values("sample")
+    shifts = K.arithmetic_shifts(len(part), 6)
+    found = K.shifted_lag_grid(part.microstate.to_numpy(), part.field_state.to_numpy(), [-2, 0, 3], shifts).set_index("lag_samples")
+    asked = spark.createDataFrame([(i, int(k)) for i, k in enumerate((0, *shifts))], "s long, shift long")
+    rolled = S.circular_shift(pairs, ["patient_id"], asked, state="field_state").select("patient_id", "sample", "s", F.col("shifted").alias("field_state"))
+    lagged = S.lag_pairs(pairs.select("patient_id", "sample", "microstate"), rolled, ["patient_id"], [-2, 0, 3])
+    value = C.mutual_information(lagged, ["lag_samples", "s"], "microstate", "field_state").toPandas()
+    for lag, rows in value.groupby("lag_samples"):
+        obs, null = rows[rows.s == 0].nmi.iloc[0], rows[rows.s > 0].nmi
+        assert np.isclose(found.loc[lag].observed_coupling, obs, atol=1e-8) and np.isclose(found.loc[lag].null_mean_coupling, null.mean(), atol=1e-8)
+        assert np.isclose(found.loc[lag].p_perm, ((null.round(9) >= round(obs, 9)).sum() + 1) / 7)
