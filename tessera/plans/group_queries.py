@@ -89,7 +89,8 @@ def delta_t_ci(spark: SparkSession, d: str) -> DataFrame:
 
 @register("stratified_delta", SQL + _DEL + " SELECT grp, microstate, count(*) AS n, round(avg(delta), 9) AS mean_delta FROM dl WHERE subject % 2 = 0 GROUP BY 1, 2 HAVING count(*) >= 5")
 def stratified_delta(spark: SparkSession, d: str) -> DataFrame:
-    rows = _deltas(spark, d).where("subject % 2 = 0").groupBy("grp", "microstate").agg(F.count("*").alias("n"), F.round(F.avg("delta"), 9).alias("mean_delta"))
+    """Of even (stratum 0) and odd subjects (1)."""
+    rows = _deltas(spark, d).groupBy("grp", "microstate", (F.col("subject") % 2).alias("stratum")).agg(F.count("*").alias("n"), F.round(F.avg("delta"), 9).alias("mean_delta"))
     return rows.where("n >= 5")
 
 
@@ -214,5 +215,9 @@ def model_order_fit_gain(spark: SparkSession, d: str) -> DataFrame:
 def subject_alias(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    chosen = read(spark, d, "customer").where("c_nationkey = 3")
-    return chosen.select("c_custkey", F.format_string("sub-%02d", F.dense_rank().over(Window.orderBy("c_name"))).alias("alias"))
+    # Names of one head are ranked together, on top of the number of names under lesser heads.
+    chosen = read(spark, d, "customer").select("c_custkey", "c_name", F.substring("c_name", 1, 15).alias("head"))
+    heads = chosen.groupBy("head").agg(F.countDistinct("c_name").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each head
+    rank = F.dense_rank().over(Window.partitionBy("head").orderBy("c_name")) + F.col("before")
+    return chosen.join(heads.select("head", before.alias("before")), "head").select("c_custkey", F.format_string("sub-%02d", rank).alias("alias"))

@@ -70,9 +70,12 @@ def group_archetype_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 @register("best_unique_assignment")
 def best_unique_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Templates fitted to the earlier half of a patient's patterns to those fitted to the later half."""
+
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         m = _matrix(rows)
-        chosen = K.unique_assignment(np.abs(m[:4] @ m[4:8].T))
+        early, late = (K.polarity_clusters(part, 4, 42)[0] if len(part) else part for part in (m[: len(m) // 2], m[len(m) // 2 :]))
+        chosen = K.unique_assignment(np.abs(early @ late.T))
         return pd.DataFrame({"row": np.arange(len(chosen)), "chosen": chosen})
 
     return K.grouped(_patterns(spark, d), KEY, "row long, chosen long", kernel)

@@ -114,10 +114,13 @@ s AS (SELECT a.patient_id, a.sample AS archetype, b.sample AS microstate, abs(su
 SELECT archetype, microstate, count(DISTINCT patient_id) AS n_subjects, round(avg(sim), 6) AS mean_similarity, round(median(sim), 6) AS median_similarity, round(min(sim), 6) AS min_similarity FROM s GROUP BY 1, 2 HAVING count(DISTINCT patient_id) >= 3""",
 )
 def template_similarity_group(spark: SparkSession, d: str) -> DataFrame:
-    patterns = V.to_arrays(vectors(spark, d).where("sample < 6"), ["patient_id"]).withColumn("pattern", V.unit_pattern(F.col("pattern")))
-    templates = patterns.where("patient_id = 0 AND sample < 4").select(F.col("sample").alias("microstate"), F.col("pattern").alias("template"))  # four rows
-    scored = patterns.where("patient_id > 0").crossJoin(F.broadcast(templates)).withColumn("sim", V.similarity(F.col("pattern"), F.col("template")))
-    found = scored.groupBy(F.col("sample").alias("archetype"), "microstate").agg(
+    """Templates fitted to all patterns of the other patients against those of the first."""
+    from tessera.plans.kernel_queries import polarity_kmeans
+
+    fitted = polarity_kmeans(spark, d).select("patient_id", F.col("field_state").alias("archetype"), "pattern")
+    templates = fitted.where("patient_id = 0").select(F.col("archetype").alias("microstate"), F.col("pattern").alias("template"))  # four rows
+    scored = fitted.where("patient_id > 0").crossJoin(F.broadcast(templates)).withColumn("sim", V.similarity(F.col("pattern"), F.col("template")))
+    found = scored.groupBy("archetype", "microstate").agg(
         F.countDistinct("patient_id").alias("n_subjects"), F.round(F.avg("sim"), 6).alias("mean_similarity"), F.round(F.median("sim"), 6).alias("median_similarity"), F.round(F.min("sim"), 6).alias("min_similarity")
     )
     return found.where("n_subjects >= 3")

@@ -212,7 +212,10 @@ u AS (SELECT patient_id, sample, unit, x / sqrt(sum(x * x) OVER (PARTITION BY pa
 SELECT patient_id, sample AS field_state, 'r' || unit AS region, round(v * s, 6) AS loading FROM u JOIN b USING (patient_id, sample)""",
 )
 def project_common_space(spark: SparkSession, d: str) -> DataFrame:
-    wide = patterns(spark, d).where("sample < 4")
+    """Templates fitted to all of a patient's patterns, by region."""
+    from tessera.plans.kernel_queries import polarity_kmeans
+
+    wide = polarity_kmeans(spark, d).withColumnRenamed("field_state", "sample")
     long = wide.select("patient_id", "sample", F.posexplode("pattern").alias("channel", "value")).withColumn("channel", F.col("channel").cast("long"))
     units = R.region_signals(long, _mapping(spark, d), KEY)
     arrays = V.to_arrays(units, KEY, channel="region").withColumn("pattern", V.oriented(V.unit_pattern(F.col("pattern"))))
