@@ -12,6 +12,7 @@ shingles themselves.
 
 Null or empty texts and texts under ``width`` words have no shingles: as documents they contain nothing, as items they
 are never reported. Repeated rows are verified one by one and reported once for each (doc_id, item_id) and outcome.
+Null ids are ids, but documents with a null id are told apart by their text, so that one leak doesn't remove the others.
 """
 
 from __future__ import annotations
@@ -55,41 +56,54 @@ def sketches(sets: DataFrame, item_id: str, threshold: float) -> DataFrame:
     return sets.select(item_id, F.explode(F.slice(F.sort_array("__hashes"), F.lit(1), length)).alias("__h"))
 
 
-def find_contained(
+def _unnamed(doc_id: Column, text: Column) -> Column:
+    """A hash of the text where the id is null."""
+    return F.when(doc_id.isNull(), F.md5(text))
+
+
+def find_contained(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", **options) -> DataFrame:
+    """(doc_id, item_id, n_item_shingles, n_shared, containment) of every contained item."""
+    return _contained(docs, items, doc_id=doc_id, item_id=item_id, **options).drop("__null").distinct()
+
+
+def _contained(
     docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8
 ) -> DataFrame:
-    """(doc_id, item_id, n_item_shingles, n_shared, containment) of every contained item."""
-    sets = item_sets(items, item_id, item_text, width)
-    sketch = sketches(sets, item_id, threshold)
-    own = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text"))
+    """The same, with the text's hash of documents without an id."""
+    # As a struct, a null id is a value that sets hold and joins find.
+    sets = item_sets(items.select(F.struct(F.col(item_id).alias("id")).alias("__item"), F.col(item_text).alias("__text")), "__item", "__text", width)
+    sketch = sketches(sets, "__item", threshold)
+    own = docs.select(F.col(doc_id).alias("__doc"), _unnamed(F.col(doc_id), F.col(text)).alias("__null"), F.col(text).alias("__text"))
     # The array of words stays a variable of the generated loop: no row is copied for a probe.
     probes = (
-        own.select("__doc", word_array(F.col("__text")).alias("__words"))
-        .select("__doc", "__words", F.posexplode("__words").alias("__at", "__first"))
+        own.select("__doc", "__null", word_array(F.col("__text")).alias("__words"))
+        .select("__doc", "__null", "__words", F.posexplode("__words").alias("__at", "__first"))
         .where(F.col("__at") <= F.size("__words") - width)
-        .select("__doc", _hash(F.col("__first"), F.col("__words"), F.col("__at"), width).alias("__h"))
+        .select("__doc", "__null", _hash(F.col("__first"), F.col("__words"), F.col("__at"), width).alias("__h"))
     )
-    hits = probes.join(small(sketch, sketch.count()), "__h").groupBy("__doc").agg(F.collect_set(item_id).alias("__items"))
+    hits = probes.join(small(sketch, sketch.count()), "__h").groupBy(F.col("__doc").alias("__d"), F.col("__null").alias("__u")).agg(F.collect_set("__item").alias("__items"))
     verified = (
-        own.join(hits, "__doc")
-        .select("__doc", "__items", word_array(F.col("__text")).alias("__words"))
-        .select("__doc", "__items", _shingles("__words", width).alias("__have"))
-        .select("__doc", "__have", F.explode("__items").alias(item_id))
-        .join(small(sets.select(item_id, "__n", "__shingles"), sets.count()), item_id)
+        own.join(hits, F.col("__doc").eqNullSafe(F.col("__d")) & F.col("__null").eqNullSafe(F.col("__u")))
+        .select("__doc", "__null", "__items", word_array(F.col("__text")).alias("__words"))
+        .select("__doc", "__null", "__items", _shingles("__words", width).alias("__have"))
+        .select("__doc", "__null", "__have", F.explode("__items").alias("__item"))
+        .join(small(sets.select("__item", "__n", "__shingles"), sets.count()), "__item")
         .withColumn("n_shared", F.size(F.array_intersect("__shingles", "__have")))
         .where(F.col("n_shared") >= F.col("__n") * F.lit(threshold))
     )
     return verified.select(
         F.col("__doc").alias(doc_id),
-        item_id,
+        "__null",
+        F.col("__item.id").alias(item_id),
         F.col("__n").cast("long").alias("n_item_shingles"),
         F.col("n_shared").cast("long").alias("n_shared"),
         F.round(F.col("n_shared") / F.col("__n"), 9).alias("containment"),
-    ).distinct()
+    )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that contain no item, with their columns."""
-    key = options.get("doc_id", "doc_id")
-    leaked = find_contained(docs, items, **options).select(F.col(key).alias("__leaked")).distinct()
-    return docs.join(leaked, docs[key].eqNullSafe(F.col("__leaked")), "left_anti")
+    key, text = options.get("doc_id", "doc_id"), options.get("text", "text")
+    leaked = _contained(docs, items, **options).select(F.col(key).alias("__leaked"), "__null").distinct()
+    same = docs[key].eqNullSafe(F.col("__leaked")) & _unnamed(docs[key], docs[text]).eqNullSafe(F.col("__null"))
+    return docs.join(leaked, same, "left_anti")

@@ -81,6 +81,16 @@ def test_queries_match_their_sql(spark, name):
     assert sorted(map(str, found.itertuples(index=False, name=None))) == sorted(map(str, want.itertuples(index=False, name=None)))
 
 
+def test_decontamination_with_null_ids(spark):
+    one, two = words(30, 9), words(30, 14)
+    docs = corpus(spark, [(None, " ".join(words(300, 10) + one)), (None, " ".join(words(300, 11))), (None, None), (1, " ".join(two)), (2, " ".join(words(40, 12)))])
+    items = spark.createDataFrame([(7, " ".join(one)), (None, " ".join(two)), (None, " ".join(words(20, 13)))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.containment) for r in find_contained(docs, items).collect()}
+    assert found == {(None, 7, 1.0), (1, None, 1.0)}
+    left = decontaminate(docs, items).collect()
+    assert sorted(str(r.doc_id) for r in left) == ["2", "None", "None"] and all(" ".join(one) not in (r.text or "") for r in left)
+
+
 # ---- 2
 
 
