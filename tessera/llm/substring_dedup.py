@@ -1,11 +1,8 @@
-"""Substring dedup on words by prefix-partitioned suffixes.
-
-A node of depth ``width`` words in the suffix tree of all documents is a passage that repeats. The suffixes are split by
-a prefix (here the anchor k-gram that the passage must contain); a prefix that only one suffix has bounds no deep node
-and is dropped after the first exchange. What is left is split further by the longer prefix of ``width`` words, so that
-every group fits in memory however common its first words are, and the groups' nodes of that depth are read off the
-sorted suffixes: a node's documents are those with one fingerprint. Deeper nodes need no tree of their own, since every
-``width`` words of a longer repeat repeat. See ``repeats`` for the exchanges.
+"""Substring dedup on words by a hash join of windows.
+
+It stands in for prefix-partitioned suffix trees: what is removed depends only on whether ``width`` words repeat, and
+every ``width`` words of a longer repeat repeat. So windows with an anchor k-gram that repeats are grouped by the hash of
+their words, without suffix order, trees or maximal repeats. See ``repeats`` for the exchanges.
 
 A word is removed if a window of ``width`` words that covers it also starts in a document with a smaller id; windows are
 judged on the input. Null ids are the least. Null texts have no words; with under ``width`` words nothing is removed.
