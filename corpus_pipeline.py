@@ -23,9 +23,9 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determinable language (null, or no letter) go."""
+    """Documents without a determinable language (null, or no letter) go; not those with letters if nothing could be learned."""
     share_package(spark)
-    return identify(docs, vocabulary("piece_bpe_32k.model")).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    return identify(docs, vocabulary("piece_bpe_32k.model")).where((F.col("lang_pred") != UNDETERMINED) | F.col("text").rlike(r"\p{L}")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

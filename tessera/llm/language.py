@@ -3,8 +3,8 @@
 The pieces of a fixed public vocabulary (a sentencepiece model file; only its piece strings are used) have a probability
 for each language. A word's probability under a language is the sum over all its segmentations into pieces of the
 product of their probabilities, computed by a forward recursion; a text's is the product over its words. Words are
-lower-cased runs of letters with the vocabulary's mark in front; a run of more than ``BLOCK`` characters is scored in
-blocks of that length. A character that no piece covers has a fixed small probability.
+lower-cased runs of letters with the vocabulary's mark in front; a run of more than ``BLOCK`` characters is learned
+and scored in blocks of that length. A character that no piece covers has a fixed small probability.
 
 Probabilities are learned by expectation maximisation (forward-backward over all segmentations) from word counts of a
 bounded sample: about ``sample_docs`` documents of each language, chosen by the hash of their id, and at most
@@ -158,8 +158,8 @@ def fit(pieces: Pieces, counts: pd.DataFrame, languages: list[str], rounds: int
     prob = np.full((len(pieces.pieces), len(languages)), 1.0 / max(1, len(pieces.pieces)))
     for j, lang in enumerate(languages):
         own = counts[counts["lang"] == lang]
-        words = [w[:BLOCK] for w in own["word"]]
-        weight = own["n"].to_numpy(float)
+        blocks = [(w[k : k + BLOCK], n) for w, n in zip(own["word"], own["n"], strict=True) for k in range(0, len(w), BLOCK)]
+        words, weight = [w for w, _ in blocks], np.array([n for _, n in blocks], float)
         parts = [(at, pieces.spans(part)[0]) for at, part in by_length(words)]
         p = prob[:, j : j + 1].copy()
         for _ in range(rounds):
@@ -200,7 +200,7 @@ def train(labelled: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text:
         sample.select(F.col("__lang").alias("lang"), F.explode(word).alias("word"))
         .groupBy("lang", "word")
         .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "lang", "word")
+        .orderBy(F.desc("n"), F.xxhash64("lang", "word"), "lang", "word")
         .limit(sample_words)
         .toPandas()
     )

@@ -8,17 +8,19 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import registry
 from tessera.llm.components import components
 from tessera.llm.decontaminate import decontaminate, find_contained
 from tessera.llm.fingerprints import compare_edits, likeness
 from tessera.llm.jaccard_join import keep_one, near_duplicates
-from tessera.llm.language import Pieces, forward, identify, word_scores
+from tessera.llm.language import Pieces, fit, forward, identify, word_scores
 from tessera.llm.mixing import mix, plan_mix
 from tessera.llm.repeats import anchors
 from tessera.llm.secrets import base_spans, link, redact, scan_secrets, scan_text, weak_spans
@@ -370,6 +372,18 @@ def test_language(spark):
     assert {r.lang_pred for r in none} <= {"und", "de", "en"}
 
 
+def test_long_runs_are_learned_whole():
+    counts = pd.DataFrame([("aa", "a" * 48 + "b" * 48, 5)], columns=["lang", "word", "n"])
+    pieces = Pieces(["a", "b", "▁a"])
+    prob = fit(pieces, counts, ["aa"])[:, 0]
+    assert prob[1] > 0.3
+
+
+def test_pipeline_keeps_texts_without_labels(spark):
+    docs = corpus(spark, [(1, "some words"), (2, None), (3, "12 34"), (4, "中文")]).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()) == [1, 4]
+
+
 # ---- 10
 
 
