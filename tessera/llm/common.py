@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -11,19 +13,23 @@ from pyspark.sql import functions as F
 
 #: Rows of a lookup table up to which it may be broadcast (some tens of bytes a row).
 BROADCAST_ROWS = 1 << 16
+#: Rows of a key from which it counts as hot.
+HOT_ROWS = 10_000
 
 #: ASCII white space, in Java and RE2 notation.
 SPACES = r"[\x20\x09-\x0D]+"
 
 _own_dirs: dict[str, str] = {}
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode one of our own where that is unset."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -35,26 +41,69 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for table in tables:
+        path = table.written_to
+        if path in _written:
+            _delete(_written.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def _remove_written() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; what is left belongs to the cluster's own clean-up
             return
 
 
+def release_memory() -> None:
+    """Give the worker's freed memory back to the system, so that the next stage finds it."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if its counted ``rows`` are few enough, else as it is."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], members: str) -> DataFrame:
+    """``rows`` left-joined with ``classes``, which has a row at most for each key and in ``members`` its number of rows.
+
+    Keys of many rows (BROADCAST_ROWS of them at most, as their rows add up to those of the table) are joined by
+    broadcast where the rows are; only the others are shuffled. ``members`` isn't returned.
+    """
+    total = classes.agg(F.sum(members)).first()[0] or 0
+    hot = F.col(members) > max(HOT_ROWS, total // BROADCAST_ROWS)
+    added = [c for c in classes.columns if c not in (*keys, members)]
+    top = classes.where(hot).drop(members).withColumn("__hot", F.lit(True))
+    placed = rows.join(F.broadcast(top), keys, "left")
+    back = [*rows.columns, *added]
+    done = placed.where("__hot").select(*back)
+    rest = placed.where(F.col("__hot").isNull()).select(*rows.columns).join(classes.where(~hot).drop(members), keys, "left").select(*back)
+    return done.unionByName(rest)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``; for files their size on disk."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

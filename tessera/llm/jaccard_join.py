@@ -2,37 +2,43 @@
 
 A document's set holds the distinct shingles of ``width`` words (A-Z lower-cased, split at ASCII white space; with fewer
 words the whole sequence is one shingle; without words it is empty and links with nothing). Two documents link when
-100 * |A and B| >= ``percent`` * |A or B|. Sets are compared as 64-bit shingle hashes.
+100 * |A and B| >= ``percent`` * |A or B|. Sets are compared as 64-bit shingle hashes, which only meet within a pair.
 
 1. Documents with equal sets (128-bit digest and size) become one class; only its least id goes on.
-2. Adaptive prefixes, in hash order. A linked document shares at least o = ceil(percent * n / 100) of its n shingles, so
-   of its first n - o + l at least l. First l is 1: each block of documents sends the distinct hashes of its prefixes to
-   buckets and learns which occur in another set. A prefix without any has no candidate and costs nothing more. Those
-   with candidates are lengthened to the whole set, l = o: only documents of which o shingles occur elsewhere stay.
-3. Those are joined exactly with prefixes in order of rising frequency. Each document is first verified against one
-   leader, that of its rarest shared prefix shingle, which joins groups of near copies at a cost in proportion to their
-   size. Prefix shingles of one component need no more work. For the other ones, the components that meet are compared
-   in full, the members of the smaller against chunks of the larger, until a link is found or there is none.
-4. Links give components; equal sets rejoin their class.
-
-No step lists all pairs of a group, and none drops candidates. Rows that share an id are one document of the join, with
-the set of the one whose (size, digest) is least; a row keeps its own n_shingles. Null ids link with nothing.
+2. A linked document shares at least o = ceil(percent * n / 100) of its n shingles. Blocks of documents exchange hashes
+   of the n - o + 1 first in hash order; who meets nobody there is done. The others exchange all shingles, and go on if
+   o of them occur elsewhere.
+3. Shingles are put in order of rising frequency. Each document is verified against three leaders, the most central
+   documents (highest mean log-frequency) that have its rarest, middle or most frequent prefix shingle. That joins
+   groups of near copies at a cost in proportion to their size.
+4. Two sets of sizes p and q that link share c >= a = ceil(percent * (p + q) / (100 + percent)) shingles, and at least l
+   of them (l <= c) among the first p - a + l of one and the first q - a + l of the other: the l-th common one has a - l
+   more behind it in both. For each document l is chosen from ``LEVELS`` by estimated cost: entries of other documents
+   met in its prefix at that length, plus the verification of those that can be met l times. A pair of different
+   components is verified if it shares as many prefix shingles as the smaller l of the two asks.
+5. Links give components; equal sets rejoin their class.
+
+No step lists the pairs of a group that leaders have joined, and none drops candidates. Ids are read as longs. Rows that
+share an id are one document of the join, with the set of the one whose (size, digest) is least; a row keeps its own
+n_shingles. Null ids link with nothing: their component_id is null.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, join_classes, materialize, release_memory
 from tessera.llm.components import components
-from tessera.llm.repeats import BLOBS, REPLIES, Sequences, blocked, by_bucket, common_entries, counts_for, prefix_sums, range_hashes, scramble, window_hashes
-from tessera.llm.substring_dedup import word_codes
+from tessera.llm.repeats import BLOBS, REPLIES, blocked, by_bucket, common_entries, counts_for, scramble, window_hashes
+from tessera.llm.words import word_codes
 
-#: Members of a component that are compared at once.
-CHUNK = 256
+#: Numbers of prefix shingles that a pair may be asked to share, and the cost of verifying a shingle in entries met.
+LEVELS, VERIFY_COST = (1, 2, 4), 0.1
+#: Probes of a leader in a task.
+SPREAD_ROWS = 512
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
 HASHED_BYTES = 2_000_000
 
@@ -50,20 +56,16 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
 
 
 def _shingle_sets(lower: list[bytes], width: int) -> list[np.ndarray]:
-    seq: Sequences = word_codes(lower)
+    seq = word_codes(lower)
+    ends = np.cumsum(seq.sizes)
     marks = window_hashes(seq.codes, width)
-    sums = None
-    out, at = [], 0
-    for n in seq.sizes.tolist():
+    short = {n: scramble(window_hashes(seq.codes, n) + np.uint64(n)) for n in set(seq.sizes[seq.sizes < width].tolist()) if n}
+    out = []
+    for n, at in zip(seq.sizes.tolist(), (ends - seq.sizes).tolist(), strict=True):
         if n >= width:
             out.append(np.unique(marks[at : at + n - width + 1]))
-        elif n:
-            if sums is None:
-                sums = prefix_sums(seq.codes)
-            out.append(range_hashes(sums, np.array([at]), np.array([at + n])))
         else:
-            out.append(np.zeros(0, np.uint64))
-        at += n
+            out.append(short[n][at : at + 1] if n else np.zeros(0, np.uint64))
     return out
 
 
@@ -150,6 +152,7 @@ def candidate_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, w
             kept = s[within(s, hit)]
             if len(kept) >= needed(len(s), percent):
                 rows.append((i, len(s), np.sort(kept.astype(np.int64))))
+        release_memory()
         return pd.DataFrame(rows, columns=["doc", "n", "shingles"])
 
     def met(kind: int):
@@ -167,90 +170,101 @@ def candidate_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, w
     return texts.groupBy("block").cogroup(twice.groupBy("block")).applyInPandas(last, "doc long, n long, shingles array<long>")
 
 
-def _linked(percent: int):
-    return F.expr(f"100 * common >= {percent} * (n_a + n_b - common)")
+def place_bound(percent: int, level: int) -> Column:
+    """The largest partner that can still share ``level`` shingles up to this place of a set's order (see link_sets)."""
+    return F.expr(f"{100 + percent} * (n - place + {level}) div {percent} - n")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    a, b = (sets.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"s_{s}")) for s in "ab")
-    # Sizes first: a pair whose smaller set can't fill the share is not looked at.
+    """The pairs (a, b) that link. Rows carry spread and salt: those of a frequent b are dealt to ``spread`` tasks."""
+    a = sets.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
+    b = sets.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
+    copies = pairs.select("b", "spread").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("spread") - 1)))
     near = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return pairs.join(a, "a").join(b, "b").where(near).withColumn("common", F.size(F.array_intersect("s_a", "s_b"))).where(_linked(percent)).select("a", "b")
+    linked = F.expr(f"100 * common >= {percent} * (n_a + n_b - common)")
+    both = pairs.join(a, "a").join(copies.join(b, "b"), ["b", "spread", "salt"]).where(near)
+    return both.withColumn("common", F.size(F.array_intersect("s_a", "s_b"))).where(linked).select("a", "b")
 
 
-def link_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect exactly what all links of the sets connect."""
+def ordered_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, doc, n, place, at, first, score): the longest prefixes that a level may ask for.
+
+    Shingles are ordered by frequency, then value; place counts from 1, with those of one set only before all others, at
+    leaves them out; first is the last ``at`` of the prefix of level 1. score is the mean log-frequency of the set's
+    shingles.
+    """
     one = sets.select("doc", "n", F.explode("shingles").alias("shingle"))
     frequency = one.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
-    shared = one.join(frequency, "shingle")
-    # Shingles of one set only come first in the order and take their places in the prefix.
-    order = Window.partitionBy("doc").orderBy("f", "shingle")
-    spread = shared.withColumn("at", F.row_number().over(order)).withColumn("shared", F.count("*").over(Window.partitionBy("doc")))
-    # The larger set of a linked pair has a common shingle in its prefix of n - ceil(t n) + 1; the first common one is
-    # then also among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller, which may lack fewer.
-    place = F.col("at") + F.col("n") - F.col("shared")
-    prefix = spread.withColumn("place", place).where(F.expr(f"place <= n - ceil(n * {percent} / 100.0D) + 1"))
-    prefix = prefix.withColumn("short", F.expr(f"place <= n - ceil(n * {2 * percent} / {100 + percent}.0D) + 1"))
-    prefix = materialize(prefix.select("shingle", "doc", "n", "at", (F.col("n") - F.col("place")).alias("behind"), "short"))
-
-    leader = prefix.groupBy("shingle").agg(F.min_by("doc", F.struct(F.xxhash64("doc"), "doc")).alias("leader"))
-    rarest = prefix.where("at = 1").select("shingle", F.col("doc").alias("a")).join(leader.withColumnRenamed("leader", "b"), "shingle").where("a <> b").select("a", "b")
-    star = materialize(verify(rarest, sets, percent))
-    label = components(sets.select(F.col("doc").alias("node")), star)
-
-    placed = prefix.join(label.withColumnRenamed("node", "doc"), "doc").groupBy("shingle", "component")
-    placed = placed.agg(F.max("short").alias("short"), F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.when(F.col("short"), F.col("n"))).alias("from_n"), F.max(F.when(F.col("short"), F.col("n"))).alias("to_n"), F.max("behind").alias("behind"))
-    open_ = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("short").alias("any")).where("lo < hi AND any").select("shingle")
-    mixed = placed.join(open_, "shingle")
-    # One side is a smaller set with the shingle in its short prefix; the other has sets of a fitting size.
-    lesser = mixed.where("short").select("shingle", F.col("component").alias("x"), "from_n", "to_n", F.col("behind").alias("behind_x"))
-    larger = mixed.select("shingle", F.col("component").alias("y"), "least", "most", F.col("behind").alias("behind_y"))
-    # If it is their first common one, what lies behind it in either order bounds what they share.
-    enough = f"{100 + percent} * (1 + least(behind_x, behind_y)) >= {percent} * (from_n + least)"
-    fits = F.expr(f"x <> y AND from_n <= most AND {percent} * least <= 100 * to_n AND {enough}")
-    meet = lesser.join(larger, "shingle").where(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    sizes = label.groupBy("component").agg(F.count("*").alias("members"))
-    meet = meet.join(sizes.select(F.col("component").alias("x"), F.col("members").alias("mx")), "x").join(sizes.select(F.col("component").alias("y"), F.col("members").alias("my")), "y")
-    swap = F.col("mx") <= F.col("my")
-    meet = meet.select(F.when(swap, F.col("x")).otherwise(F.col("y")).alias("less"), F.when(swap, F.col("y")).otherwise(F.col("x")).alias("more"), F.greatest("mx", "my").alias("members"))
-    meet = materialize(meet)
-    n_chunks = F.ceil(F.col("members") / CHUNK)
-    members = label.withColumnRenamed("node", "doc")
-    held = (
-        members.join(meet.select(F.col("more").alias("component"), "members").distinct(), "component")
-        .select("component", F.pmod(F.xxhash64("doc"), n_chunks).alias("chunk"), "doc")
-        .join(sets, "doc")
-    )
-    asked = (
-        members.select(F.col("component").alias("less"), "doc")
-        .join(meet, "less")
-        .select(F.col("more").alias("component"), F.explode(F.sequence(F.lit(0).cast("long"), n_chunks - 1)).alias("chunk"), "doc")
-        .join(sets, "doc")
-    )
-
-    again = lambda df: df.select(*(F.col(c).alias(c) for c in ("component", "chunk", "doc", "n", "shingles")))  # noqa: E731  columns of its own
-
-    def cross(key: tuple, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        """One link at most of each document of ``other`` into the chunk."""
-        if not len(own) or not len(other):
-            return pd.DataFrame([], columns=["a", "b"])
-        own = own.sort_values("doc")
-        every = np.concatenate(own["shingles"].tolist())
-        owner = np.repeat(np.arange(len(own)), [len(s) for s in own["shingles"]])
-        n_own, ids = own["n"].to_numpy(), own["doc"].to_numpy()
-        rows = []
-        for doc, n, s in zip(other["doc"], other["n"], other["shingles"], strict=True):
-            at = np.searchsorted(s, every)
-            hit = s[np.minimum(at, len(s) - 1)] == every
-            common = np.bincount(owner[hit], minlength=len(own))
-            linked = np.flatnonzero(100 * common >= percent * (n + n_own - common))
-            if len(linked):
-                rows.append((doc, ids[linked[0]]))
-        return pd.DataFrame(rows, columns=["a", "b"])
+    own = Window.partitionBy("doc")
+    spread = one.join(frequency, "shingle").withColumn("at", F.row_number().over(own.orderBy("f", "shingle")))
+    spread = spread.withColumn("shared", F.count("*").over(own)).withColumn("score", F.sum(F.log2("f")).over(own) / F.col("n"))
+    least = F.expr(f"ceil(n * {percent} / 100.0D)")
+    spread = spread.withColumn("place", F.col("at") + F.col("n") - F.col("shared")).withColumn("first", F.col("shared") - least + 1)
+    return spread.where(F.col("at") < F.col("first") + LEVELS[-1]).select("shingle", "doc", "n", "place", "at", "first", "score")
+
+
+def leader_links(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of each document with leaders: of the sets with its rarest, middle and most frequent prefix shingle the most central."""
+    own = prefix.where("at <= first")
+    leader = own.groupBy("shingle").agg(F.max_by("doc", F.struct("score", "doc")).alias("b"), F.count("*").alias("probes"))
+    probe = own.where("at = 1 OR at = first OR at = (first + 1) div 2").select("shingle", F.col("doc").alias("a"))
+    spread = F.ceil(F.col("probes") / SPREAD_ROWS)
+    asked = probe.join(leader, "shingle").where("a <> b").groupBy("a", "b").agg(F.max(spread).alias("spread"))
+    return verify(asked.withColumn("salt", F.pmod(F.xxhash64("a"), "spread")), sets, percent)
+
+
+def candidates(prefix: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """(a, b): documents of different components that share as many prefix shingles as their level asks."""
+    placed = prefix.join(label.select(F.col("node").alias("doc"), "component"), "doc")
+    for level in LEVELS:
+        placed = placed.withColumn(f"reach_{level}", place_bound(percent, level))
+    # For each shingle the least set and the farthest reaches, of two components: those of the others, for each entry.
+    far = [f"reach_{level}" for level in LEVELS]
+    grouped = placed.groupBy("shingle", "component").agg(F.min("n").alias("n"), *(F.max(c).alias(c) for c in far))
+    best = grouped.groupBy("shingle").agg(F.min(F.struct("n", "component")).alias("n_1"), *(F.max(F.struct(c, "component")).alias(f"{c}_1") for c in far), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    other = lambda c: F.when(F.col("component") != F.col(f"{c}_1.component"), F.col(c))
+    second = grouped.join(best, "shingle").groupBy("shingle").agg(F.min(other("n")).alias("n_2"), *(F.max(other(c)).alias(f"{c}_2") for c in far))
+    bounds = best.join(second, "shingle").drop("lo", "hi")
+    entries = placed.join(bounds, "shingle")
+    others = lambda c: F.when(F.col("component") == F.col(f"{c}_1.component"), F.col(f"{c}_2")).otherwise(F.col(f"{c}_1.{c}"))
+    least = F.expr(f"ceil(n * {percent} / 100.0D)")
+    for level in LEVELS:
+        usable = (F.col(f"reach_{level}") >= F.greatest(others("n"), least)) & (F.col("n") <= others(f"reach_{level}")) & (least >= level)
+        entries = entries.withColumn(f"in_{level}", usable)
+    deepest = F.col(f"in_{LEVELS[0]}")
+    for level in LEVELS[1:]:
+        deepest = deepest | F.col(f"in_{level}")
+    marks = [f"in_{level}" for level in LEVELS]
+    entries = materialize(entries.where(deepest).select("shingle", "doc", "n", "place", "component", *marks))
+    # The estimate: entries met at a level, and their share that can be met often enough and is then verified.
+    lists = entries.groupBy("shingle").agg(*(F.count_if(m).alias(f"f_{m}") for m in marks))
+    met = entries.join(lists, "shingle").groupBy("doc", "n").agg(*(F.sum(F.when(F.col(m), F.col(f"f_{m}") - 1)).alias(m) for m in marks))
+    costs = [F.struct((F.coalesce(F.col(f"in_{v}"), F.lit(float("inf"))) * (1 + F.col("n") * VERIFY_COST / v)).alias("cost"), F.lit(v).alias("level")) for v in LEVELS]
+    chosen = met.select("doc", F.array_min(F.array(*costs)).getField("level").alias("level"))
+    posted = materialize(entries.join(chosen, "doc").where(" OR ".join(f"level = {v} AND in_{v}" for v in LEVELS)).select("shingle", "doc", "n", "place", "component", "level"))
+    a, b = (posted.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "place", "component", "level"))) for s in "ab")
+    alpha = f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"
+    reached = " AND ".join(f"place_{s} <= n_{s} - {alpha} + least(level_a, level_b)" for s in "ab")
+    fits = F.expr(f"component_a < component_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {reached}")
+    shared = a.join(b, "shingle").where(fits).groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.count("*").alias("common"), F.min(F.least("level_a", "level_b")).alias("asked"))
+    found = materialize(shared.where("common >= asked").select("a", "b"))
+    discard(entries, posted)
+    return found
 
-    found = again(held).groupBy("component", "chunk").cogroup(again(asked).groupBy("component", "chunk")).applyInPandas(cross, "a long, b long")
-    return star.union(found)
+
+def link_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the sets: the components of their links."""
+    prefix = materialize(ordered_prefixes(sets, percent))
+    label = materialize(components(sets.select(F.col("doc").alias("node")), leader_links(prefix, sets, percent)))
+    pairs = candidates(prefix, label, percent)
+    found = verify(pairs.select("a", "b", F.lit(1).cast("long").alias("spread"), F.lit(0).cast("long").alias("salt")), sets, percent)
+    name = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    links = materialize(found.join(name("a"), "a").join(name("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct())
+    ends = links.select(F.col("a").alias("node")).union(links.select("b"))
+    joined = components(ends, links).where("component < node").select(F.col("node").alias("component"), F.col("component").alias("least"))
+    size = label.groupBy("component").agg(F.count("*").alias("members"))
+    whole = join_classes(label, joined.join(size, "component"), ["component"], "members")
+    return whole.select("node", F.coalesce("least", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -262,15 +276,19 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     made = docs.select(F.col(doc_id).cast("long").alias("doc"), digests(F.col(text)).alias("d")).select("doc", "d.n", "d.x", "d.y")
     every = materialize(made)
-    each = every.where("doc IS NOT NULL").groupBy("doc").agg(F.min(F.struct("n", "x", "y")).alias("d")).select("doc", "d.*").where("n > 0")
-    classes = each.groupBy("n", "x", "y").agg(F.min("doc").alias("head"))
-    member = materialize(each.join(classes, ["n", "x", "y"]).select("doc", "head"))
-    chosen = member.select(F.col("head").alias("doc")).distinct()
+    each = materialize(every.where("doc IS NOT NULL").groupBy("doc").agg(F.min(F.struct("n", "x", "y")).alias("d")).select("doc", "d.*").where("n > 0"))
+    keys = ["n", "x", "y"]
+    classes = materialize(each.groupBy(*keys).agg(F.min("doc").alias("head"), F.count("*").alias("members")).where("members > 1"))
+    member = materialize(join_classes(each, classes, keys, "members").select("doc", F.coalesce("head", "doc").alias("head")))
+    chosen = member.where("doc = head").select("doc")
     sets = materialize(candidate_sets(docs, chosen, doc_id, text, width, percent))
-    label = components(sets.select(F.col("doc").alias("node")), link_sets(sets, percent))
-    placed = member.join(label.withColumnRenamed("node", "head"), "head", "left").select("doc", F.coalesce("component", "head").alias("component"))
-    component = F.coalesce("component", "doc")
-    return every.join(placed, "doc", "left").select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    label = materialize(link_sets(sets, percent))
+    copies = member.groupBy("head").agg(F.count("*").alias("members"))
+    moved = materialize(label.where("component <> node").select(F.col("node").alias("head"), "component").join(copies, "head"))
+    placed = join_classes(member, moved, ["head"], "members").select("doc", F.coalesce("component", "head").alias("component"))
+    numbered = every.where("doc IS NOT NULL").join(placed, "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    out = numbered.unionByName(every.where("doc IS NULL").select("doc", "n", F.lit(None).cast("long").alias("component")))
+    return out.select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

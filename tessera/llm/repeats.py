@@ -36,46 +36,41 @@ REPLIES = "block long, bucket long, kind int, data binary"
 #: Estimates from here on are Spark's stand-in for not knowing.
 UNKNOWN = 1 << 60
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 #: A random number for each byte, from a fixed seed.
 BYTE_CODES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """1, base, base^2, ... modulo 2^64, n of them at least."""
-    if base not in _powers or len(_powers[base]) < n:
-        p = np.full(max(n, 1 << 16), base, np.uint64)
-        p[0] = 1
-        _powers[base] = np.cumprod(p, dtype=np.uint64)
-    return _powers[base]
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * _MIX
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(32))
 
 
-def prefix_sums(codes: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * powers(_BASE, len(codes))[: len(codes)], dtype=np.uint64, out=out[1:])
-    return out
-
-
-def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the units from start to end."""
-    inverse = powers(_INVERSE, len(sums))
-    return scramble((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of sequences from those of their two halves. The shifts keep it from being linear, as sums of powers are."""
+    x = a * _ODD
+    x += b
+    x ^= x >> np.uint64(29)
+    x *= _MIX
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """The hash of each window of the sequence."""
-    if len(codes) < width:
+    """The hash of each window of the sequence, from windows whose lengths are powers of two."""
+    n = len(codes) - width + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    at = np.arange(len(codes) - width + 1)
-    return range_hashes(prefix_sums(codes), at, at + width)
+    power, size, out, done = codes, 1, None, 0
+    while True:
+        if width & size:
+            out = power[:n] if out is None else combine(out, power[done : done + n])
+            done += size
+        if done == width:
+            return out.copy() if done == 1 else out
+        power = combine(power[:-size], power[size:])
+        size *= 2
 
 
 def anchors(codes: np.ndarray, sizes: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,6 +169,12 @@ def unpack(blob: bytes, *kinds: type | None) -> list:
     return out
 
 
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... (count of them) for each pair."""
+    ends = np.cumsum(count)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - count), count)
+
+
 def by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket and the indexes of its entries, in their order."""
     order = np.argsort(buckets, kind="stable")

@@ -1,37 +1,107 @@
-"""Substring dedup on words by a hash join of windows.
-
-It stands in for prefix-partitioned suffix trees: what is removed depends only on whether ``width`` words repeat, and
-every ``width`` words of a longer repeat repeat. So windows with an anchor k-gram that repeats are grouped by the hash of
-their words, without suffix order, trees or maximal repeats. See ``repeats`` for the exchanges.
+"""Substring dedup on words by prefix-partitioned suffix trees.
 
 A word is removed if a window of ``width`` words that covers it also starts in a document with a smaller id; windows are
-judged on the input. Null ids are the least. Null texts have no words; with under ``width`` words nothing is removed.
-Rows that share an id are judged separately, and never count as smaller than each other.
+judged on the input. Only suffixes whose first window holds a repeated anchor can matter (see ``repeats``); those are
+dealt to buckets with the words that follow them. A bucket splits its suffixes by variable-length prefixes: by their
+first word, and where a group exceeds ``GROUP`` suffixes by the next word too, until every group fits. Each group is
+sorted into suffix order with the lengths of the common prefixes of neighbours, which is its suffix tree; the inner nodes
+of depth ``width`` or more lie in intervals of neighbours that share ``width`` words, the maximal repeats' loci. The
+least id under the topmost such node decides. Words are compared themselves there, not by hashes.
+
+Null ids are the least. Null texts have no words; with under ``width`` words nothing is removed. Rows that share an id
+are judged separately, and never count as smaller than each other. Ids are read as longs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessera.llm.repeats import BYTE_CODES, Sequences, blocked, by_bucket, counts_for, find_repeats, numeric, pack, prefix_sums, range_hashes, unpack, window_hashes
+from tessera.llm.common import release_memory
+from tessera.llm.repeats import Sequences, blocked, by_bucket, counts_for, find_repeats, numeric, pack, ranges, unpack, window_hashes
+from tessera.llm.words import pieces, word_codes
 
 K = 5
-
-
-def word_codes(texts: list[bytes]) -> Sequences:
-    """A hash for each run of bytes other than ASCII white space."""
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    solid = (data != 0x20) & ((data < 0x09) | (data > 0x0D))
-    turn = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8))).reshape(-1, 2)
-    codes = range_hashes(prefix_sums(BYTE_CODES[data]), turn[:, 0], turn[:, 1])
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return Sequences(codes, np.diff(np.searchsorted(turn[:, 0], ends, "left"), prepend=0))
-
-
+#: Suffixes of a subtree.
+GROUP = 200_000
+
+
+def _sequences(texts: list[bytes]) -> Sequences:
+    """Codes of the words, and in the bytes of all texts where each word starts and ends."""
+    seq = word_codes(texts)
+    seq.data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    solid = np.zeros(len(seq.data) + 1, bool)
+    solid[:-1] = (seq.data != 0x20) & ((seq.data < 0x09) | (seq.data > 0x0D))
+    seq.begin = np.flatnonzero(solid[:-1] & ~np.concatenate([[False], solid[:-2]]))
+    seq.end = np.flatnonzero(solid[:-1] & ~solid[1:]) + 1
+    return seq
+
+
+class Numbers(dict):
+    """0, 1, 2, ... for each new key."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+def prefix_groups(ids: np.ndarray, at: np.ndarray, most: int, width: int, depth: int = 0) -> Iterator[np.ndarray]:
+    """Suffixes (their starts) in groups of at most ``most`` that share a prefix, or several whole prefixes; only equal windows exceed it."""
+    if len(at) <= most or depth == width:
+        yield at
+        return
+    word = ids[at + depth]
+    order = np.argsort(word, kind="stable")
+    cuts = np.flatnonzero(np.diff(word[order])) + 1
+    edges = np.concatenate([[0], cuts, [len(at)]]).tolist()
+    start = 0
+    for i in range(1, len(edges)):
+        if edges[i] - edges[i - 1] > most:
+            if edges[i - 1] > start:
+                yield at[order[start : edges[i - 1]]]
+            yield from prefix_groups(ids, at[order[edges[i - 1] : edges[i]]], most, width, depth + 1)
+            start = edges[i]
+        elif edges[i] - start > most:
+            yield at[order[start : edges[i - 1]]]
+            start = edges[i - 1]
+    if start < len(at):
+        yield at[order[start:]]
+
+
+def subtree(ids: np.ndarray, at: np.ndarray, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of the starts, and words (up to ``width``) that each shares with the one before it."""
+    fit = max(1, 63 // bits)
+    keys = []
+    for first in range(0, width, fit):
+        key = np.zeros(len(at), np.int64)
+        for j in range(first, min(width, first + fit)):
+            key = (key << bits) | ids[at + j]
+        keys.append((key, min(fit, width - first)))
+    order = np.lexsort([key for key, _ in reversed(keys)])
+    common, open_ = np.zeros(len(at), np.int64), np.arange(1, len(at))
+    for key, size in keys:
+        differ = key[order[open_]] ^ key[order[open_ - 1]]
+        same = differ == 0
+        common[open_[same]] += size
+        part = np.floor(np.log2(differ[~same].astype(float))).astype(np.int64) // bits  # the first word, from the left, that differs
+        common[open_[~same]] += size - 1 - part
+        open_ = open_[same]
+    return order, common
+
+
+def least_below_nodes(order: np.ndarray, common: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+    """For each suffix the least owner under its topmost node of depth ``width`` or more (its own where it has none)."""
+    if not len(order):
+        return owner
+    heads = np.flatnonzero(common < width)
+    least = np.minimum.reduceat(owner[order], heads)
+    out = np.empty(len(owner), owner.dtype)
+    out[order] = np.repeat(least, np.diff(np.append(heads, len(order))))
+    return out
 
 
 def remove_repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13) -> DataFrame:
@@ -39,53 +109,68 @@ def remove_repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: s
     k = min(K, width)
     blocks, buckets = counts_for(docs, text)
 
-    def local(seq: Sequences, ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows in the runs, by position: their starts, marks and documents' ids."""
-        n = last - first + 1
-        ends = np.cumsum(n)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - n), n)
-        doc = np.searchsorted(np.cumsum(seq.sizes), at, "right")
-        return at, window_hashes(seq.codes, width)[at] if len(at) else np.zeros(0, np.uint64), numeric(ids)[doc] if len(at) else np.zeros(0, np.int64)
-
     def send(block: int, ids: np.ndarray, seq: Sequences, runs: tuple) -> list[tuple[int, int, bytes]]:
-        _, marks, docs_of = local(seq, ids, runs[1], runs[2])
-        distinct, place = np.unique(marks, return_index=True)  # the first has the least id: documents are in order
-        least = docs_of[place] if len(place) else docs_of
-        return [(b, 0, pack(distinct[at], least[at])) for b, at in by_bucket((distinct % np.uint64(buckets)).astype(np.int64))]
+        hashes, first, last = runs
+        if not len(hashes):
+            return []
+        # Of runs with equal words the first goes, which has the least id. The first and last window cover a run.
+        marks = window_hashes(seq.codes, width)
+        _, place = np.unique(np.stack([hashes, marks[first], marks[last], (last - first).astype(np.uint64)], 1), axis=0, return_index=True)
+        place = np.sort(place)
+        owner = numeric(ids)[np.searchsorted(np.cumsum(seq.sizes), first[place], "right")]
+        out = []
+        for b, at in by_bucket((hashes[place] % np.uint64(buckets)).astype(np.int64)):
+            i = place[at]
+            begin, end = seq.begin[first[i]], seq.end[last[i] + width - 1] + 1  # with the space after the last word
+            out.append((b, 0, pack(first[i], (last[i] - first[i] + 1).astype(np.int32), owner[at], seq.data[ranges(begin, end - begin)].tobytes())))
+        return out
 
     def compare(blobs: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
-        parts = [(block, *unpack(blob, np.uint64, np.int64)) for block, _, blob in blobs]
-        marks, least = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
-        order = np.lexsort([least, marks])
-        head = np.ones(len(order), bool)
-        head[1:] = marks[order[1:]] != marks[order[:-1]]
-        smallest = np.empty(len(order), np.int64)
-        smallest[order] = least[order][head][np.cumsum(head) - 1]
-        hit = smallest < least
+        parts = [(block, *unpack(blob, np.int64, np.int32, np.int64, None)) for block, _, blob in blobs]
+        number = Numbers()
+        words = [np.fromiter(map(number.__getitem__, piece.split()), np.int64) for p in parts for piece in pieces(p[4])]
+        ids = np.concatenate(words)
+        n = np.concatenate([p[2] for p in parts]).astype(np.int64)
+        own = np.repeat(np.concatenate([p[3] for p in parts]), n)
+        size = n + width - 1
+        at = ranges(np.cumsum(size) - size, n)
+        owner = np.zeros(len(ids), np.int64)
+        owner[at] = own
+        least = np.zeros(len(ids), np.int64)
+        for group in prefix_groups(ids, at, GROUP, width):
+            least[group] = least_below_nodes(*subtree(ids, group, width, max(1, len(number).bit_length())), owner[group], width)
+        hit = least[at] < own
         out, done = [], 0
-        for block, own, _ in parts:
-            bits = hit[done : done + len(own)]
-            done += len(own)
+        for block, first, count, *_ in parts:
+            bits = hit[done : done + int(count.sum())]
+            done += len(bits)
             if bits.any():
-                out.append((block, 0, pack(own[bits])))
+                out.append((block, 0, pack(first, count, np.packbits(bits))))
         return out
 
     def finish(ids: np.ndarray, texts: list[bytes], seq: Sequences, replies: list[tuple[int, bytes]]) -> pd.DataFrame:
         n = len(seq.codes)
         gone = np.zeros(n, bool)
         if n >= width:
+            told = np.zeros(n, bool)
+            for _, blob in replies:
+                first, count, bits = unpack(blob, np.int64, np.int32, np.uint8)
+                at = ranges(first, count.astype(np.int64))
+                told[at[np.unpackbits(bits, count=len(at)).astype(bool)]] = True
             ends = np.cumsum(seq.sizes)
             starts = np.arange(n - width + 1)
             doc = np.searchsorted(ends, starts, "right")
             fits = starts + width <= ends[doc]
-            starts, doc = starts[fits], doc[fits]
-            marks = window_hashes(seq.codes, width)[starts]
-            number = numeric(ids)[doc]
-            hit = np.zeros(len(starts), bool)
-            if replies:
-                hit = np.isin(marks, np.concatenate([unpack(blob, np.uint64)[0] for _, blob in replies]))
-            _, place, inverse = np.unique(marks, return_index=True, return_inverse=True)
-            hit |= number > number[place][inverse]
+            starts, owner = starts[fits], numeric(ids)[doc[fits]]
+            # The first of equal windows of a block has the least id and was judged; the others follow it.
+            _, place, inverse = np.unique(window_hashes(seq.codes, width)[starts], return_index=True, return_inverse=True)
+            head = place[inverse]
+            copies = np.flatnonzero(head != np.arange(len(head)))
+            for j in range(width):
+                equal = seq.codes[starts[copies] + j] == seq.codes[starts[head[copies]] + j]
+                head[copies[~equal]] = copies[~equal]
+                copies = copies[equal]
+            hit = told[starts] | told[starts[head]] | (owner > owner[head])
             edges = np.zeros(n + 1, np.int64)
             edges[starts[hit]] += 1
             edges[starts[hit] + width] -= 1
@@ -100,6 +185,8 @@ def remove_repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: s
                 spans = [{"start": int(a), "end": int(b)} for a, b in turn.reshape(-1, 2)]
             rows.append((i, size, b" ".join(words).decode("utf-8"), spans))
             at += size
+        release_memory()
         return pd.DataFrame(rows, columns=[doc_id, "n_words", "kept", "spans"])
 
-    return find_repeats(blocked(docs, doc_id, text, blocks), buckets, width, k, word_codes, send, compare, finish, f"{doc_id} long, n_words long, kept string, spans array<struct<start:long,end:long>>")
+    schema = f"`{doc_id}` long, n_words long, kept string, spans array<struct<start:long,end:long>>"
+    return find_repeats(blocked(docs, doc_id, text, blocks), buckets, width, k, _sequences, send, compare, finish, schema)

@@ -1,14 +1,15 @@
-"""Suffix-array dedup: removal of bytes covered by long repeats, by longest-previous-factor tests.
+"""Suffix-array dedup: removal of bytes covered by long repeats, by longest-previous-factor arrays.
 
-A suffix has a longest-previous-factor of at least ``width`` bytes exactly if its first ``width`` bytes start somewhere
-earlier, and a longest-next-factor exactly if they start later. In suffix order such suffixes are neighbours, and the
-previous and next smaller positions among them are the earlier and later matches. Only this threshold matters here, so
-suffixes are ordered by their first ``width`` bytes (by fingerprint: anchor and window, 128 bits), then by position;
-the first of a class has no earlier match, every other one has. See ``repeats`` for how the suffixes are dealt out.
+A byte goes if a suffix that starts at most ``width`` - 1 bytes before it has a longest previous (or next) factor of
+``width`` bytes. Only suffixes whose first ``width`` bytes hold a repeated anchor can have one (see ``repeats``); they
+are dealt to buckets by the anchor, with the bytes that follow. There they are put in suffix order, and the nearest
+smaller (larger) places on both sides in that order give the previous (next) factors. Suffix order is that of 64-bit
+fingerprints of the suffixes' anchors and of their first ``width`` bytes, not of the bytes: suffixes that share
+``width`` bytes are neighbours in either, and only that length is asked for (128 bits tell different ones apart).
 
 ``keep="none"`` removes the bytes of every copy, ``keep="first"`` those of copies with an earlier match only (documents
 in the order of their ids, null first). Lengths are judged on the input. Null texts are empty; texts under ``width``
-bytes lose nothing. Rows that share an id are separate documents, in the order of their texts.
+bytes lose nothing. Rows that share an id are separate documents, in the order of their texts. Ids are read as longs.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessera.llm.repeats import BYTE_CODES, Sequences, blocked, by_bucket, counts_for, find_repeats, numeric, pack, prefix_sums, range_hashes, unpack, window_hashes
+from tessera.llm.common import release_memory
+from tessera.llm.repeats import BYTE_CODES, Sequences, blocked, by_bucket, counts_for, find_repeats, numeric, pack, ranges, unpack, window_hashes
 
 K = 64
 CONTEXT, ALL = 0, 1
@@ -32,21 +34,42 @@ def _sequences(texts: list[bytes]) -> Sequences:
     return seq
 
 
-def _starts(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... (count of them) for each pair."""
-    ends = np.cumsum(count)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - count), count)
-
-
-def previous_factor_bounds(keys: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each suffix has an earlier and a later match: equal keys, then position by ``order``."""
-    at = np.lexsort([*reversed(order), *reversed(keys)])
-    same = np.ones(max(0, len(at) - 1), bool)
-    for key in keys:
+def shared_with_smaller(places: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """What each suffix shares with the nearest one before it in suffix order that has a smaller place; 0 without one.
+
+    ``common`` is what each shares with the one just before. Candidates jump along the candidates of larger places, for
+    all suffixes at once, so the steps grow with the logarithm of a run's length.
+    """
+    before, out = np.arange(len(places)) - 1, common.copy()
+    if len(out):
+        out[0] = 0
+    open_ = np.flatnonzero(out > 0)
+    while len(open_ := open_[places[before[open_]] > places[open_]]):
+        via = before[open_]
+        out[open_], before[open_] = np.minimum(out[open_], out[via]), before[via]
+        open_ = open_[out[open_] > 0]
+    return out
+
+
+def longest_previous_factors(levels: list[tuple[np.ndarray, int]], order: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous and next factors of suffixes, in the lengths of ``levels``.
+
+    ``levels`` are fingerprints of the suffixes' beginnings with their lengths, rising; ``order`` is their place in the
+    corpus. Suffix order sorts by the levels, then place. A suffix's previous factor is the longer of what it shares with
+    the nearest suffixes before and behind it in that order whose place is smaller; its next factor, larger.
+    """
+    read = np.lexsort([*reversed(order)])
+    places = np.lexsort([key[read] for key, _ in reversed(levels)])  # stable: the places of the corpus, in suffix order
+    at = read[places]
+    common, same = np.zeros(len(at), np.int64), np.ones(max(0, len(at) - 1), bool)
+    for key, length in levels:
         same &= key[at[1:]] == key[at[:-1]]
-    earlier, later = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    earlier[at[1:]], later[at[:-1]] = same, same
-    return earlier, later
+        common[1:][same] = length
+    behind = np.append(common[1:], 0)[::-1]
+    previous, following = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    previous[at] = np.maximum(shared_with_smaller(places, common), shared_with_smaller(places[::-1], behind)[::-1])
+    following[at] = np.maximum(shared_with_smaller(-places, common), shared_with_smaller(-places[::-1], behind)[::-1])
+    return previous, following
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 200, keep: str = "none") -> DataFrame:
@@ -61,8 +84,10 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         if not len(hashes):
             return []
         # Runs with equal bytes: one is compared with other blocks, the rest are known to repeat.
-        whole = range_hashes(prefix_sums(seq.codes), first, last + width)
-        _, place, inverse, counts = np.unique(np.stack([hashes, whole], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+        # (Less than ``width`` windows have one anchor: the first and the last of them cover the run.)
+        marks = window_hashes(seq.codes, width)
+        whole = np.stack([hashes, marks[first], marks[last], (last - first).astype(np.uint64)], 1)
+        _, place, inverse, counts = np.unique(whole, axis=0, return_index=True, return_inverse=True, return_counts=True)
         inverse = inverse.ravel()
         known = counts[inverse] > 1
         if keep == "first":
@@ -82,7 +107,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         for b, at in by_bucket((hashes[place] % np.uint64(buckets)).astype(np.int64)):
             i = place[at]
             n = last[i] - first[i] + 1
-            data = seq.data[_starts(first[i], n + width - 1)]
+            data = seq.data[ranges(first[i], n + width - 1)]
             out.append((b, CONTEXT, pack(hashes[i], first[i], n.astype(np.int32), document[at], offset[at], settled[at].astype(np.uint8), data.tobytes())))
         return out
 
@@ -105,11 +130,13 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             if not len(i):
                 continue
             local = np.cumsum(size[i]) - size[i]
-            at = _starts(local, n[i])  # window starts in the part's data
-            marks = window_hashes(BYTE_CODES[data[_starts(begins[i], size[i])]], width)[at]
+            at = ranges(local, n[i])  # window starts in the part's data
+            marks = window_hashes(BYTE_CODES[data[ranges(begins[i], size[i])]], width)[at]
             inside = at - np.repeat(local, n[i])
-            earlier, later = previous_factor_bounds([np.repeat(hashes[i], n[i]), marks], [np.repeat(document[i], n[i]), np.repeat(offset[i], n[i]) + inside])
-            hit[_starts(places[i], n[i])] = earlier if keep == "first" else earlier | later | np.repeat(settled[i], n[i]).astype(bool)
+            levels = [(np.repeat(hashes[i], n[i]), k), (marks, width)]
+            previous, following = longest_previous_factors(levels, [np.repeat(document[i], n[i]), np.repeat(offset[i], n[i]) + inside])
+            copy = previous if keep == "first" else np.maximum(previous, following)
+            hit[ranges(places[i], n[i])] = (copy >= width) | (np.repeat(settled[i], n[i]).astype(bool) & (keep == "none"))
         done = 0
         for block, _, first, count, *_ in parts:
             count = count.astype(np.int64)
@@ -123,7 +150,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         starts = []
         for kind, blob in replies:
             _, first, count, bits = unpack(blob, np.int64, np.int64, np.int64, np.uint8)
-            at = _starts(first, count)
+            at = ranges(first, count)
             starts.append(at[np.unpackbits(bits, count=len(at)).astype(bool)] if kind == CONTEXT else at)
         at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
         edges = np.bincount(at, minlength=len(seq.data) + 1) - np.bincount(at + width, minlength=len(seq.data) + 1)
@@ -138,8 +165,9 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 spans = [{"start": int(a), "end": int(b)} for a, b in turn.reshape(-1, 2)]
             rows.append((i, len(t), kept, spans))
             at += len(t)
+        release_memory()
         return pd.DataFrame(rows, columns=[doc_id, "n_bytes", "kept", "spans"])
 
     return find_repeats(
-        blocked(docs, doc_id, text, blocks), buckets, width, k, _sequences, send, compare, finish, f"{doc_id} long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
+        blocked(docs, doc_id, text, blocks), buckets, width, k, _sequences, send, compare, finish, f"`{doc_id}` long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
     )
