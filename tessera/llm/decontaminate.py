@@ -8,20 +8,26 @@ Items are partitioned by set size (powers of two). Each partition has one sketch
 bound u as u - ceil(threshold * u) + 1: of any so many members of a set, a document that contains the item has one.
 The sketch of an item is that many of its smallest shingle hashes (bottom-k MinHash), so probing the documents' shingle
 hashes with the sketches loses nothing, whatever the ratio of sizes. Documents that hit a sketch are verified with the
-shingles themselves.
+shingles themselves: of their shingles those whose hash an item has are compared as texts, and counted.
 
 Null or empty texts and texts under ``width`` words have no shingles: as documents they contain nothing, as items they
 are never reported. Repeated rows are verified one by one and reported once for each (doc_id, item_id) and outcome.
 Null ids are ids, but documents with a null id are told apart by their text, so that one leak doesn't remove the others.
+Items that share an id are sought one by one. ``decontaminate`` drops every row of an id of which one row leaks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small
+from tessera.llm.common import materialize, small
 
+#: Rows of the items' sketches or shingles (some hundred bytes each at most) that are broadcast at once.
+PROBE_ROWS = 1 << 18
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -30,30 +36,41 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), "")
 
 
-def _shingles(words: str, width: int) -> Column:
-    return F.expr(f"array_distinct(transform(sequence(1, greatest(size({words}) - {width - 1}, 1)), i -> array_join(slice({words}, i, {width}), ' ')))")
-
-
 def _hash(first: Column, words: Column, at: Column, width: int) -> Column:
     return F.xxhash64(first, *(F.get(words, at + i) for i in range(1, width)))
 
 
-def item_sets(items: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
-    """(item_id, __n, __shingles, __hashes) of every item of at least ``width`` words."""
-    hashed = F.expr(f"array_distinct(transform(sequence(0, size(__w) - {width}), i -> xxhash64({', '.join(f'get(__w, i + {k})' for k in range(width))})))")
+def _probes(texts: DataFrame, kept: list[str], width: int) -> DataFrame:
+    """A row for each run of ``width`` words of the column __text: ``kept``, the words, where the run starts, and its hash."""
+    # The array of words stays a variable of the generated loop: no row is copied for a probe.
     return (
-        items.select(F.col(item_id), word_array(F.col(text)).alias("__w"))
-        .where(F.size("__w") >= width)
-        .select(item_id, _shingles("__w", width).alias("__shingles"), hashed.alias("__hashes"))
-        .withColumn("__n", F.size("__shingles"))
+        texts.select(*kept, word_array(F.col("__text")).alias("__words"))
+        .select(*kept, "__words", F.posexplode("__words").alias("__at", "__first"))
+        .where(F.col("__at") <= F.size("__words") - width)
+        .select(*kept, "__words", "__at", _hash(F.col("__first"), F.col("__words"), F.col("__at"), width).alias("__h"))
     )
 
 
-def sketches(sets: DataFrame, item_id: str, threshold: float) -> DataFrame:
-    """(__h, item_id): the bottom hashes of each item, their number set by the item's size partition."""
+def _shingle(width: int) -> Column:
+    return F.expr(f"array_join(slice(__words, __at + 1, {width}), ' ')")
+
+
+def item_shingles(items: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
+    """(item_id, __h, __shingle, __n): the distinct shingles of each item, with their number."""
+    each = _probes(items.select(F.col(item_id), F.col(text).alias("__text")), [item_id], width)
+    # Rows with one id but several texts are several items.
+    each = each.select(item_id, F.xxhash64("__words").alias("__version"), "__h", _shingle(width).alias("__shingle")).distinct()
+    sizes = each.groupBy(item_id, "__version").agg(F.count("*").alias("__n"))
+    same = F.col("__i").eqNullSafe(F.col(item_id)) & (F.col("__v") == F.col("__version"))
+    return each.join(sizes.select(F.col(item_id).alias("__i"), F.col("__version").alias("__v"), "__n"), same).drop("__i", "__v")
+
+
+def sketches(shingles: DataFrame, item_id: str, threshold: float) -> DataFrame:
+    """(__h, item_id, __version): the bottom hashes of each item, their number set by the item's size partition."""
     upper = F.pow(F.lit(2.0), F.floor(F.log2(F.col("__n"))) + 1) - 1
-    length = (upper - F.ceil(upper * F.lit(threshold)) + 1).cast("int")
-    return sets.select(item_id, F.explode(F.slice(F.sort_array("__hashes"), F.lit(1), length)).alias("__h"))
+    length = upper - F.ceil(upper * F.lit(threshold)) + 1
+    rank = F.row_number().over(Window.partitionBy(item_id, "__version").orderBy("__h", "__shingle"))
+    return shingles.withColumn("__rank", rank).where(F.col("__rank") <= length).select("__h", item_id, "__version").distinct()
 
 
 def _unnamed(doc_id: Column, text: Column) -> Column:
@@ -61,6 +78,13 @@ def _unnamed(doc_id: Column, text: Column) -> Column:
     return F.when(doc_id.isNull(), F.md5(text))
 
 
+def _in_slices(probes: DataFrame, table: DataFrame, rows: int, join: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The join of probes with a table by __h, broadcast in slices of at most PROBE_ROWS rows: the shingles of the corpus never travel."""
+    n = max(1, -(-rows // PROBE_ROWS))
+    parts = [join(probes, F.broadcast(table.where(F.pmod("__h", F.lit(n)) == k) if n > 1 else table)) for k in range(n)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def find_contained(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", **options) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment) of every contained item."""
     return _contained(docs, items, doc_id=doc_id, item_id=item_id, **options).drop("__null").distinct()
@@ -71,26 +95,21 @@ def _contained(
 ) -> DataFrame:
     """The same, with the text's hash of documents without an id."""
     # As a struct, a null id is a value that sets hold and joins find.
-    sets = item_sets(items.select(F.struct(F.col(item_id).alias("id")).alias("__item"), F.col(item_text).alias("__text")), "__item", "__text", width)
-    sketch = sketches(sets, "__item", threshold)
+    named = items.select(F.struct(F.col(item_id).alias("id")).alias("__item"), F.col(item_text).alias("__text"))
+    shingles = materialize(item_shingles(named, "__item", "__text", width))
+    sketch = materialize(sketches(shingles, "__item", threshold))
     own = docs.select(F.col(doc_id).alias("__doc"), _unnamed(F.col(doc_id), F.col(text)).alias("__null"), F.col(text).alias("__text"))
-    # The array of words stays a variable of the generated loop: no row is copied for a probe.
-    probes = (
-        own.select("__doc", "__null", word_array(F.col("__text")).alias("__words"))
-        .select("__doc", "__null", "__words", F.posexplode("__words").alias("__at", "__first"))
-        .where(F.col("__at") <= F.size("__words") - width)
-        .select("__doc", "__null", _hash(F.col("__first"), F.col("__words"), F.col("__at"), width).alias("__h"))
-    )
-    hits = probes.join(small(sketch, sketch.count()), "__h").groupBy(F.col("__doc").alias("__d"), F.col("__null").alias("__u")).agg(F.collect_set("__item").alias("__items"))
-    verified = (
-        own.join(hits, F.col("__doc").eqNullSafe(F.col("__d")) & F.col("__null").eqNullSafe(F.col("__u")))
-        .select("__doc", "__null", "__items", word_array(F.col("__text")).alias("__words"))
-        .select("__doc", "__null", "__items", _shingles("__words", width).alias("__have"))
-        .select("__doc", "__null", "__have", F.explode("__items").alias("__item"))
-        .join(small(sets.select("__item", "__n", "__shingles"), sets.count()), "__item")
-        .withColumn("n_shared", F.size(F.array_intersect("__shingles", "__have")))
-        .where(F.col("n_shared") >= F.col("__n") * F.lit(threshold))
-    )
+
+    met = _in_slices(_probes(own, ["__doc", "__null"], width), sketch, sketch.count(), lambda p, t: p.join(t, "__h").select("__doc", "__null", "__item", "__version"))
+    hits = materialize(met.distinct())
+    # Only the hit documents are read again, and their shingles compared with those of the items.
+    asked = materialize(hits.select(F.col("__doc").alias("__d"), F.col("__null").alias("__u")).distinct())
+    again = own.join(small(asked, asked.count()), F.col("__doc").eqNullSafe(F.col("__d")) & F.col("__null").eqNullSafe(F.col("__u")), "left_semi")
+    row = again.withColumn("__row", F.xxhash64("__text"))
+    exact = lambda p, t: p.join(t, "__h").where(_shingle(width) == F.col("__shingle")).select("__doc", "__null", "__row", "__item", "__version", "__n", "__shingle")
+    shared = _in_slices(_probes(row, ["__doc", "__null", "__row"], width), shingles, shingles.count(), exact).distinct()
+    counted = shared.groupBy("__doc", "__null", "__row", "__item", "__version", "__n").agg(F.count("*").alias("n_shared"))
+    verified = counted.where(F.col("n_shared") >= F.col("__n") * F.lit(threshold))
     return verified.select(
         F.col("__doc").alias(doc_id),
         "__null",

@@ -7,9 +7,9 @@ lower-cased runs of letters with the vocabulary's mark in front; a run of more t
 and scored in blocks of that length. A character that no piece covers has a fixed small probability.
 
 Probabilities are learned by expectation maximisation (forward-backward over all segmentations) from word counts of a
-bounded sample: about ``sample_docs`` documents of each language, chosen by the hash of their id, and at most
-``sample_words`` distinct words. Scoring covers whole texts of all documents in one pass, without a shuffle; each
-worker remembers the words it met, up to ``REMEMBERED``.
+bounded sample of labelled rows: about ``sample_docs`` documents of each language, chosen by the hash of their id, with
+all their words. Scoring covers whole texts of all documents in one pass, without a shuffle; a task remembers the words
+it met, up to ``REMEMBERED``.
 
 A text that is null or without letters is ``und`` with score 0; so is every text if nothing could be learned. Ties go
 to the language that sorts first. The score is the posterior under equal priors.
@@ -25,9 +25,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize, release_memory, small
+
 UNDETERMINED = "und"
 BLOCK = 48
-REMEMBERED = 400_000
+REMEMBERED = 100_000
+#: Words whose segmentations are summed at once.
+TOGETHER = 4_000
 MARK = "▁"
 #: Keeps products of up to BLOCK + 1 characters in a double's range; cancels between languages.
 SCALE = 24.0
@@ -104,8 +108,8 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
     size = np.array([len(w) for w in words])
     for n in np.unique(size):
         at = np.flatnonzero(size == n)
-        for k in range(0, len(at), 20_000):
-            part = at[k : k + 20_000]
+        for k in range(0, len(at), TOGETHER):
+            part = at[k : k + TOGETHER]
             yield part, [MARK + words[i] for i in part]
 
 
@@ -188,21 +192,21 @@ def read_pieces(vocabulary: str) -> list[str]:
     return sorted(p for p in pieces if p == p.lower() and LETTERS.fullmatch(p.removeprefix(MARK) or "a") and MARK not in p[1:])
 
 
-def train(labelled: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 400, sample_words: int = 200_000) -> dict:
-    """A model from the rows of ``labelled`` with text and language; the sample's bounds are the last two parameters."""
+def train(labelled: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 400) -> dict:
+    """A model from the rows of ``labelled`` with text and language; ``sample_docs`` bounds the sample of each language."""
     known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), F.col(lang).alias("__lang"))
     sizes = known.groupBy("__lang").agg(F.count("*").alias("__n"))
     rate = F.lit(float(sample_docs)) / F.col("__n")
     uniform = F.pmod(F.xxhash64("__id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = known.join(F.broadcast(sizes), "__lang").where(uniform < rate)  # a row for each language
+    sizes = materialize(sizes)
+    sample = known.join(small(sizes, sizes.count()), "__lang").where(uniform < rate)
     word = F.regexp_extract_all(F.lower("__text"), F.lit(r"(\p{L}+)"), F.lit(1))
     counts = (
         sample.select(F.col("__lang").alias("lang"), F.explode(word).alias("word"))
         .groupBy("lang", "word")
         .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), F.xxhash64("lang", "word"), "lang", "word")
-        .limit(sample_words)
-        .toPandas()
+        .toPandas()  # the words of the bounded sample
+        .sort_values(["lang", "word"], ignore_index=True)
     )
     languages = sorted(counts["lang"].unique().tolist())
     pieces = read_pieces(vocabulary)
@@ -268,6 +272,8 @@ def predicted(text: Column, model: dict) -> Column:
             _scorers[key] = Scorer(model)
         for texts in batches:
             yield _scorers[key].predict(list(texts))
+        _scorers[key].forget()
+        release_memory()
 
     return predict(text)
 

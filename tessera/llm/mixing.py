@@ -47,18 +47,25 @@ def source_targets(sized: DataFrame, *, source: str, weights: tuple[int, ...] =
     return table.select("__source", "source_size", target.alias("target"))
 
 
-def plan_mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``docs`` with size, source_size, target, rate and copies (longs and doubles) for each row."""
-    clash = [c for c in docs.columns if c in ("size", "source_size", "target", "rate", "copies")]
-    sized = docs.drop(*clash).withColumn("size", word_count(F.col(text)))
-    targets = materialize(source_targets(sized.select(source, "size"), source=source, share=share, most=most))
-    joined = sized.join(small(targets, targets.count()), F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(F.lit(0.0))
+def _planned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """``docs`` with __size, __source_size, __target, __rate and __copies."""
+    sized = docs.withColumn("__size", word_count(F.col(text)))
+    targets = materialize(source_targets(sized.select(source, F.col("__size").alias("size")), source=source, share=share, most=most))
+    table = targets.select("__source", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    joined = sized.join(small(table, targets.count()), F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
+    rate = F.when(F.col("__source_size") > 0, F.least(F.col("__target") / F.col("__source_size"), F.lit(most))).otherwise(F.lit(0.0))
     uniform = hash_bits(F.col(doc_id), f"{seed}:", 13) / F.lit(float(1 << 52))
-    return joined.withColumn("rate", rate).withColumn("copies", (F.floor("rate") + (uniform < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    return joined.withColumn("__rate", rate).withColumn("__copies", (F.floor("__rate") + (uniform < F.col("__rate") - F.floor("__rate")).cast("long")).cast("long"))
+
+
+def plan_mix(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with size, source_size, target, rate and copies of each row; columns of those names are replaced."""
+    names = ("size", "source_size", "target", "rate", "copies")
+    planned = _planned(docs, **options)
+    return planned.select(*(c for c in docs.columns if c not in names), *(F.col(f"__{c}").alias(c) for c in names))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns."""
-    planned = plan_mix(docs, **options)
-    return planned.withColumn("__copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies").cast("int"))))).select(*docs.columns)
+    planned = _planned(docs, **options)
+    return planned.withColumn("__copy", F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies").cast("int"))))).select(*docs.columns)

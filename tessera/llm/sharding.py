@@ -6,8 +6,8 @@ maps prefixes of a common length to buckets, several entries to a bucket that wa
 
 Bytes are summed per directory cell before the shuffle, so no key or source is hot. Where a cell at the directory's
 depth is still too large, the cells inside it are counted, and only those. Rows that share an id share an address and
-stay together; a bucket of a single address may therefore exceed the limit and is flagged. An empty table gives an
-empty result.
+stay together; only such a bucket of a single address may exceed the limit. Null ids share an address. An empty table
+gives an empty result. Input columns named shard_id or shard_bits are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import hash_bits, materialize, small
 
 BITS = 60
+#: Directory entries (12 bytes each) up to which a level is broadcast.
+DIRECTORY_ROWS = 1 << 20
 STEP = 8
 
 
@@ -63,7 +65,7 @@ def assign_shards(docs: DataFrame, *, limit: int, doc_id: str = "doc_id", text:
     out = keyed.withColumn("shard_bits", F.lit(None).cast("int"))
     for at, directory in levels:
         entry = directory.select(F.col("cell").alias("__cell"), F.col("bits").alias("__bits"))
-        out = out.join(small(entry, directory.count()), F.expr(f"shiftright(__address, {BITS - at})") == F.col("__cell"), "left")
+        out = out.join(small(entry, directory.count(), DIRECTORY_ROWS), F.expr(f"shiftright(__address, {BITS - at})") == F.col("__cell"), "left")
         out = out.withColumn("shard_bits", F.coalesce("__bits", "shard_bits")).drop("__cell", "__bits")
     bits = F.expr(f"substring(lpad(bin(__address), {BITS}, '0'), 1, shard_bits)")
     return out.withColumn("shard_bits", F.least("shard_bits", F.lit(BITS))).withColumn("shard_id", bits).drop("__address").select(*kept, "shard_id", "shard_bits")

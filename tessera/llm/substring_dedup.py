@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import release_memory
 from tessera.llm.repeats import Sequences, blocked, by_bucket, counts_for, find_repeats, numeric, pack, ranges, unpack, window_hashes
-from tessera.llm.words import pieces, word_codes
+from tessera.llm.words import pieces, word_bounds, word_codes
 
 K = 5
 #: Suffixes of a subtree.
@@ -34,10 +34,7 @@ def _sequences(texts: list[bytes]) -> Sequences:
     """Codes of the words, and in the bytes of all texts where each word starts and ends."""
     seq = word_codes(texts)
     seq.data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    solid = np.zeros(len(seq.data) + 1, bool)
-    solid[:-1] = (seq.data != 0x20) & ((seq.data < 0x09) | (seq.data > 0x0D))
-    seq.begin = np.flatnonzero(solid[:-1] & ~np.concatenate([[False], solid[:-2]]))
-    seq.end = np.flatnonzero(solid[:-1] & ~solid[1:]) + 1
+    seq.begin, seq.end = word_bounds(seq.data) if len(seq.data) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     return seq
 
 
