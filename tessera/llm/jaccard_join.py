@@ -8,7 +8,7 @@ words the whole sequence is one shingle; without words it is empty and links wit
 2. A linked document shares at least o = ceil(percent * n / 100) of its n shingles. Blocks of documents exchange hashes
    of the n - o + 1 first in hash order; who meets nobody there is done. The others exchange all shingles, and go on if
    o of them occur elsewhere.
-3. Shingles are put in order of rising frequency. Each document is verified against three leaders, the most central
+3. Shingles are put in order of rising frequency (numbers of blocks). Each document is verified against three leaders, the most central
    documents (highest mean log-frequency) that have its rarest, middle or most frequent prefix shingle. That joins
    groups of near copies at a cost in proportion to their size.
 4. Two sets of sizes p and q that link share c >= a = ceil(percent * (p + q) / (100 + percent)) shingles, and at least l
@@ -27,12 +27,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import discard, join_classes, materialize, release_memory
 from tessera.llm.components import components
-from tessera.llm.repeats import BLOBS, REPLIES, blocked, by_bucket, common_entries, counts_for, scramble, window_hashes
+from tessera.llm.repeats import BLOBS, REPLIES, blocked, by_bucket, common_entries, counts_for, scramble, send_hashes, senders, window_hashes
 from tessera.llm.words import word_codes
 
 #: Numbers of prefix shingles that a pair may be asked to share, and the cost of verifying a shingle in entries met.
@@ -103,19 +103,28 @@ def _announce(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return distinct, counts > 1
 
 
-def _answered(distinct: np.ndarray, twice: np.ndarray, buckets: int, replies: pd.DataFrame, kind: int) -> np.ndarray:
+def _answered(distinct: np.ndarray, twice: np.ndarray, buckets: int, replies: pd.DataFrame) -> np.ndarray:
     """The hashes of ``distinct`` that occur in another set."""
     repeated = twice.copy()
-    own = replies[replies["kind"] == kind]
-    answer = dict(zip(own["bucket"].tolist(), own["data"], strict=True))
+    answer = dict(zip(replies["bucket"].tolist(), replies["data"], strict=True))
     for b, at in by_bucket((distinct % np.uint64(buckets)).astype(np.int64)):
         if b in answer:
             repeated[at] |= np.unpackbits(np.frombuffer(answer[b], np.uint8), count=len(at)).astype(bool)
     return distinct[repeated]
 
 
+def _frequencies(bucket: int, blobs: pd.DataFrame, kind: int) -> pd.DataFrame:
+    """For the blocks that sent hashes to a bucket, a byte for each hash: 0, or 8 * log2 of the number of blocks that did."""
+    rows = [(b, bucket, kind, np.minimum(255, np.rint(8 * np.log2(n))).astype(np.uint8).tobytes()) for b, n in zip(*senders(blobs), strict=True) if (n > 1).any()]
+    return pd.DataFrame(rows, columns=["block", "bucket", "kind", "data"])
+
+
 def candidate_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """(doc, n, shingles) of the chosen documents of which enough shingles occur in others; of the shingles those that do."""
+    """(doc, n, shingles, prefix, score) of the chosen documents of which enough shingles occur in others; of the shingles those that do.
+
+    prefix has the first of them in order of frequency (of blocks; the same everywhere), then hash, as far as a level may
+    ask; score is the mean log-frequency of the document's shingles.
+    """
     blocks, buckets = counts_for(docs, text)
     texts = blocked(docs, doc_id, text, blocks)
     empty = F.lit(None)
@@ -128,7 +137,7 @@ def candidate_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, w
         return _block_sets(block, set(told.loc[told["kind"] == -1, "bucket"].tolist()), width)
 
     def blobs(key: tuple, distinct: np.ndarray) -> pd.DataFrame:
-        rows = [(b, key[0], 0, distinct[at].tobytes()) for b, at in by_bucket((distinct % np.uint64(buckets)).astype(np.int64))]
+        rows = [(b, key[0], 0, sent) for b, _, sent in send_hashes(distinct, buckets)]
         return pd.DataFrame(rows, columns=["bucket", "block", "kind", "data"])
 
     def first(key: tuple, block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
@@ -137,7 +146,7 @@ def candidate_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, w
     def survivors(block: pd.DataFrame, told: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
         own, sets = load(block, told)
         heads = prefix(sets)
-        hit = _answered(*_announce(heads), buckets, told, 1)
+        hit = _answered(*_announce(heads), buckets, told[told["kind"] == 1])
         stay = [i for i, h in enumerate(heads) if within(h, hit).any()]
         return own[stay], [sets[i] for i in stay]
 
@@ -146,28 +155,37 @@ def candidate_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, w
 
     def last(key: tuple, block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         own, sets = survivors(block, told)
-        hit = _answered(*_announce(sets), buckets, told, 2)
+        distinct, twice = _announce(sets)
+        level = np.zeros(len(distinct), np.uint8)
+        replies = told[told["kind"] == 2]
+        answer = dict(zip(replies["bucket"].tolist(), replies["data"], strict=True))
+        for b, at in by_bucket((distinct % np.uint64(buckets)).astype(np.int64)):
+            if b in answer:
+                level[at] = np.frombuffer(answer[b], np.uint8)
         rows = []
         for i, s in zip(own.tolist(), sets, strict=True):
-            kept = s[within(s, hit)]
-            if len(kept) >= needed(len(s), percent):
-                rows.append((i, len(s), np.sort(kept.astype(np.int64))))
+            at = np.searchsorted(distinct, s)
+            kept = twice[at] | (level[at] > 0)
+            s_kept, frequency, least = s[kept], level[at][kept], int(needed(len(s), percent))
+            if len(s_kept) >= least:
+                order = np.lexsort([s_kept, frequency])[: len(s_kept) - least + LEVELS[-1]]
+                rows.append((i, len(s), np.sort(s_kept.astype(np.int64)), s_kept[order].astype(np.int64), float(frequency.sum()) / 8 / len(s)))
         release_memory()
-        return pd.DataFrame(rows, columns=["doc", "n", "shingles"])
+        return pd.DataFrame(rows, columns=["doc", "n", "shingles", "prefix", "score"])
 
-    def met(kind: int):
-        def common(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-            return common_entries(key[0], own, kind)
+    def met(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        return common_entries(key[0], own, 1)
 
-        return common
+    def counted(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        return _frequencies(key[0], own, 2)
 
-    def exchange(ask, told: DataFrame, kind: int) -> DataFrame:
-        return texts.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(ask, BLOBS).groupBy("bucket").applyInPandas(met(kind), REPLIES)
+    def exchange(ask, told: DataFrame, reply) -> DataFrame:
+        return texts.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(ask, BLOBS).groupBy("bucket").applyInPandas(reply, REPLIES)
 
     told = ids.select("block", "bucket", "kind", "data")
-    once = told.unionByName(exchange(first, told, 1))
-    twice = once.unionByName(exchange(second, once, 2))
-    return texts.groupBy("block").cogroup(twice.groupBy("block")).applyInPandas(last, "doc long, n long, shingles array<long>")
+    once = told.unionByName(exchange(first, told, met))
+    twice = once.unionByName(exchange(second, once, counted))
+    return texts.groupBy("block").cogroup(twice.groupBy("block")).applyInPandas(last, "doc long, n long, shingles array<long>, prefix array<long>, score double")
 
 
 def place_bound(percent: int, level: int) -> Column:
@@ -189,18 +207,11 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def ordered_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(shingle, doc, n, place, at, first, score): the longest prefixes that a level may ask for.
 
-    Shingles are ordered by frequency, then value; place counts from 1, with those of one set only before all others, at
-    leaves them out; first is the last ``at`` of the prefix of level 1. score is the mean log-frequency of the set's
-    shingles.
+    place counts from 1, with shingles of one set only before all others; at leaves those out; first is the last ``at`` of
+    the prefix of level 1.
     """
-    one = sets.select("doc", "n", F.explode("shingles").alias("shingle"))
-    frequency = one.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
-    own = Window.partitionBy("doc")
-    spread = one.join(frequency, "shingle").withColumn("at", F.row_number().over(own.orderBy("f", "shingle")))
-    spread = spread.withColumn("shared", F.count("*").over(own)).withColumn("score", F.sum(F.log2("f")).over(own) / F.col("n"))
-    least = F.expr(f"ceil(n * {percent} / 100.0D)")
-    spread = spread.withColumn("place", F.col("at") + F.col("n") - F.col("shared")).withColumn("first", F.col("shared") - least + 1)
-    return spread.where(F.col("at") < F.col("first") + LEVELS[-1]).select("shingle", "doc", "n", "place", "at", "first", "score")
+    one = sets.select("doc", "n", "score", F.size("shingles").cast("long").alias("shared"), F.posexplode("prefix").alias("pos", "shingle")).withColumn("at", F.col("pos") + F.lit(1).cast("long"))
+    return one.select("shingle", "doc", "n", (F.col("at") + F.col("n") - F.col("shared")).alias("place"), "at", F.expr(f"shared - ceil(n * {percent} / 100.0D) + 1").alias("first"), "score")
 
 
 def leader_links(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -282,7 +293,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     member = materialize(join_classes(each, classes, keys, "members").select("doc", F.coalesce("head", "doc").alias("head")))
     chosen = member.where("doc = head").select("doc")
     sets = materialize(candidate_sets(docs, chosen, doc_id, text, width, percent))
+    discard(each, classes)
     label = materialize(link_sets(sets, percent))
+    discard(sets)
     copies = member.groupBy("head").agg(F.count("*").alias("members"))
     moved = materialize(label.where("component <> node").select(F.col("node").alias("head"), "component").join(copies, "head"))
     placed = join_classes(member, moved, ["head"], "members").select("doc", F.coalesce("component", "head").alias("component"))

@@ -225,17 +225,32 @@ def distinct_anchors(seq: Sequences, width: int, k: int) -> tuple[np.ndarray, ..
     return hashes, first, last, distinct, inverse, counts
 
 
+#: Bytes of a hash that tell the hashes of a bucket apart; a chance equality only costs work.
+SENT = 5
+
+
+def send_hashes(distinct: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """For each bucket the indexes and the upper bytes, byte plane by byte plane, of its hashes (sorted ones)."""
+    for b, at in by_bucket((distinct % np.uint64(buckets)).astype(np.int64)):
+        yield b, at, np.ascontiguousarray(distinct[at].view(np.uint8).reshape(-1, 8).T[8 - SENT :]).tobytes()
+
+
+def _received(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // SENT, 8), np.uint8)
+    out[:, 8 - SENT :] = np.frombuffer(data, np.uint8).reshape(SENT, -1).T
+    return out.view(np.uint64).ravel()
+
+
+def senders(blobs: pd.DataFrame) -> tuple[list[int], list[np.ndarray]]:
+    """The blocks that sent hashes to a bucket, and for each hash how many blocks sent it."""
+    blocks, each = blobs["block"].tolist(), [_received(d) for d in blobs["data"]]
+    _, inverse, counts = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+    return blocks, np.split(counts[inverse], np.cumsum([len(e) for e in each])[:-1])
+
+
 def common_entries(bucket: int, blobs: pd.DataFrame, kind: int) -> pd.DataFrame:
     """For the blocks that sent hashes to a bucket, a bit for each hash: whether another block sent it."""
-    blocks, each = blobs["block"].tolist(), [np.frombuffer(d, np.uint64) for d in blobs["data"]]
-    hashes = np.concatenate(each)
-    order = np.argsort(hashes, kind="stable")
-    same = np.zeros(len(hashes) + 1, bool)
-    same[1:-1] = hashes[order[1:]] == hashes[order[:-1]]
-    hit = np.empty(len(hashes), bool)
-    hit[order] = same[1:] | same[:-1]
-    cuts = np.cumsum([len(e) for e in each])[:-1]
-    rows = [(b, bucket, kind, np.packbits(bits).tobytes()) for b, bits in zip(blocks, np.split(hit, cuts), strict=True) if bits.any()]
+    rows = [(b, bucket, kind, np.packbits(n > 1).tobytes()) for b, n in zip(*senders(blobs), strict=True) if (n > 1).any()]
     return pd.DataFrame(rows, columns=["block", "bucket", "kind", "data"])
 
 
@@ -260,7 +275,7 @@ def find_repeats(
     def announce(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         _, data = ordered(block)
         distinct = distinct_anchors(sequences(data), width, k)[3]
-        rows = [(b, key[0], 0, distinct[at].tobytes()) for b, at in by_bucket((distinct % np.uint64(buckets)).astype(np.int64))]
+        rows = [(b, key[0], 0, sent) for b, _, sent in send_hashes(distinct, buckets)]
         return pd.DataFrame(rows, columns=["bucket", "block", "kind", "data"])
 
     def common(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
