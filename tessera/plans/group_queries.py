@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import compare as Q
 from tessera.operators import statistics as C
 from tessera.plans.registry import register
-from tessera.plans.standins import SQL, effects, read
+from tessera.plans.standins import PAIRED, SQL, effects, read
 
 
 def r(n: int, *names: str) -> list:
@@ -80,14 +80,14 @@ _DEL = ", dl AS (SELECT s.grp, s.subject, s.microstate, s.value - b.value AS del
     SQL
     + _DEL
     + """, z AS (SELECT grp, microstate, count(*) AS n, avg(delta) AS m, stddev_samp(delta) AS s FROM dl GROUP BY 1, 2), w AS (SELECT *, 1.959963984540054::double AS z, (n - 1)::double AS df FROM z),
-t AS (SELECT *, z + (power(z, 3) + z) / 4 / df + (5 * power(z, 5) + 16 * power(z, 3) + 3 * z) / 96 / (df * df) + (3 * power(z, 7) + 19 * power(z, 5) + 17 * power(z, 3) - 15 * z) / 384 / (df * df * df) AS q FROM w)
+t AS (SELECT *, CASE WHEN df <= """ + str(len(Q.T_975)) + """ THEN """ + str(list(Q.T_975)) + """[df::int]::double ELSE z + (power(z, 3) + z) / 4 / df + (5 * power(z, 5) + 16 * power(z, 3) + 3 * z) / 96 / (df * df) + (3 * power(z, 7) + 19 * power(z, 5) + 17 * power(z, 3) - 15 * z) / 384 / (df * df * df) END AS q FROM w)
 SELECT grp, microstate, n AS n_subjects, round(m, 6) AS mean_delta, round(s, 6) AS sd_delta, round(s / sqrt(n), 6) AS se_delta, round(m - q * s / sqrt(n), 6) AS ci_low, round(m + q * s / sqrt(n), 6) AS ci_high FROM t""",
 )
 def delta_t_ci(spark: SparkSession, d: str) -> DataFrame:
     return Q.mean_interval(_deltas(spark, d), ["grp", "microstate"], value="delta", subject="subject").select("grp", "microstate", "n_subjects", *r(6, "mean_delta", "sd_delta", "se_delta", "ci_low", "ci_high"))
 
 
-@register("stratified_delta", SQL + _DEL + " SELECT grp, microstate, count(*) AS n, round(avg(delta), 9) AS mean_delta FROM dl WHERE subject % 2 = 0 GROUP BY 1, 2 HAVING count(*) >= 5")
+@register("stratified_delta", SQL + _DEL + " SELECT grp, microstate, subject % 2 AS stratum, count(*) AS n, round(avg(delta), 9) AS mean_delta FROM dl GROUP BY 1, 2, 3 HAVING count(*) >= 5")
 def stratified_delta(spark: SparkSession, d: str) -> DataFrame:
     """Of even (stratum 0) and odd subjects (1)."""
     rows = _deltas(spark, d).groupBy("grp", "microstate", (F.col("subject") % 2).alias("stratum")).agg(F.count("*").alias("n"), F.round(F.avg("delta"), 9).alias("mean_delta"))
@@ -180,7 +180,7 @@ def support_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "eeg_parameter_gev",
-    SQL
+    PAIRED
     + """, p AS (SELECT patient_id, microstate, avg(n_samples) AS mean_run, median(n_samples) AS median_run, count(*) AS n_runs FROM run GROUP BY 1, 2), e AS (SELECT patient_id, microstate, count(*) AS n, avg(corr) AS mc, sum(gfp * gfp * corr * corr) AS num FROM ali GROUP BY 1, 2), t AS (SELECT patient_id, sum(gfp * gfp) AS den, count(*) AS total FROM ali GROUP BY 1)
 SELECT patient_id, microstate, round(n / total, 9) AS coverage, round(mean_run, 9) AS mean_run, median_run, n_runs, round(mc, 6) AS mean_corr, round(num / den, 6) AS gev FROM e JOIN t USING (patient_id) JOIN p USING (patient_id, microstate)""",
 )
@@ -211,7 +211,7 @@ def model_order_fit_gain(spark: SparkSession, d: str) -> DataFrame:
     return fit.select("patient_id", "n_states", F.round("fit", 4).alias("fit"), F.round(gain, 4).alias("gain"))
 
 
-@register("subject_alias", "SELECT c_custkey, printf('sub-%02d', dense_rank() OVER (ORDER BY c_name)) AS alias FROM customer WHERE c_nationkey = 3")
+@register("subject_alias", "SELECT c_custkey, printf('sub-%02d', dense_rank() OVER (ORDER BY c_name)) AS alias FROM customer")
 def subject_alias(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import vectors as V
 from tessera.plans.registry import register
-from tessera.plans.standins import SQL, aligned, effects, field, labels, paired_labels, read, vectors
+from tessera.plans.standins import PAIRED, SQL, aligned, effects, field, labels, paired_labels, read, vectors
 
 #: Regions that a global trace may use, here by channel number.
 CORE = (0, 1, 2, 3, 5)
@@ -23,14 +23,14 @@ def segment_recording_join(spark: SparkSession, d: str) -> DataFrame:
     return orders.join(assets, "o_custkey", "left").select("o_orderkey", "o_custkey", "nation_asset", "segment_asset")
 
 
-@register("gfp_left_join", SQL + "SELECT patient_id, sample, microstate, gfp FROM lab LEFT JOIN fld USING (patient_id, sample)")
+@register("gfp_left_join", PAIRED + "SELECT patient_id, sample, microstate, gfp FROM lab LEFT JOIN fld USING (patient_id, sample)")
 def gfp_left_join(spark: SparkSession, d: str) -> DataFrame:
     return paired_labels(spark, d).join(field(spark, d).select("patient_id", "sample", "gfp"), ["patient_id", "sample"], "left").select("patient_id", "sample", "microstate", "gfp")
 
 
 @register(
     "condition_denominators_union",
-    SQL + "SELECT 'labels' AS family, patient_id, count(*) AS n FROM lab GROUP BY 2 UNION ALL SELECT 'field', patient_id, count(*) FROM fld GROUP BY 2 UNION ALL SELECT 'paired', patient_id, count(*) FROM ali GROUP BY 2",
+    PAIRED + "SELECT 'labels' AS family, patient_id, count(*) AS n FROM lab GROUP BY 2 UNION ALL SELECT 'field', patient_id, count(*) FROM fld GROUP BY 2 UNION ALL SELECT 'paired', patient_id, count(*) FROM ali GROUP BY 2",
 )
 def condition_denominators_union(spark: SparkSession, d: str) -> DataFrame:
     count = lambda df, name: df.groupBy("patient_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("family"), "patient_id", "n")
@@ -106,13 +106,7 @@ def eligibility_summary(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "customer").groupBy("c_mktsegment").agg(F.countDistinct("c_nationkey").alias("n_groups"), F.count("*").alias("n"), F.count_if(F.col("c_acctbal") > 0).alias("n_eligible"))
 
 
-@register(
-    "template_similarity_group",
-    SQL
-    + """, ctr AS (SELECT *, value - avg(value) OVER (PARTITION BY patient_id, sample) AS x FROM vec WHERE sample < 6), pat AS (SELECT patient_id, sample, channel, x / sqrt(sum(x * x) OVER (PARTITION BY patient_id, sample)) AS v FROM ctr),
-s AS (SELECT a.patient_id, a.sample AS archetype, b.sample AS microstate, abs(sum(a.v * b.v)) AS sim FROM pat a JOIN pat b ON a.channel = b.channel AND b.patient_id = 0 AND b.sample < 4 AND a.patient_id > 0 GROUP BY 1, 2, 3)
-SELECT archetype, microstate, count(DISTINCT patient_id) AS n_subjects, round(avg(sim), 6) AS mean_similarity, round(median(sim), 6) AS median_similarity, round(min(sim), 6) AS min_similarity FROM s GROUP BY 1, 2 HAVING count(DISTINCT patient_id) >= 3""",
-)
+@register("template_similarity_group")
 def template_similarity_group(spark: SparkSession, d: str) -> DataFrame:
     """Templates fitted to all patterns of the other patients against those of the first."""
     from tessera.plans.kernel_queries import polarity_kmeans

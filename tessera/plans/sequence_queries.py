@@ -11,7 +11,7 @@ from tessera.operators import kernels as K
 from tessera.operators import sequence as S
 from tessera.operators import statistics as C
 from tessera.plans.registry import register
-from tessera.plans.standins import SQL, aligned, field, labels, paired_labels
+from tessera.plans.standins import PAIRED, SQL, aligned, field, labels, paired_labels
 
 KEY = ["patient_id"]
 
@@ -104,14 +104,14 @@ def asof(spark: SparkSession, d: str) -> DataFrame:
     return A.asof_nearest(paired_labels(spark, d), field(spark, d).drop("sample"), KEY, tolerance=300.0)
 
 
-@register("asof_nearest_tolerance", SQL + _ASOF + "SELECT patient_id, sample, time_sec, microstate, corr, field_state, gfp FROM aso")
+@register("asof_nearest_tolerance", PAIRED + _ASOF + "SELECT patient_id, sample, time_sec, microstate, corr, field_state, gfp FROM aso")
 def asof_nearest_tolerance(spark: SparkSession, d: str) -> DataFrame:
     return asof(spark, d)
 
 
 @register(
     "asof_chained",
-    SQL + _ASOF + "SELECT patient_id, sample, microstate, field_state, gfp, coalesce((field_state <> lag(field_state) OVER w)::int::double, 0) AS field_switch, coalesce((microstate <> lag(microstate) OVER w)::int::double, 0) AS label_switch FROM aso WINDOW w AS (PARTITION BY patient_id ORDER BY sample)",
+    PAIRED + _ASOF + "SELECT patient_id, sample, microstate, field_state, gfp, coalesce((field_state <> lag(field_state) OVER w)::int::double, 0) AS field_switch, coalesce((microstate <> lag(microstate) OVER w)::int::double, 0) AS label_switch FROM aso WINDOW w AS (PARTITION BY patient_id ORDER BY sample)",
 )
 def asof_chained(spark: SparkSession, d: str) -> DataFrame:
     trace = field(spark, d)
@@ -123,7 +123,7 @@ def asof_chained(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "asof_left_wide_dropna",
-    SQL + _ASOF + "SELECT patient_id, sample, c AS region, CASE c WHEN 'corr' THEN corr ELSE gfp END AS value FROM aso, (VALUES ('corr'), ('gfp')) v(c) WHERE field_state > 0",
+    PAIRED + _ASOF + "SELECT patient_id, sample, c AS region, CASE c WHEN 'corr' THEN corr ELSE gfp END AS value FROM aso, (VALUES ('corr'), ('gfp')) v(c) WHERE field_state > 0",
 )
 def asof_left_wide_dropna(spark: SparkSession, d: str) -> DataFrame:
     wide = field(spark, d).select("patient_id", "time_sec", "gfp", F.when(F.col("field_state") > 0, F.col("field_state")).alias("field_state"))
@@ -133,7 +133,7 @@ def asof_left_wide_dropna(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "window_response_rate",
-    SQL
+    PAIRED
     + """, ftr AS (SELECT patient_id, time_sec AS event_sec FROM (SELECT *, lag(field_state) OVER (PARTITION BY patient_id ORDER BY sample) AS p FROM fld) WHERE field_state <> p)
 SELECT patient_id, from_state, to_state, count(*) AS n_events, round(avg(hit), 9) AS rate FROM (
   SELECT t.*, EXISTS (SELECT 1 FROM ftr r WHERE r.patient_id = t.patient_id AND r.event_sec >= t.event_sec AND r.event_sec < t.event_sec + 250)::int AS hit FROM tra t) GROUP BY 1, 2, 3""",
@@ -147,7 +147,7 @@ def window_response_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "destination_response_rate",
-    SQL
+    PAIRED
     + """, ftr AS (SELECT patient_id, time_sec AS event_sec, field_state AS dest FROM (SELECT *, lag(field_state) OVER (PARTITION BY patient_id ORDER BY sample) AS p FROM fld) WHERE field_state <> p),
 dst AS (SELECT DISTINCT patient_id, dest FROM ftr)
 SELECT patient_id, from_state, to_state, dest AS response_state, count(*) AS n_events, round(avg(hit), 9) AS rate FROM (
@@ -163,7 +163,7 @@ def destination_response_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "pre_post_event_effect",
-    SQL
+    PAIRED
     + """, e AS (SELECT t.patient_id, transition_id, to_state, avg(gfp) FILTER (f.time_sec < event_sec) AS pre, avg(gfp) FILTER (f.time_sec >= event_sec) AS post
   FROM tra t JOIN fld f ON f.patient_id = t.patient_id AND f.time_sec >= event_sec - 900 AND f.time_sec < event_sec + 900 GROUP BY 1, 2, 3)
 SELECT patient_id, to_state, count(*) AS n_events, round(avg(post - pre), 6) AS effect_mean_diff FROM e WHERE pre IS NOT NULL AND post IS NOT NULL GROUP BY 1, 2""",
@@ -242,22 +242,9 @@ def nmi_zero_lag(spark: SparkSession, d: str) -> DataFrame:
 LAGS, SHIFTS = list(range(-10, 11)), 128
 
 
-@register(
-    "nmi_lag_grid_arith_surrogates",
-    SQL
-    + """, n AS (SELECT patient_id, count(*) AS n FROM ali GROUP BY 1), sh AS (SELECT i AS s, CASE WHEN i = 0 THEN 0 ELSE 1 + (i * 7919) % 97 END AS k FROM range(0, 9) r(i)),
-al AS MATERIALIZED (SELECT patient_id, sample, microstate, field_state FROM ali), asked AS MATERIALIZED (SELECT patient_id, s, sample, (sample - k + 100 * n) % n AS given FROM al JOIN n USING (patient_id), sh),
-rolled AS MATERIALIZED (SELECT q.patient_id, s, q.sample, b.field_state FROM asked q JOIN al b ON b.patient_id = q.patient_id AND b.sample = q.given),
-later AS MATERIALIZED (SELECT patient_id, microstate, l, sample + l AS sample FROM al, (SELECT unnest([-2, -1, 0, 1, 2]) AS l) g),
-src AS (SELECT a.patient_id, a.l AS lag_samples, s, a.microstate AS a, b.field_state AS b, count(*)::double AS c FROM later a JOIN rolled b USING (patient_id, sample) GROUP BY ALL),
-v AS ("""
-    + _NMI.format(keys="patient_id, lag_samples, s", src="SELECT * FROM src")
-    + """), o AS (SELECT patient_id, lag_samples, nmi AS obs FROM v WHERE s = 0)
-SELECT patient_id, lag_samples, any_value(obs) AS observed_coupling, round(avg(nmi), 8) AS null_mean_coupling, round(any_value(obs) - avg(nmi), 8) AS effect_mean_diff, round((count(*) FILTER (nmi >= obs) + 1) / (count(*) + 1), 9) AS p_perm
-FROM v JOIN o USING (patient_id, lag_samples) WHERE s > 0 GROUP BY 1, 2""",
-)
+@register("nmi_lag_grid_arith_surrogates")
 def nmi_lag_grid_arith_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    """The SQL twin has 5 lags and 8 shifts of at most 97 samples."""
+    """21 lags against 128 shifts over the whole sequence; SQL is too slow for that."""
 
     def kernel(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("sample")

@@ -72,13 +72,13 @@ def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CASE = "CASE event_type " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(STATES)) + " END::bigint"
 
-#: Common table expressions with the same tables, to put before a query.
-SQL = f"""
+_SQL = f"""
 WITH base AS (SELECT 'p' || (user_id % 10) AS patient_id, event_id, (epoch_us(ts) - 1704067200000000) / 1e6::double AS time_sec, {_CASE} AS microstate, value, regexp_extract(props, '(\\d+)', 1)::bigint AS k FROM events),
-lab AS (SELECT patient_id, row_number() OVER (PARTITION BY patient_id ORDER BY time_sec, event_id) - 1 AS sample, time_sec, microstate, value AS corr FROM base WHERE event_id % 2 = 0),
+lab AS (SELECT patient_id, row_number() OVER (PARTITION BY patient_id ORDER BY time_sec, event_id) - 1 AS sample, time_sec, microstate, value AS corr FROM base [even]),
 fld AS (SELECT patient_id, row_number() OVER (PARTITION BY patient_id ORDER BY time_sec, event_id) - 1 AS sample, time_sec, k % 4 AS field_state, value AS gfp FROM base WHERE event_id % 2 = 1),
-ali AS (SELECT lab.*, field_state, gfp FROM lab JOIN fld USING (patient_id, sample)),
-vec AS (SELECT vec_id % 5 AS patient_id, vec_id // 5 AS sample, i - 1 AS channel, embedding[i]::double AS value FROM embeddings, range(1, 9) r(i)),
+two AS (SELECT patient_id, row_number() OVER (PARTITION BY patient_id ORDER BY time_sec, event_id) - 1 AS sample, time_sec, microstate, value AS corr FROM base WHERE event_id % 2 = 0),
+ali AS (SELECT two.*, field_state, gfp FROM two JOIN fld USING (patient_id, sample)),
+vec AS (SELECT vec_id % 5 AS patient_id, vec_id // 5 AS sample, i - 1 AS channel, embedding[i]::double AS value FROM embeddings, range(1, 65) r(i)),
 eff AS (SELECT user_id % 3 AS grp, user_id AS subject, {_CASE} AS microstate, avg(value) AS value FROM events GROUP BY ALL),
 step AS (SELECT patient_id, coalesce(median(d), 0) AS period FROM (SELECT patient_id, time_sec - lag(time_sec) OVER (PARTITION BY patient_id ORDER BY sample) AS d FROM lab) GROUP BY 1),
 isl AS (SELECT *, sample - row_number() OVER (PARTITION BY patient_id, microstate ORDER BY sample) AS g FROM lab),
@@ -87,3 +87,8 @@ run AS (SELECT patient_id, microstate, min(sample) AS start_sample, count(*) AS
 tra AS (SELECT patient_id, run_id - 1 AS transition_id, start_sec AS event_sec, lag(microstate) OVER w AS from_state, microstate AS to_state, lag(start_sec) OVER w AS from_start_sec,
   lag(end_sec) OVER w AS from_end_sec, start_sec AS to_start_sec, end_sec AS to_end_sec FROM run WINDOW w AS (PARTITION BY patient_id ORDER BY run_id) QUALIFY run_id > 0)
 """
+
+#: Common table expressions with the same tables, to put before a query; in the second ``lab`` and what follows from it
+#: are the paired labels.
+SQL = _SQL.replace("[even]", "")
+PAIRED = _SQL.replace("[even]", "WHERE event_id % 2 = 0")

@@ -132,7 +132,7 @@ def weighted_rms_std(spark: SparkSession, d: str) -> DataFrame:
     return V.weighted_power(weighted, KEY).select("patient_id", "sample", *r6("weighted_rms", "weighted_std"), "n_series")
 
 
-_REG = ", reg AS (SELECT patient_id, 'r' || (channel % 3) AS region, sample, avg(value) AS value FROM vec WHERE channel < 7 GROUP BY 1, 2, 3)"
+_REG = ", reg AS (SELECT patient_id, 'r' || (channel % 3) AS region, sample, avg(value) AS value FROM vec GROUP BY 1, 2, 3)"
 
 
 def _mapping(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +146,7 @@ def regions(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "region_mean_coverage",
-    SQL + _REG + ", cov AS (SELECT patient_id, 'r' || (channel % 3) AS region, count(DISTINCT channel) AS n_bipolar_channels FROM vec WHERE channel < 7 GROUP BY 1, 2) SELECT patient_id, region, sample, round(value, 6) AS value, n_bipolar_channels FROM reg JOIN cov USING (patient_id, region)",
+    SQL + _REG + ", cov AS (SELECT patient_id, 'r' || (channel % 3) AS region, count(DISTINCT channel) AS n_bipolar_channels FROM vec GROUP BY 1, 2) SELECT patient_id, region, sample, round(value, 6) AS value, n_bipolar_channels FROM reg JOIN cov USING (patient_id, region)",
 )
 def region_mean_coverage(spark: SparkSession, d: str) -> DataFrame:
     found = regions(spark, d).join(R.region_coverage(_mapping(spark, d), KEY), ["patient_id", "region"])
@@ -203,14 +203,7 @@ def region_mapping_summary(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "nation").groupBy(F.concat(F.lit("REGION"), "n_regionkey").alias("region")).agg(F.count("*").alias("n_channels"))
 
 
-@register(
-    "project_common_space",
-    SQL
-    + _PAT
-    + """, g AS (SELECT patient_id, sample, channel % 3 AS unit, avg(v) AS value FROM pat WHERE sample < 4 AND channel < 7 GROUP BY 1, 2, 3), c AS (SELECT *, value - avg(value) OVER (PARTITION BY patient_id, sample) AS x FROM g),
-u AS (SELECT patient_id, sample, unit, x / sqrt(sum(x * x) OVER (PARTITION BY patient_id, sample)) AS v FROM c), b AS (SELECT patient_id, sample, arg_max(sign(v), (abs(v), -unit)) AS s FROM u GROUP BY 1, 2)
-SELECT patient_id, sample AS field_state, 'r' || unit AS region, round(v * s, 6) AS loading FROM u JOIN b USING (patient_id, sample)""",
-)
+@register("project_common_space")
 def project_common_space(spark: SparkSession, d: str) -> DataFrame:
     """Templates fitted to all of a patient's patterns, by region."""
     from tessera.plans.kernel_queries import polarity_kmeans
