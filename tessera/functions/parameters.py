@@ -6,16 +6,20 @@ import hashlib
 import json
 import re
 from dataclasses import asdict, dataclass
+from datetime import datetime
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # Accepted spellings of each choice.
 CHOICES = {
-    "peak_metric": {"rms": "rms", "gfp": "rms", "spatial-std": "spatial-std", "std": "spatial-std"},
-    "normalization": {"zscore": "zscore", "z-score": "zscore", "robust-zscore": "robust-zscore", "robust": "robust-zscore"},
-    "global_metric": {"rms": "rms", "envelope-rms": "envelope-rms", "envelope": "envelope-rms", "spatial-std": "spatial-std", "std": "spatial-std"},
-    "weighting": {"equal": "equal", "sqrt": "sqrt"},
-    "connectivity": {"corr": "abs-corr", "abs-corr": "abs-corr", "plv": "plv", "wpli": "wpli"},
-    "backend": {"pca-kmeans": "pca-kmeans", "kmeans": "pca-kmeans"},
-    "archetype_space": {"aal3": "aal3", "yeo7": "yeo7", "yeo17": "yeo17"},
+    "peak_metric": {"rms": "rms", "spatial-std": "spatial-std", "spatial-stddev": "spatial-std", "std": "spatial-std"},
+    "normalization": {"zscore": "zscore", "z": "zscore", "robust-zscore": "robust-zscore", "robust": "robust-zscore", "mad-zscore": "robust-zscore"},
+    "global_metric": {"rms": "rms", "envelope-rms": "envelope-rms", "envelope": "envelope-rms", "env-rms": "envelope-rms", "spatial-std": "spatial-std", "spatial-stddev": "spatial-std", "std": "spatial-std"},
+    "weighting": {"equal": "equal", "sqrt-channel-count": "sqrt-channel-count", "sqrt-channels": "sqrt-channel-count", "sqrt": "sqrt-channel-count"},
+    "connectivity": {"corr": "corr", "correlation": "corr", "pearson": "corr", "plv": "plv", "phase-locking-value": "plv", "wpli": "wpli", "weighted-phase-lag-index": "wpli"},
+    "backend": {"pca-kmeans": "pca-kmeans", "pca": "pca-kmeans"},
+    "archetype_space": {"yeo17": "yeo17", "yeo-17": "yeo17", "aal3": "aal3", "aal-3": "aal3", "aal": "aal3"},
 }
 
 
@@ -42,6 +46,33 @@ def content_hash(value: object, digits: int = 10) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, default=str).encode()).hexdigest()[:digits]
 
 
+def run_id(now: datetime | None = None) -> str:
+    """A run's name: its date and time."""
+    return (now or datetime.now()).strftime("%Y%m%d_%H%M%S")
+
+
+def without_suffix(label: Column) -> Column:
+    """A label without a trailing number (`_3`) or side (` L`, ` R`)."""
+    return F.regexp_replace(F.regexp_replace(label, r" [LR]$", ""), r"_\d+$", "")
+
+
+def coordinates(text: Column) -> Column:
+    """The struct (x, y, z) of a text like [1.5, 2, -3]; a part that is no number is null."""
+    parts = F.split(F.regexp_replace(text, r"[\[\]\s]", ""), ",")
+    return F.struct(*(F.get(parts, F.lit(i)).try_cast("double").alias(name) for i, name in enumerate("xyz")))
+
+
+def shown_number(value: Column, digits: int = 3) -> Column:
+    """A number as text with so many decimals; null: NA."""
+    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit("NA"))
+
+
+def shown_p(value: Column, digits: int = 3) -> Column:
+    """A probability as text; under the least shown value `<` that value; null: NA."""
+    least = 10.0**-digits
+    return F.when(value < least, F.lit(f"<{least:.{digits}f}")).otherwise(shown_number(value, digits))
+
+
 @dataclass(frozen=True)
 class FieldKey:
     """Parameters that most field-state tables carry as columns."""
@@ -57,8 +88,6 @@ class FieldKey:
 
     def add_to(self, df):
         """The table with the parameters as columns."""
-        from pyspark.sql import functions as F
-
         return df.withColumns({name: F.lit(value) for name, value in asdict(self).items()})
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import kernels as K
+
 
 def pearson(x: str, y: str, least: int = 3) -> Column:
     """Correlation as an aggregate; 0 with fewer than ``least`` pairs or where a side is constant."""
@@ -143,3 +147,73 @@ def lag_peak(table: DataFrame, keys: list[str], *, lag: str, effect: str) -> Dat
     right = F.coalesce(F.min(F.when(low & (F.col(lag) > F.col("__at")), F.col(lag))) - 1, F.max(lag))
     left = F.coalesce(F.max(F.when(low & (F.col(lag) < F.col("__at")), F.col(lag))) + 1, F.min(lag))
     return placed.groupBy(*keys).agg(F.first("__at").alias("peak_lag_samples"), F.first("__pe").alias("peak_effect"), (right - left).alias("peak_width_samples"), F.count("*").alias("n_lags"))
+
+
+def event_adjusted_effect(around: DataFrame, keys: list[str], *, y: str, x: str, offset: str = "offset_samples") -> DataFrame:
+    """Mean of ``y`` before and from the event on, at the mean of ``x``: a regression on both, as sums over the two sides."""
+    side = around.withColumn("__post", F.col(offset) >= 0).groupBy(*keys, "__post").agg(F.count("*").alias("n"), F.avg(y).alias("y"), F.avg(x).alias("x"), (F.covar_pop(y, x) * F.count("*")).alias("sxy"), (F.var_pop(x) * F.count("*")).alias("sxx"))
+    at = lambda c, post: F.max(F.when(F.col("__post") == post, F.col(c)))
+    both = side.groupBy(*keys).agg(
+        F.sum("n").alias("n_samples"), F.coalesce(F.try_divide(F.sum("sxy"), F.nullif(F.sum("sxx"), F.lit(0.0))), F.lit(0.0)).alias("b"), (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("c"),
+        at("y", False).alias("y0"), at("x", False).alias("x0"), at("y", True).alias("y1"), at("x", True).alias("x1"), F.count("*").alias("k"),
+    ).where("k = 2")
+    return both.select(*keys, "n_samples", F.expr("y0 - b * (x0 - c)").alias("pre_value"), F.expr("y1 - b * (x1 - c)").alias("post_value"), F.expr("y1 - y0 - b * (x1 - x0)").alias("effect_mean_diff"), F.col("b").alias("gfp_beta"))
+
+
+def _ordinal(table: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys with their place in sorted order, those without enough support included: it is added to the seed."""
+    known = table.dropna(subset=keys).select(*keys).distinct()  # group keys: a few rows
+    return known.withColumn("__seed", F.row_number().over(Window.orderBy(*keys)) - 1)
+
+
+def _with_sign_flips(values: DataFrame, keys: list[str], seed: int, min_subjects: int, *, value: str = "value") -> DataFrame:
+    """keys, n_subjects, mean_effect, median_effect, p_perm of rows (keys, __seed, __order, value)."""
+
+    def kernel(part: pd.DataFrame) -> pd.DataFrame:
+        x = part.sort_values("__order")[value].to_numpy(float)
+        if len(x) < min_subjects:
+            return pd.DataFrame({"n_subjects": [], "mean_effect": [], "median_effect": [], "p_perm": []})
+        return pd.DataFrame({"n_subjects": [len(x)], "mean_effect": [x.mean()], "median_effect": [np.median(x)], "p_perm": [K.sign_flip_p(x, seed + int(part["__seed"].iloc[0]))]})
+
+    return K.grouped(values, keys, "n_subjects long, mean_effect double, median_effect double, p_perm double", kernel)
+
+
+def posthoc(table: DataFrame, keys: list[str], *, subject: str, state: str, value: str, seed: int, min_subjects: int) -> DataFrame:
+    """``pair_differences`` with sign-flip p-values and their q."""
+    known = table.where(F.col(value).isNotNull())
+    cells = known.groupBy(*keys, subject, state).agg(F.avg(value).alias("__v"))
+    a = cells.select(*keys, subject, F.col(state).alias("state_a"), F.col("__v").alias("__va"))
+    b = cells.select(*keys, subject, F.col(state).alias("state_b"), F.col("__v").alias("__vb"))
+    states = known.select(state).distinct()
+    pair = states.select(F.col(state).alias("state_a")).join(F.broadcast(states.select(F.col(state).alias("state_b"))), F.col("state_a") < F.col("state_b"))
+    pair = pair.withColumn("__pair", F.row_number().over(Window.orderBy("state_a", "state_b")) - 1)  # pairs of a few states
+    rows = a.join(b, [*keys, subject]).where("state_a < state_b").join(F.broadcast(pair), ["state_a", "state_b"]).join(F.broadcast(_ordinal(known, keys)), keys)
+    by = [*keys, "state_a", "state_b"]
+    values = rows.select(*by, F.col(subject).alias("__order"), (F.col("__seed") * 31 + F.col("__pair")).alias("__seed"), (F.col("__vb") - F.col("__va")).alias("value"))
+    means = rows.groupBy(*by).agg(F.avg("__va").alias("mean_state_a"), F.avg("__vb").alias("mean_state_b"))
+    return benjamini_hochberg(_with_sign_flips(values, by, seed, min_subjects).join(means, by), [], tie=by)
+
+
+def omnibus(table: DataFrame, keys: list[str], *, subject: str, state: str, value: str, states: list[int], seed: int, min_subjects: int) -> DataFrame:
+    """F of states within subjects that have all states, with a permutation p, the means of the states, and q."""
+    cells = table.where(F.col(value).isNotNull()).groupBy(*keys, subject).pivot(state, states).agg(F.avg(value))
+    whole = cells.dropna(subset=[str(s) for s in states]).join(F.broadcast(_ordinal(table, keys)), keys)
+    names = [f"mean_state_{s}" for s in states]
+
+    def kernel(part: pd.DataFrame) -> pd.DataFrame:
+        matrix = part.sort_values(subject)[[str(s) for s in states]].to_numpy(float)
+        if len(matrix) < min_subjects:
+            return pd.DataFrame({c: [] for c in ("n_subjects", "statistic", "p_perm", *names)})
+        row = {"n_subjects": len(matrix), "statistic": K.within_f(matrix), "p_perm": K.within_permutation_p(matrix, seed + int(part["__seed"].iloc[0]))}
+        return pd.DataFrame([row | dict(zip(names, matrix.mean(axis=0), strict=True))])
+
+    schema = "n_subjects long, statistic double, p_perm double, " + ", ".join(f"{n} double" for n in names)
+    return benjamini_hochberg(K.grouped(whole, keys, schema, kernel), [], tie=keys)
+
+
+def connectivity_groups(effects: DataFrame, keys: list[str], *, seed: int, min_subjects: int, subject: str = "patient_id", value: str = "effect_mean_diff") -> DataFrame:
+    """Sign-flip statistics of connectivity effects with the mean connectivity inside and outside the state, and q."""
+    known = effects.where(F.col(value).isNotNull())
+    values = known.join(F.broadcast(_ordinal(effects, keys)), keys).select(*keys, F.col(subject).alias("__order"), "__seed", F.col(value).alias("value"))
+    means = known.groupBy(*keys).agg(F.avg("state_connectivity").alias("mean_state_connectivity"), F.avg("off_connectivity").alias("mean_off_connectivity"))
+    return benjamini_hochberg(_with_sign_flips(values, keys, seed, min_subjects).join(means, keys), [], tie=keys)

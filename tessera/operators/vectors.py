@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,26 +54,31 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where the body uses it for each element of an array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x * y))
 
 
 def unit_pattern(a: Column) -> Column:
     """The array less its mean, over its norm; all 0 where that is 0."""
-    return F.element_at(
-        F.transform(
-            F.array(F.transform(F.array(_sum(a) / F.size(a)), lambda m: F.transform(a, lambda x: x - m))[0]),
-            lambda c: F.transform(c, lambda x: F.coalesce(F.try_divide(x, F.sqrt(dot(c, c))), F.lit(0.0))),
-        ),
-        1,
-    )
+    centred = lambda v: let(_sum(v) / F.size(v), lambda m: F.transform(v, lambda x: x - m))
+    scaled = lambda c: let(F.sqrt(dot(c, c)), lambda n: F.transform(c, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0))))
+    return let(a, lambda v: let(centred(v), scaled))
 
 
 def oriented(a: Column) -> Column:
     """The array with the sign that makes its largest magnitude positive, the first on ties."""
-    sizes = F.transform(a, F.abs)
-    at = F.array_position(sizes, F.array_max(sizes)).cast("int")
-    return F.transform(a, lambda x: x * F.when(F.get(a, at - 1) < 0, F.lit(-1.0)).otherwise(F.lit(1.0)))
+
+    def turned(v: Column) -> Column:
+        sizes = F.transform(v, F.abs)
+        sign = let(sizes, lambda m: F.when(F.get(v, F.array_position(m, F.array_max(m)).cast("int") - 1) < 0, F.lit(-1.0)).otherwise(F.lit(1.0)))
+        return let(sign, lambda s: F.transform(v, lambda x: x * s))
+
+    return let(a, turned)
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -36,4 +36,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from tessera.plans import group_queries, kernel_queries, report_queries, sequence_queries, stage_queries, vector_queries  # noqa: F401
+    from tessera.plans import group_queries, kernel_queries, report_queries, sequence_queries, stage_queries, table_queries, vector_queries  # noqa: F401
