@@ -58,19 +58,42 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """The hash of each window of the sequence, from windows whose lengths are powers of two."""
+    """The hash of each window of the sequence (codes of 64 bits, or bytes), from windows of 1, 2, 4, ... times the least length.
+
+    Bytes are taken eight at a time; where ``width`` is no multiple of that, the last eight of a window count twice.
+    """
     n = len(codes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    power, size, out, done = codes, 1, None, 0
+    size, most, first = 1, width, codes
+    if codes.dtype == np.uint8:
+        if width < 8:
+            first = BYTE_CODES[codes]
+        else:
+            size, most, first = 8, width - width % 8, np.ndarray((len(codes) - 7,), "<u8", codes, strides=(1,)).copy()
+    power, out, done = first, None, 0
     while True:
-        if width & size:
+        if most & size:
             out = power[:n] if out is None else combine(out, power[done : done + n])
             done += size
-        if done == width:
-            return out.copy() if done == 1 else out
+        if done == most:
+            break
         power = combine(power[:-size], power[size:])
         size *= 2
+    if most < width:
+        out = combine(out, first[width - 8 : width - 8 + n])
+    return out.copy() if out.base is codes else out
+
+
+def hashes_at(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of a few windows of bytes, those that start at ``at``; not the ones of ``window_hashes``."""
+    if width < 8 or not len(at):
+        return window_hashes(data, width)[at]
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    out = np.zeros(len(at), np.uint64)
+    for start in [*range(0, width - 7, 8), width - 8]:
+        out = combine(out, eight[at + start])
+    return out
 
 
 def anchors(codes: np.ndarray, sizes: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import release_memory
-from tessera.llm.repeats import BYTE_CODES, Sequences, blocked, by_bucket, counts_for, find_repeats, numeric, pack, ranges, unpack, window_hashes
+from tessera.llm.repeats import Sequences, blocked, by_bucket, counts_for, find_repeats, hashes_at, numeric, pack, ranges, unpack, window_hashes
 
 K = 64
 CONTEXT, ALL = 0, 1
@@ -29,9 +29,7 @@ PART_BYTES = 1_500_000
 
 def _sequences(texts: list[bytes]) -> Sequences:
     data = np.frombuffer(b"".join(texts), np.uint8)
-    seq = Sequences(BYTE_CODES[data], np.array([len(t) for t in texts], np.int64))
-    seq.data = data
-    return seq
+    return Sequences(data, np.array([len(t) for t in texts], np.int64))
 
 
 def shared_with_smaller(places: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -85,8 +83,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             return []
         # Runs with equal bytes: one is compared with other blocks, the rest are known to repeat.
         # (Less than ``width`` windows have one anchor: the first and the last of them cover the run.)
-        marks = window_hashes(seq.codes, width)
-        whole = np.stack([hashes, marks[first], marks[last], (last - first).astype(np.uint64)], 1)
+        whole = np.stack([hashes, hashes_at(seq.codes, first, width), hashes_at(seq.codes, last, width), (last - first).astype(np.uint64)], 1)
         _, place, inverse, counts = np.unique(whole, axis=0, return_index=True, return_inverse=True, return_counts=True)
         inverse = inverse.ravel()
         known = counts[inverse] > 1
@@ -107,7 +104,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         for b, at in by_bucket((hashes[place] % np.uint64(buckets)).astype(np.int64)):
             i = place[at]
             n = last[i] - first[i] + 1
-            data = seq.data[ranges(first[i], n + width - 1)]
+            data = seq.codes[ranges(first[i], n + width - 1)]
             out.append((b, CONTEXT, pack(hashes[i], first[i], n.astype(np.int32), document[at], offset[at], settled[at].astype(np.uint8), data.tobytes())))
         return out
 
@@ -131,7 +128,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 continue
             local = np.cumsum(size[i]) - size[i]
             at = ranges(local, n[i])  # window starts in the part's data
-            marks = window_hashes(BYTE_CODES[data[ranges(begins[i], size[i])]], width)[at]
+            marks = window_hashes(data[ranges(begins[i], size[i])], width)[at]
             inside = at - np.repeat(local, n[i])
             levels = [(np.repeat(hashes[i], n[i]), k), (marks, width)]
             previous, following = longest_previous_factors(levels, [np.repeat(document[i], n[i]), np.repeat(offset[i], n[i]) + inside])
@@ -153,14 +150,14 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             at = ranges(first, count)
             starts.append(at[np.unpackbits(bits, count=len(at)).astype(bool)] if kind == CONTEXT else at)
         at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        edges = np.bincount(at, minlength=len(seq.data) + 1) - np.bincount(at + width, minlength=len(seq.data) + 1)
+        edges = np.bincount(at, minlength=len(seq.codes) + 1) - np.bincount(at + width, minlength=len(seq.codes) + 1)
         gone = np.cumsum(edges[:-1]) > 0
         rows, at = [], 0
         for i, t in zip(ids, texts, strict=True):
             own = gone[at : at + len(t)]
             kept, spans = t, []
             if own.any():
-                kept = seq.data[at : at + len(t)][~own].tobytes()
+                kept = seq.codes[at : at + len(t)][~own].tobytes()
                 turn = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
                 spans = [{"start": int(a), "end": int(b)} for a, b in turn.reshape(-1, 2)]
             rows.append((i, len(t), kept, spans))
