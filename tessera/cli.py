@@ -6,10 +6,11 @@ import argparse
 import json
 import sys
 import time
+import traceback
 from pathlib import Path
 
 from tessera.functions.parameters import FieldKey, RunConfig
-from tessera.plans import registry, workflows
+from tessera.plans import exploratory, registry, workflows
 from tessera.session import make_session, share_package
 from tessera.sources import recordings
 from tessera.sources.catalog import Catalog
@@ -38,7 +39,13 @@ def parser() -> argparse.ArgumentParser:
     coupling.add_argument("--surrogates", type=int, default=128)
     stage = commands.add_parser("stage-analysis", help="summaries of labelled event stages")
     stage.add_argument("--labels", required=True)
-    for p in (index, states, coupling, stage):
+    regions = commands.add_parser("region-signals", help="channel mapping and region signals")
+    regions.add_argument("--signals", required=True)
+    regions.add_argument("--atlas", required=True)
+    explore = commands.add_parser("explore", help="exploratory analyses: one by name, or all whose tables are given")
+    explore.add_argument("--analysis", default="all")
+    explore.add_argument("--table", action="append", default=[], metavar="NAME=PATH", help="a Parquet table (see tessera.plans.exploratory)")
+    for p in (index, states, coupling, stage, regions, explore):
         p.add_argument("--cache", required=True)
         p.add_argument("--export", help="folder for CSV tables and the manifest")
         p.add_argument("--analysis-state", default="IDE_A")
@@ -59,6 +66,10 @@ def tables_of(spark, args: argparse.Namespace, config: RunConfig) -> dict:
     if args.command == "state-coupling":
         effects = workflows.state_coupling(read(args.labels), read(args.field_labels), config, lags=tuple(args.lags), surrogates=args.surrogates).cache()
         return {"effects": effects, "group": workflows.group_statistics(effects, ["lag_samples", "lag_ms"], config)}
+    if args.command == "region-signals":
+        return workflows.region_branch(recordings.read_signals(spark, args.signals), recordings.read_atlas(spark, args.atlas), config)
+    if args.command == "explore":
+        return exploratory.run(args.analysis, {name: read(path) for name, path in (t.split("=", 1) for t in args.table)}, config)
     return workflows.stage_analysis(read(args.labels))
 
 
@@ -67,24 +78,26 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "list":
         print("\n".join(registry.queries()))
         return 0
-    began, spark, error = time.time(), share_package(make_session(args.master)), None
+    began, spark, error, key, outputs = time.time(), share_package(make_session(args.master)), None, None, []
     try:
         if args.command == "run":
             registry.queries()[args.name](spark, args.input).write.mode("overwrite").parquet(args.output)
+            outputs.append(args.output)
         else:
             config = RunConfig(analysis_state=args.analysis_state, min_subjects=args.min_subjects, seed=args.seed, field=FieldKey(args.peak_metric, args.normalization, args.n_states))
-            catalog = Catalog(spark, args.cache)
+            catalog, key = Catalog(spark, args.cache), config.key
             made = tables_of(spark, args, config)
             kept = {name: catalog.table(args.command, name, args.analysis_state, config.key, lambda df=df: df) for name, df in made.items()}
+            outputs += [catalog.path(args.command, name, args.analysis_state, config.key) for name in made]
             if args.export:
                 manifest = workflows.export_tables(catalog, kept, config, family=args.command, branch=args.analysis_state, out=args.export)
                 recordings.write_report(manifest, f"{args.export}/manifest")
     except Exception as e:
-        error = repr(e)
+        error = "".join(traceback.format_exception(e))
         raise
     finally:
         if args.log:
-            line = {"command": args.command, "argv": argv or sys.argv[1:], "duration_sec": round(time.time() - began, 3), "status": "error" if error else "ok", "error": error}
+            line = {"command": args.command, "argv": argv or sys.argv[1:], "duration_sec": round(time.time() - began, 3), "status": "error" if error else "ok", "config": key, "outputs": outputs, "error": error}
             with Path(args.log).open("a") as log:
                 log.write(json.dumps(line) + "\n")
     return 0

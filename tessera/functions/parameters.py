@@ -64,7 +64,7 @@ def coordinates(text: Column) -> Column:
 
 def shown_number(value: Column, digits: int = 3) -> Column:
     """A number as text with so many decimals; null: NA."""
-    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit("NA"))
+    return F.when(value.isNull(), F.lit("NA")).otherwise(F.format_string(f"%.{digits}f", value))
 
 
 def shown_p(value: Column, digits: int = 3) -> Column:

@@ -25,6 +25,20 @@ def coverage(present: Column, required: tuple[str, ...] = STANDARD) -> Column:
     return F.struct(F.array_intersect(need, present).alias("present"), missing.alias("missing"), F.array_sort(F.array_except(present, need)).alias("extra"), (F.size(missing) == 0).alias("covers"))
 
 
+def inventory(channels: DataFrame, keys: list[str], *, channel: str = "channel", required: tuple[str, ...] = STANDARD) -> DataFrame:
+    """Canonical channels of each recording, those required that are missing, others, and whether all required are there."""
+    named = channels.select(*keys, canonical_channel(F.col(channel)).alias("__c"))
+    held = named.groupBy(*keys).agg(F.array_sort(F.collect_set("__c")).alias("channels"))
+    return held.select("*", coverage(F.col("channels"), required).alias("coverage"))
+
+
+def picked(signals: DataFrame, order: tuple[str, ...], *, channel: str = "channel") -> DataFrame:
+    """Signals of the listed channels, with their place in the list."""
+    name = canonical_channel(F.col(channel))
+    at = F.array_position(F.array(*map(F.lit, order)), name)
+    return signals.withColumns({channel: name, "channel_order": (at - 1).cast("int")}).where("channel_order >= 0")
+
+
 def clean_label(label: Column, parcellation: str) -> Column:
     """Null for missing labels; for network parcellations the part before the first space and underscore."""
     known = F.when(F.upper(F.trim(label)).isin("", "N/A"), None).otherwise(F.trim(label))

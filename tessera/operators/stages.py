@@ -130,6 +130,16 @@ def joint_probabilities(pairs: DataFrame, ids: list[str], *, x: str, y: str) ->
     return joint.select(*ids, x, y, "joint_samples", share().alias("joint_probability"), share(x).alias(f"p_{y}_given_{x}"), share(y).alias(f"p_{x}_given_{y}"))
 
 
+def distinct_recordings(segments: DataFrame) -> DataFrame:
+    """The recordings that segments name, once each."""
+    return segments.select("patient_id", "recording_state").distinct()
+
+
+def quality_rows(segments: DataFrame) -> DataFrame:
+    """Segments that can't be used, or with any remark."""
+    return segments.where(~F.col("usable_segment") | (F.coalesce(F.col("qc_reason"), F.lit("ok")) != "ok"))
+
+
 def denominators(segments: DataFrame, recordings: DataFrame, families: dict[str, str]) -> DataFrame:
     """Patients, recordings, segments and usable segments behind each metric family and stage.
 

@@ -89,10 +89,12 @@ def similarity(a: Column, b: Column) -> Column:
 def backfit(samples: DataFrame, templates: DataFrame, keys: list[str], *, order: str = "sample") -> DataFrame:
     """The template most like each sample (the first on ties) and the likeness; ``templates``: keys, state, template."""
     on = [c for c in keys if c in templates.columns]
-    pairs = samples.join(F.broadcast(templates), on) if on else samples.crossJoin(F.broadcast(templates))
-    scored = pairs.withColumn("corr", similarity(F.col("pattern"), F.col("template")))
-    best = scored.groupBy(*keys, order).agg(F.max_by("state", F.struct("corr", -F.col("state"))).alias("state"), F.max("corr").alias("corr"))
-    return best
+    # A few templates of a key travel as one array: the best is found in a projection, without a row for each pair.
+    packed = templates.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("state", "template"))).alias("__t"))
+    joined = samples.join(packed, on) if on else samples.crossJoin(F.broadcast(packed))  # one row
+    scored = F.transform("__t", lambda t: F.struct(similarity(F.col("pattern"), t["template"]).alias("corr"), (-t["state"]).alias("state")))
+    best = joined.select(*keys, order, F.array_max(scored).alias("__best"))
+    return best.select(*keys, order, (-F.col("__best.state")).alias("state"), F.col("__best.corr").alias("corr"))
 
 
 def weighted_power(signals: DataFrame, keys: list[str], *, weight: str = "weight", order: str = "sample") -> DataFrame:

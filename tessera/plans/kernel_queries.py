@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import coupling as U
 from tessera.operators import kernels as K
 from tessera.operators import sequence as S
 from tessera.operators import vectors as V
@@ -191,19 +192,8 @@ _NULL = "observed_coupling double, null_mean_coupling double, effect_mean_diff d
 
 
 def _response_rates(events: DataFrame, responses: DataFrame, state: str, window: float) -> DataFrame:
-    """Switches of one sequence after transitions of another, against shifts of the former."""
-    none = lambda *names: [F.lit(None).cast("long").alias(n) for n in names]
-    moves = S.transitions(events, KEY, state=next(c for c in ("microstate", "field_state") if c in events.columns))
-    both = moves.select("patient_id", F.col("event_sec").alias("time_sec"), "from_state", "to_state", *none("sample", "state")).unionByName(
-        responses.select("patient_id", "time_sec", *none("from_state", "to_state"), "sample", F.col(state).alias("state"))
-    )
-
-    def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        asked, trace = part[part["state"].isna()], part[part["state"].notna()].sort_values("sample")
-        asked = asked.rename(columns={"time_sec": "event_sec"}).astype({"from_state": "int64", "to_state": "int64"})
-        return K.shifted_response_rates(asked, trace["time_sec"].to_numpy(float), trace["state"].to_numpy().astype(int), window, 128, 42)
-
-    return K.grouped(both, KEY, f"from_state long, to_state long, response_kind string, response_state long, n_events long, {_NULL}", kernel)
+    event_state = next(c for c in ("microstate", "field_state") if c in events.columns)
+    return U.response_rates(events, responses, KEY, event_state=event_state, state=state, window=window, surrogates=128, seed=42)
 
 
 @register("response_rate_surrogates")
@@ -227,14 +217,7 @@ def destination_rate_surrogates(spark: SparkSession, d: str) -> DataFrame:
 @register("peak_trajectory_surrogates")
 def peak_trajectory_surrogates(spark: SparkSession, d: str) -> DataFrame:
     """``peak_centered_trajectory`` against 128 circular shifts."""
-    trace = aligned(spark, d).select("patient_id", "sample", "corr", "gfp")
-    peaks = S.local_maxima(trace, KEY, value="gfp").select("patient_id", "sample", F.lit(True).alias("peak"))
-
-    def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("sample")
-        return K.shifted_trajectory(part["corr"].to_numpy(float), np.flatnonzero(part["peak"].notna().to_numpy()), 5, 5, 128, 42)
-
-    return K.grouped(trace.join(peaks, ["patient_id", "sample"], "left"), KEY, f"offset_samples long, n_events long, {_NULL}", kernel)
+    return U.peak_trajectory(aligned(spark, d), KEY, value="corr", peaks_of="gfp", before=5, after=5, surrogates=128, seed=42)
 
 
 @register("event_locked_connectivity")

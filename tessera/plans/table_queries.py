@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import parameters as P
-from tessera.operators import kernels as K
+from tessera.operators import coupling as U
 from tessera.operators import reports as O
 from tessera.operators import sequence as S
 from tessera.operators import statistics as C
@@ -313,10 +312,7 @@ def archetype_topography_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 def _switch_effects(spark: SparkSession, d: str, events: str, y: str) -> DataFrame:
     trace = S.switch_indicator(aligned(spark, d), KEY, state=y, name="y")
-    moves = S.transitions(aligned(spark, d), KEY, state=events).select("patient_id", F.col("event_sec").alias("time_sec"), "from_state", "to_state")
-    at = moves.join(trace.select("patient_id", "time_sec", "sample"), ["patient_id", "time_sec"]).drop("time_sec")
-    around = S.around_events(at, trace.select("patient_id", "sample", "y", "gfp"), KEY, before=5, after=4)
-    return C.event_adjusted_effect(around, [*KEY, "from_state", "to_state"], y="y", x="gfp")
+    return U.controlled_effects(trace, KEY, events=events, y="y", samples=5)
 
 
 _ANC = SQL + """, tr AS (SELECT *, coalesce(({y} <> lag({y}) OVER (PARTITION BY patient_id ORDER BY sample))::int::double, 0) AS y, lag({e}) OVER (PARTITION BY patient_id ORDER BY sample) AS b FROM ali),
@@ -361,18 +357,7 @@ def connectivity_group_statistics(spark: SparkSession, d: str) -> DataFrame:
 @register("power_lag_surrogates")
 def power_lag_surrogates(spark: SparkSession, d: str) -> DataFrame:
     """Correlation of two power traces at each lag against 128 circular shifts."""
-
-    def measure(a: np.ndarray, b: np.ndarray) -> float:
-        if len(a) < 3 or a.std() == 0 or b.std() == 0:
-            return 0.0
-        return float(np.corrcoef(a, b)[0, 1])
-
-    def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("sample")
-        return K.shifted_coupling(part["corr"].to_numpy(float), part["gfp"].to_numpy(float), list(range(-10, 11)), 128, 42, measure)
-
-    schema = "lag_samples long, n_samples long, observed_coupling double, null_mean_coupling double, effect_mean_diff double, p_perm double"
-    return K.grouped(aligned(spark, d).select("patient_id", "sample", "corr", "gfp"), KEY, schema, kernel)
+    return U.lagged(aligned(spark, d), KEY, "corr", "gfp", lags=list(range(-10, 11)), surrogates=128, seed=42, measure=U.correlation)
 
 
 @register("direct_state_coupling")
@@ -385,9 +370,4 @@ def direct_state_coupling(spark: SparkSession, d: str) -> DataFrame:
     own = labels(spark, d).select(F.substring("patient_id", 2, 9).cast("long").alias("patient_id"), "sample", "microstate")
     pairs = own.join(states.select("patient_id", "sample", F.col(state).alias("direct_state")), ["patient_id", "sample"])
 
-    def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("sample")
-        return K.shifted_coupling(part["microstate"].to_numpy(), part["direct_state"].to_numpy(), [0], 128, 42)
-
-    schema = "lag_samples long, n_samples long, observed_coupling double, null_mean_coupling double, effect_mean_diff double, p_perm double"
-    return K.grouped(pairs, KEY, schema, kernel)
+    return U.lagged(pairs, KEY, "microstate", "direct_state", lags=[0], surrogates=128, seed=42)

@@ -15,6 +15,7 @@ from tessera.operators import stages as T
 from tessera.operators import statistics as C
 from tessera.operators import vectors as V
 from tessera.operators.asof import asof_nearest
+from tessera.operators.topography import label_fixed, topography
 from tessera.sources import recordings
 from tessera.sources.catalog import Catalog, manifest_row, supported, with_lineage
 
@@ -53,24 +54,23 @@ def field_states(signals: DataFrame, config: RunConfig, *, peak_distance_ms: int
             peaks = np.sort(np.random.default_rng(seed).choice(peaks, size=most_peaks, replace=False))
         return rows, np.stack(rows["pattern"].to_numpy()).astype(float), peaks
 
-    def label(rows: pd.DataFrame) -> pd.DataFrame:
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        """Rows of the labels, and of the templates (those without a sample): one clustering gives both."""
         rows, matrix, peaks = prepared(rows)
+        names = ["sample", "time_sec", "field_state", "corr", "n_peak_maps", "pattern"]
         if not len(peaks):
-            return pd.DataFrame([], columns=["sample", "time_sec", "field_state", "corr"])
-        templates = K.polarity_clusters(matrix[peaks], k, seed)[0]
+            return pd.DataFrame([], columns=names)
+        templates, own, _ = K.polarity_clusters(matrix[peaks], k, seed)
         likeness = np.abs(matrix @ templates.T)
         states = K.smooth_runs(likeness.argmax(axis=1), likeness, least)
-        return pd.DataFrame({"sample": rows["sample"].to_numpy(), "time_sec": rows["time_sec"].to_numpy(), "field_state": states, "corr": likeness[np.arange(len(states)), states]})
-
-    def template(rows: pd.DataFrame) -> pd.DataFrame:
-        _, matrix, peaks = prepared(rows)
-        if not len(peaks):
-            return pd.DataFrame([], columns=["field_state", "n_peak_maps", "pattern"])
-        made, labels, _ = K.polarity_clusters(matrix[peaks], k, seed)
-        return pd.DataFrame({"field_state": np.arange(len(made)), "n_peak_maps": np.bincount(labels, minlength=len(made)), "pattern": list(made)})
-
-    labels = K.grouped(samples, KEY, "sample long, time_sec double, field_state int, corr double", label)
-    templates = K.grouped(samples, KEY, "field_state int, n_peak_maps long, pattern array<double>", template)
+        labels = pd.DataFrame({"sample": rows["sample"].to_numpy(), "time_sec": rows["time_sec"].to_numpy(), "field_state": states, "corr": likeness[np.arange(len(states)), states]})
+        made = pd.DataFrame({"field_state": np.arange(len(templates)), "n_peak_maps": np.bincount(own, minlength=len(templates)), "pattern": list(templates)})
+        both = pd.concat([labels, made], ignore_index=True).reindex(columns=names)
+        return both.astype({"sample": "Int64", "n_peak_maps": "Int64"}).assign(pattern=both["pattern"].where(both["pattern"].notna(), None))
+
+    found = K.grouped(samples, KEY, "sample long, time_sec double, field_state int, corr double, n_peak_maps long, pattern array<double>", fitted).persist()
+    labels = found.where("sample IS NOT NULL").select(*KEY, "sample", "time_sec", "field_state", "corr")
+    templates = found.where("sample IS NULL").select(*KEY, "field_state", "n_peak_maps", "pattern")
     return {
         "labels": key.add_to(labels),
         "templates": key.add_to(templates),
@@ -79,6 +79,22 @@ def field_states(signals: DataFrame, config: RunConfig, *, peak_distance_ms: int
     }
 
 
+def label_recordings(signals: DataFrame, templates: np.ndarray, config: RunConfig) -> dict[str, DataFrame]:
+    """Power, labels by fixed templates with their confidence, and the oriented topography of each sample."""
+    least = max(1, round(config.field.min_duration_ms / 1000 * config.sample_rate))
+    times = signals.groupBy(*KEY, "sample").agg(F.min("time_sec").alias("time_sec"), F.stddev_pop("value").alias("gfp"))
+    rows = V.to_arrays(signals, KEY).join(times, [*KEY, "sample"])
+    return {"power": times, "labels": label_fixed(rows, templates, KEY, least=least), "topography": topography(signals, KEY)}
+
+
+def region_branch(signals: DataFrame, atlas: DataFrame, config: RunConfig) -> dict[str, DataFrame]:
+    """Channel mapping, region signals and their coverage: pairs of contacts in one region are averaged."""
+    channels = signals.select(*KEY, F.col("channel").alias("bipolar_channel")).distinct()
+    mapping = R.same_region_map(channels, atlas, KEY, parcellation=config.parcellation)
+    valid = mapping.where("valid_same_region").select(*KEY, F.col("bipolar_channel").alias("channel"), "region")
+    return {"mapping": mapping, "regions": R.region_signals(signals, valid, KEY), "coverage": R.region_coverage(valid, KEY)}
+
+
 def state_coupling(labels: DataFrame, field_labels: DataFrame, config: RunConfig, *, lags: tuple[int, ...] = (0,), surrogates: int = 128) -> DataFrame:
     """Mutual information of two aligned sequences by patient and lag against circular shifts.
 

@@ -38,6 +38,13 @@ class Catalog:
         names = [f.getPath().getParent() for f in found]
         return sorted((n.getName()[len(stem) + 1 : -len(key) - 1], n.toString()) for n in names)
 
+    def latest(self, category: str, stem: str) -> str | None:
+        """The complete table of a stem that was written last, whatever its branch and key; of equally late ones the last by name."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{category}/{stem}_*/_SUCCESS")
+        found = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(folder) or []
+        times = [(f.getModificationTime(), f.getPath().getParent().toString()) for f in found]
+        return max(times)[1] if times else None
+
 
 def manifest_row(df: DataFrame, *, bundle: str, family: str, label: str, branch: str, support: str | None = None) -> DataFrame:
     """One row about an exported table: counts, lineage and the range of its support column."""

@@ -82,4 +82,4 @@ def write_signals(signals: DataFrame, path: str) -> None:
 
 def write_report(df: DataFrame, path: str) -> None:
     """A small report table as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
