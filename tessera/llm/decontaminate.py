@@ -123,6 +123,6 @@ def _contained(
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that contain no item, with their columns."""
     key, text = options.get("doc_id", "doc_id"), options.get("text", "text")
-    leaked = _contained(docs, items, **options).select(F.col(key).alias("__leaked"), "__null").distinct()
+    leaked = materialize(_contained(docs, items, **options).select(F.col(key).alias("__leaked"), "__null").distinct())
     same = docs[key].eqNullSafe(F.col("__leaked")) & _unnamed(docs[key], docs[text]).eqNullSafe(F.col("__null"))
-    return docs.join(leaked, same, "left_anti")
+    return docs.join(small(leaked, leaked.count()), same, "left_anti")
