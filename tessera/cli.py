@@ -9,8 +9,11 @@ import time
 import traceback
 from pathlib import Path
 
+import numpy as np
+
 from tessera.functions.parameters import FieldKey, RunConfig
-from tessera.plans import exploratory, registry, workflows
+from tessera.operators import stages
+from tessera.plans import exploratory, registry, seizure, workflows
 from tessera.session import make_session, share_package
 from tessera.sources import recordings
 from tessera.sources.catalog import Catalog
@@ -45,7 +48,16 @@ def parser() -> argparse.ArgumentParser:
     explore = commands.add_parser("explore", help="exploratory analyses: one by name, or all whose tables are given")
     explore.add_argument("--analysis", default="all")
     explore.add_argument("--table", action="append", default=[], metavar="NAME=PATH", help="a Parquet table (see tessera.plans.exploratory)")
-    for p in (index, states, coupling, stage, regions, explore):
+    label = commands.add_parser("label-recordings", help="power, labels by fixed templates, and topographies of long signals")
+    label.add_argument("--signals", required=True)
+    label.add_argument("--templates", required=True, help="Parquet table microstate, template")
+    events = commands.add_parser("build-seizure-stage-index", help="stage segments, recordings and denominators")
+    events.add_argument("--annotations", required=True)
+    events.add_argument("--files", required=True, help="Parquet table patient_id, recording_state, has_*")
+    seizures = commands.add_parser("run-seizure-stage-analysis", help="all tables of the event-stage workflow")
+    seizures.add_argument("--annotations", required=True)
+    seizures.add_argument("--inputs", required=True, help="folder of Parquet tables (see tessera.plans.seizure)")
+    for p in (index, states, coupling, stage, regions, explore, label, events, seizures):
         p.add_argument("--cache", required=True)
         p.add_argument("--export", help="folder for CSV tables and the manifest")
         p.add_argument("--analysis-state", default="IDE_A")
@@ -70,9 +82,22 @@ def tables_of(spark, args: argparse.Namespace, config: RunConfig) -> dict:
         return workflows.region_branch(recordings.read_signals(spark, args.signals), recordings.read_atlas(spark, args.atlas), config)
     if args.command == "explore":
         return exploratory.run(args.analysis, {name: read(path) for name, path in (t.split("=", 1) for t in args.table)}, config)
+    if args.command == "label-recordings":
+        return workflows.label_recordings(recordings.read_signals(spark, args.signals), template_matrix(read(args.templates)), config)
+    if args.command == "build-seizure-stage-index":
+        return seizure.build_stage_index(recordings.read_annotations(spark, args.annotations), read(args.files))
+    if args.command == "run-seizure-stage-analysis":
+        given = seizure.read_stage_inputs(spark, args.inputs)
+        segments = stages.stage_segments(recordings.read_annotations(spark, args.annotations))
+        return seizure.run_stage_analysis(segments, given["eeg"], given["seeg"], template_matrix(given["eeg_templates"]), given["field_templates"], given["assignments"], given["loadings"], config)
     return workflows.stage_analysis(read(args.labels))
 
 
+def template_matrix(templates) -> np.ndarray:
+    """A fitted model's templates, a few rows, in the order of their states."""
+    return np.array([r["template"] for r in templates.orderBy("microstate").collect()], float)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.command == "list":

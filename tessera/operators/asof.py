@@ -60,8 +60,11 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], *, w
 
 def next_event_within(events: DataFrame, responses: DataFrame, keys: list[str], *, window: float, time: str = "event_sec", name: str = "responded") -> DataFrame:
     """Events with whether a response of the same key happens in [time, time + window): the next response decides."""
-    r = responses.select(*keys, F.col(time).alias("__t"), F.lit(0).alias("__side"), F.col(time).alias("__next"), F.lit(None).cast(events.schema).alias("__e"))
-    e = events.select(*keys, F.col(time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("double").alias("__next"), F.struct(*events.columns).alias("__e"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("__t"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    # Buckets of time share a long sequence among tasks; a response is also listed in those that hold events it can answer.
+    width = F.lit(float(window) * BUCKET if window else 1.0)
+    held = F.explode(F.sequence(F.floor((F.col(time) - F.lit(float(window))) / width), F.floor(F.col(time) / width))).alias("__bucket")
+    r = responses.where(F.col(time).isNotNull()).select(*keys, held, F.col(time).alias("__t"), F.lit(0).alias("__side"), F.col(time).alias("__next"), F.lit(None).cast(events.schema).alias("__e"))
+    e = events.select(*keys, F.floor(F.col(time) / width).alias("__bucket"), F.col(time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("double").alias("__next"), F.struct(*events.columns).alias("__e"))
+    order = Window.partitionBy(*keys, "__bucket").orderBy(F.desc("__t"), "__side").rowsBetween(Window.unboundedPreceding, 0)
     found = r.unionByName(e).withColumn("__soon", F.last("__next", ignorenulls=True).over(order)).where("__side = 1")
     return found.select("__e.*", F.coalesce(F.col("__soon") < F.col("__t") + F.lit(float(window)), F.lit(False)).alias(name))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from itertools import permutations
+from math import exp, lgamma, log
 
 import numpy as np
 import pandas as pd
@@ -265,6 +266,40 @@ def within_permutation_p(matrix: np.ndarray, seed: int, rounds: int = 2048) -> f
     return (hits + 1) / (rounds + 1)
 
 
+def t_two_sided(t: float, df: int) -> float:
+    """Probability of a |t| at least that large: the regularised incomplete beta function by its continued fraction."""
+    if df < 1 or not np.isfinite(t):
+        return float("nan") if df < 1 or np.isnan(t) else 0.0
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x >= 1:
+        return 1.0
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, y = (b, a, 1 - x) if swap else (a, b, x)
+    front = exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * log(y) + q * log(1 - y)) / p if y > 0 else 0.0
+    c, d, value = 1.0, 1 / max(1 - (p + q) * y / (p + 1), 1e-300), 0.0
+    value = d
+    for m in range(1, 400):
+        up = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+        d, c = 1 / (1 + up * d), 1 + up / c
+        value *= d * c
+        down = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+        d, c = 1 / (1 + down * d), 1 + down / c
+        value *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return 1 - front * value if swap else front * value
+
+
+def permutation_null(similarity: np.ndarray, observed: np.ndarray) -> np.ndarray:
+    """(state, archetype, likeness, number) of every assignment of states to different archetypes but the observed one."""
+    rows, number = [], 0
+    for perm in permutations(range(similarity.shape[1]), similarity.shape[0]):
+        if perm != tuple(observed):
+            rows += [(i, j, similarity[i, j], number) for i, j in enumerate(perm)]
+            number += 1
+    return np.array(rows).reshape(-1, 4)
+
+
 def bootstrap_interval(values: np.ndarray, seed: int, rounds: int = 5000, level: float = 0.95) -> tuple[float, float, float]:
     """Mean and percentile interval of resampled means."""
     values = np.asarray(values, float)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import kernels as K
+from tessera.operators.compare import paired_t
 
 
 def pearson(x: str, y: str, least: int = 3) -> Column:
@@ -217,3 +218,37 @@ def connectivity_groups(effects: DataFrame, keys: list[str], *, seed: int, min_s
     values = known.join(F.broadcast(_ordinal(effects, keys)), keys).select(*keys, F.col(subject).alias("__order"), "__seed", F.col(value).alias("value"))
     means = known.groupBy(*keys).agg(F.avg("state_connectivity").alias("mean_state_connectivity"), F.avg("off_connectivity").alias("mean_off_connectivity"))
     return benjamini_hochberg(_with_sign_flips(values, keys, seed, min_subjects).join(means, keys), [], tie=keys)
+
+
+def paired_tests(table: DataFrame, keys: list[str], *, subject: str, level: str, value: str) -> DataFrame:
+    """``compare.paired_t`` with two-sided p-values and their q over all rows."""
+    rows = paired_t(table, keys, subject=subject, level=level, value=value)
+
+    @F.pandas_udf("double")
+    def p(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([K.t_two_sided(a, int(b) - 1) if pd.notna(a) else None for a, b in zip(t, n, strict=True)], dtype="float64")
+
+    return benjamini_hochberg(rows.withColumn("p_value", p("t", "n")), [], p="p_value", tie=[*keys, "level_a", "level_b"])
+
+
+def archetype_null(similarity: DataFrame, *, subject: str = "patient_id") -> tuple[DataFrame, DataFrame]:
+    """Likeness of the observed assignment and of every other one, and their spread by archetype and source.
+
+    ``similarity``: subject, field_state, assigned_archetype, likeness (a value for each archetype); a few states a subject.
+    """
+
+    def kernel(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("field_state")
+        table, own, states = np.stack(part["likeness"].to_numpy()), part["assigned_archetype"].to_numpy(), part["field_state"].to_numpy()
+        null = K.permutation_null(table, own)
+        at = np.arange(len(own))
+        index = null[:, 0].astype(int)
+        return pd.DataFrame({
+            "field_state": np.append(states, states[index]), "assigned_archetype": np.append(own, null[:, 1].astype(int)),
+            "assignment_similarity": np.append(table[at, own], null[:, 2]), "source": ["observed"] * len(own) + ["null"] * len(null), "permutation_id": np.append(np.full(len(own), -1), null[:, 3].astype(int)),
+        })
+
+    long = K.grouped(similarity, [subject], "field_state long, assigned_archetype long, assignment_similarity double, source string, permutation_id long", kernel)
+    v = F.col("assignment_similarity")
+    made = (F.count("*").alias("n_rows"), F.avg(v).alias("mean_similarity"), F.median(v).alias("median_similarity"), F.percentile(v, 0.05).alias("q05_similarity"), F.percentile(v, 0.95).alias("q95_similarity"))
+    return long, long.groupBy("assigned_archetype", "source").agg(*made)

@@ -36,11 +36,13 @@ def confidence(samples: DataFrame, templates: np.ndarray, *, pattern: str = "pat
 
 
 def label_fixed(samples: DataFrame, templates: np.ndarray, keys: list[str], *, least: int, order: str = "sample", pattern: str = "pattern", time: str = "time_sec") -> DataFrame:
-    """keys, sample, time, microstate, corr: the best template of each sample, after runs shorter than ``least`` were smoothed.
-
-    Scores are a projection; smoothing reads the scores of one key in order.
-    """
+    """keys, sample, time, microstate, corr: the best template of each sample, after runs shorter than ``least`` were smoothed."""
     scored = confidence(samples, templates, pattern=pattern).select(*keys, order, time, "scores")
+    return smoothed_labels(scored, keys, least=least, order=order, time=time)
+
+
+def smoothed_labels(scored: DataFrame, keys: list[str], *, least: int, order: str = "sample", time: str = "time_sec") -> DataFrame:
+    """Labels from a column of scores; smoothing reads the scores of one key in order."""
 
     def kernel(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order)

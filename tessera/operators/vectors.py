@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import parameters as P
 from tessera.operators import coupling as U
+from tessera.operators import kernels as K
 from tessera.operators import reports as O
 from tessera.operators import sequence as S
 from tessera.operators import statistics as C
@@ -371,3 +372,29 @@ def direct_state_coupling(spark: SparkSession, d: str) -> DataFrame:
     pairs = own.join(states.select("patient_id", "sample", F.col(state).alias("direct_state")), ["patient_id", "sample"])
 
     return U.lagged(pairs, KEY, "microstate", "direct_state", lags=[0], surrogates=128, seed=42)
+
+
+@register("paired_tests")
+def paired_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Paired t-tests of states by group, with p and q."""
+    return C.paired_tests(effects(spark, d), ["grp"], subject="subject", level="microstate", value="value")
+
+
+@register("archetype_permutation_null")
+def archetype_permutation_null(spark: SparkSession, d: str) -> DataFrame:
+    """Likeness of fitted templates to those of the first patient: the best assignment against all others."""
+    from tessera.plans.kernel_queries import polarity_kmeans
+
+    fitted = polarity_kmeans(spark, d).select("patient_id", F.col("field_state").cast("long").alias("field_state"), "pattern")
+    packed = fitted.where("patient_id = 0").groupBy().agg(F.array_sort(F.collect_list(F.struct("field_state", "pattern"))).alias("t"))  # four templates
+    scored = fitted.where("patient_id > 0").crossJoin(F.broadcast(packed)).withColumn("likeness", F.transform("t", lambda x: V.similarity(F.col("pattern"), x["pattern"])))
+
+    def assign(part):
+        import pandas as pd
+
+        part = part.sort_values("field_state")
+        own = K.unique_assignment(np.stack(part["likeness"].to_numpy()))
+        return pd.DataFrame({"field_state": part["field_state"].to_numpy(), "assigned_archetype": own, "likeness": part["likeness"].to_numpy()})
+
+    assigned = K.grouped(scored.select("patient_id", "field_state", "likeness"), KEY, "field_state long, assigned_archetype long, likeness array<double>", assign)
+    return C.archetype_null(assigned)[1]
