@@ -13,9 +13,11 @@ The byte-level BPE tokenizer of a ``tokenizers`` JSON file is compiled into two
   there.
 
 Texts are cut into chunks that run in lockstep. A chunk's map from entry state to (exit state, count) is constant
-behind its first piece start; the part before it (its head) is the only one that depends on the entry. Composition
-gives each chunk the exit state of the one before, so all heads run in a second lockstep pass; chunks without a start
-pass their entry on and are resolved in further rounds, left to right.
+behind its first piece start; the part before it (its head) is the only one that depends on the entry. Maps compose in
+a prefix scan over all chunks at once: a chunk with a start is its constant, whatever precedes it; one without (within a
+piece that is longer than a chunk) is run from an assumed entry, then again where the exit before it turns out to be
+another one, until none changes. Exits depend on the last bytes only, save in rare cases, so a round or two settle a
+piece of any length; each round settles one more chunk of every piece at least. Then all heads run in lockstep.
 
 Special tokens inside texts count as one token each, as is the library's default. Null and empty texts have none.
 """
@@ -171,6 +173,11 @@ class Machine:
             state = to if length is None else np.where(length > t, to, state)
         return state, counts
 
+    def heads(self, entry: np.ndarray, symbols: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states and counts of the first ``left`` bytes of chunks, no piece starting there, from their entry states."""
+        most = int(left.max(initial=0))
+        return self.run(entry, np.ascontiguousarray(symbols[:, :most].T), np.zeros((most, 1), bool), left)
+
     def kinds(self, points: np.ndarray) -> np.ndarray:
         kinds = self.kind[points]
         if (kinds == UNKNOWN).any():
@@ -262,14 +269,16 @@ class Machine:
         through = ~flags.any(axis=1)
         head = np.where(through, LANE, flags.argmax(axis=1))
         left = np.where(through, (symbols != PAD).sum(axis=1), head)  # bytes that wait for the entry state
-        waiting = left > 0
-        while waiting.any():
-            ready = np.flatnonzero(waiting & ~np.append(False, (waiting & through)[:-1]))
-            most = int(left[ready].max())
-            out, more = self.run(leaves[ready - 1], np.ascontiguousarray(symbols[ready, :most].T), np.zeros((most, 1), bool), left[ready])
-            counts[ready] += more
-            leaves[ready[through[ready]]] = out[through[ready]]
-            waiting[ready] = False
+        whole = np.flatnonzero(through)
+        entry = np.full(len(whole), -1, np.int64)
+        leaves[whole] = ROOT
+        # The scan: all chunks without a start run at once, from what the last round left of the chunk before, until no entry changes.
+        while len(changed := np.flatnonzero(leaves[whole - 1] != entry)):
+            lane = whole[changed]
+            entry[changed] = leaves[lane - 1]
+            leaves[lane], counts[lane] = self.heads(entry[changed], symbols[lane], left[lane])
+        rest = np.flatnonzero(~through & (left > 0))
+        counts[rest] += self.heads(leaves[rest - 1], symbols[rest], left[rest])[1]
         np.add.at(total, np.repeat(owner, lanes), counts)
         return total
 
