@@ -1,7 +1,8 @@
 """Document fingerprints by Order MinHash.
 
 The k-mers of a text are its runs of ``k`` words (of all its words if it has fewer), each numbered by its occurrence, so
-a repeated k-mer counts every time. One random order of the numbered k-mers is cut into 64 equal parts by its leading
+a repeated k-mer counts every time. A word of more than 64 bytes counts as its code points, one word each, so that scripts
+without spaces and unbroken runs have k-mers of characters. One random order of the numbered k-mers is cut into 64 equal parts by its leading
 bits (one-permutation hashing); in each part the two least k-mers are selected, put back in their text order, and hashed
 as a tuple, which changes when either is edited and when they swap places. A part with a single k-mer hashes that one.
 The fingerprint lists the parts that have any, in order, as ten hexadecimal digits each (6 bits: part, 34: tuple).
@@ -23,11 +24,21 @@ from tessera.llm.common import SPACES, materialize, ordered_index
 _LOW, _HIGH = "1073741823L", "-1073741824L"
 
 
+#: Bytes of the longest word that is one word.
+WORD_BYTES = 64
+
+
 def _let(name: str, value: str, body: str) -> str:
     """``body`` with ``name`` for ``value``, computed once."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def _spelled(words: str) -> str:
+    """An array of words with long ones as their code points."""
+    long = f"octet_length(x) > {WORD_BYTES}"
+    return f"if(exists({words}, x -> {long}), flatten(transform({words}, x -> if({long}, regexp_extract_all(x, '(?s).', 0), array(x)))), {words})"
+
+
 def _numbered(words: str, k: int) -> str:
     """Packed hashes and positions of the occurrence-numbered k-mers of an array of words, sorted."""
     kmer = ", ".join(f"get({words}, i + {j})" for j in range(k))
@@ -53,7 +64,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = 3) -> DataFra
     """``df`` with the tuples of a column of texts, as an array of longs."""
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     words = F.when(trimmed != "", F.split(trimmed, SPACES))
-    tuples = F.expr(_let("w", "__words", f"if(w IS NULL, cast(array() AS array<bigint>), {_tuples(_numbered('w', k))})"))
+    tuples = F.expr(_let("w", _spelled("__words"), f"if(w IS NULL, cast(array() AS array<bigint>), {_tuples(_numbered('w', k))})"))
     return df.withColumn("__words", words).withColumn(name, tuples).drop("__words")
 
 
