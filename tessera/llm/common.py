@@ -7,7 +7,11 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,15 +73,24 @@ def _remove_written() -> None:
             return
 
 
+def bounded(ids: pa.Array, texts: pa.Array, most: int) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """The rows of an Arrow batch in slices of at most ``most`` bytes of text; a longer text makes one of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield ids.slice(start, stop - start), texts.slice(start, stop - start).to_pylist()
+        start = stop
+
+
 def release_memory() -> None:
     """Give the worker's freed memory back to the system, so that the next stage finds it."""
     import ctypes
     import gc
 
-    import pyarrow
-
     gc.collect()
-    pyarrow.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import native_queries, repeat_queries, text_queries
+from tessera.llm import corpus_queries, native_queries, repeat_queries, text_queries
+
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -14,7 +15,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_MODULES = (native_queries, repeat_queries, text_queries)
+_MODULES = (native_queries, repeat_queries, text_queries, corpus_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
