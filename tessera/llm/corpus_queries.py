@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import SPACES
 from tessera.llm.native_queries import table
 from tessera.llm.periodic_runs import find_runs
+from tessera.llm.ranked_search import rank_documents
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -51,7 +52,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op11_periodic_runs": op11_periodic_runs}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return rank_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op11_periodic_runs": op11_periodic_runs, "op13_ranked_search": op13_ranked_search}
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
 #: The unsigned CRC-32 of a text of ASCII characters, bit by bit.
 _CRC = "xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split({0}, ''), lambda c: list_concat([ascii(c)::bigint], list_transform(range(8), lambda j: -1::bigint))))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
@@ -73,5 +81,16 @@ l AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
 SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.a AS start, best.z - best.a AS length, best.q AS period, 1000 * (best.z - best.a) // best.q AS exponent_milli,
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i - 1)) END, ' ')) AS collapsed_sha256
 FROM d LEFT JOIN v USING (doc_id) LEFT JOIN l USING (doc_id)
+""",
+    "op13_ranked_search": f"""
+WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::bigint AS n FROM f GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, sum(n)::bigint AS terms FROM n),
+m AS (SELECT doc_id, 100 - 90 + (90 * n * docs) // terms AS m FROM n, c),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint AS w FROM f, c GROUP BY term, docs),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint AS score FROM q JOIN f USING (term) JOIN m USING (doc_id) JOIN w USING (term) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::int AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
 """,
 }
