@@ -9,6 +9,11 @@ from tessera.llm.common import SPACES
 from tessera.llm.native_queries import table
 from tessera.llm.periodic_runs import find_runs
 from tessera.llm.ranked_search import rank_documents
+from tessera.llm.text_queries import vocabulary
+from tessera.llm.token_files import read_tokens, write_tokens
+
+#: The id that closes each document.
+END_ID = 2
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -52,12 +57,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of each document's token ids, from the files that hold them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = write_tokens(docs, vocabulary("byte_bpe_50k.json"), end_id=END_ID)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of each benchmark item."""
     return rank_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op11_periodic_runs": op11_periodic_runs, "op13_ranked_search": op13_ranked_search}
+QUERIES = {"op11_periodic_runs": op11_periodic_runs, "op12_token_files": op12_token_files, "op13_ranked_search": op13_ranked_search}
 
 _TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 

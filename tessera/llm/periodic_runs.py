@@ -30,25 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded, release_memory
+from tessera.llm.repeats import ranges
+from tessera.llm.substring_dedup import Numbers
 
 #: Bytes of text that are laid out at once; a longer text makes a batch of its own.
 BATCH_BYTES = 2_000_000
 
 
-class Numbers(dict):
-    """0, 1, 2, ... for each new key."""
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = number = len(self)
-        return number
-
-
-def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... (count of them) for each pair."""
-    ends = np.cumsum(count)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - count), count)
-
-
 class Suffixes:
     """The suffixes of several documents in order, documents apart.
 

@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded, materialize, release_memory
-from tessera.llm.periodic_runs import Numbers, ranges
+from tessera.llm.repeats import ranges
+from tessera.llm.substring_dedup import Numbers
 
 #: Weight of a document's length, in hundredths.
 LENGTH = 90
