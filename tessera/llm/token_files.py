@@ -319,5 +319,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[part], mask=~known[part]), pa.array((before + end - size)[part]), pa.array(size[part]), bodies], ["doc_id", "start", "n_tokens", "ids"])
         release_memory()
 
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, part string").load(f"{path}/files")
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(f"{path}/files")
     return files.select("content").mapInArrow(split, "doc_id long, start long, n_tokens long, ids binary")
