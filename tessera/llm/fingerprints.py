@@ -77,28 +77,30 @@ def compare_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     id follow each other by text hash. Columns: doc_id, n_chars, edited, tuples, edited_tuples, next_tuples.
 
     Texts are shuffled once, by a hash of id and text; both readers use those files. Order and lengths travel apart
-    from the texts, and each document sends its predecessor only the head that the edit needs.
+    from the texts, and each document sends its predecessor only the head that the edit needs. Equal rows follow each
+    other, so one of them is compared with itself and with the row after the last; their number multiplies the result.
     """
     row = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     row = row.withColumn("__hash", F.xxhash64("__text")).withColumn("__key", F.xxhash64("__id", "__hash"))
-    twin = F.row_number().over(Window.partitionBy("__key").orderBy("__id", "__hash"))
-    lengths = row.select("__id", "__hash", "__key", F.char_length("__text").cast("long").alias("__n")).withColumn("__twin", twin)
-    placed = materialize(ordered_index(lengths, [F.col("__id").asc_nulls_first(), F.col("__hash").asc(), F.col("__twin").asc()], "__at"))
+    lengths = row.select("__id", "__hash", "__key", F.char_length("__text").cast("long").alias("__n"))
+    placed = materialize(ordered_index(lengths, [F.col("__id").asc_nulls_first(), F.col("__hash").asc(), F.col("__key").asc()], "__at"))
     total = placed.count()
-    before = placed.select(((F.col("__at") + 1) % F.lit(max(1, total))).alias("__at"), *(F.col(c).alias(f"{c}_before") for c in ("__key", "__twin", "__n")))
-    order = materialize(placed.join(before, "__at").select("__key", "__twin", "__n", "__key_before", "__twin_before", F.floor(F.col("__n_before") / 4).alias("__head")))
-
-    texts = row.select("__id", "__text", "__key", "__hash").withColumn("__twin", twin)
-    # As a difference, so that it is no join key and the texts stay dealt by __key alone.
-    same = F.col("__twin") - F.col("__t") == 0
-    known = texts.join(order.withColumnRenamed("__twin", "__t"), "__key").where(same).drop("__t")
-    known = with_fingerprint(known, "__text", "__tuples", k)
-    heads = known.select(
-        F.col("__key_before").alias("__key"), F.col("__twin_before").alias("__t"), F.expr("left(__text, cast(__head AS int))").alias("__next"), F.col("__tuples").alias("__next_tuples")
-    )
-    both = known.join(heads, "__key").where(same)
+    following = placed.select(((F.col("__at") + total - 1) % F.lit(max(1, total))).alias("__at"), F.col("__key").alias("__next_key"))
+    # Two rows a key at most: followed by an equal row, and by another one.
+    pairs = placed.join(following, "__at").groupBy("__key", "__next_key").agg(F.count("*").alias("__rows"), F.floor(F.first("__n") / 4).alias("__head"))
+    asked = pairs.groupBy(F.col("__next_key").alias("__key")).agg(F.collect_list(F.struct(F.col("__key").alias("__to"), "__rows", "__head")).alias("__asked"))
+    asked = materialize(asked)
+
+    twin = F.row_number().over(Window.partitionBy("__key").orderBy("__id", "__hash"))
+    # One row a key; as a difference, so that no limit sorts the texts before they are dealt.
+    texts = row.select("__id", "__text", "__key", "__hash").withColumn("__twin", twin).where(F.col("__twin") - 1 == 0).drop("__twin")
+    known = with_fingerprint(texts, "__text", "__tuples", k).withColumn("__n", F.char_length("__text").cast("long"))
+    heads = known.join(asked, "__key").select(F.explode("__asked").alias("__a"), "__text", F.col("__tuples").alias("__next_tuples"))
+    heads = heads.select(F.col("__a.__to").alias("__key"), "__a.__rows", F.expr("left(__text, cast(__a.__head AS int))").alias("__next"), "__next_tuples")
+    both = known.join(heads, "__key")
     both = both.withColumn("__edited", F.expr("concat(left(__text, cast(__n - floor(__n / 4) AS int)), __next)"))
     both = with_fingerprint(both, "__edited", "__edited_tuples", k)
-    return both.select(
-        F.col("__id").alias(doc_id), F.col("__n").alias("n_chars"), F.col("__edited").alias("edited"), F.col("__tuples").alias("tuples"), F.col("__edited_tuples").alias("edited_tuples"), F.col("__next_tuples").alias("next_tuples")
+    found = both.select(
+        F.col("__id").alias(doc_id), F.col("__n").alias("n_chars"), F.col("__edited").alias("edited"), F.col("__tuples").alias("tuples"), F.col("__edited_tuples").alias("edited_tuples"), F.col("__next_tuples").alias("next_tuples"), "__rows"
     )
+    return found.withColumn("__rows", F.explode(F.sequence(F.lit(1).cast("long"), "__rows"))).drop("__rows")

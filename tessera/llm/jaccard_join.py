@@ -2,7 +2,8 @@
 
 A document's set holds the distinct shingles of ``width`` words (A-Z lower-cased, split at ASCII white space; with fewer
 words the whole sequence is one shingle; without words it is empty and links with nothing). Two documents link when
-100 * |A and B| >= ``percent`` * |A or B|. Sets are compared as 64-bit shingle hashes, which only meet within a pair.
+100 * |A and B| >= ``percent`` * |A or B|. Sets are compared as 64-bit shingle hashes, which only meet within a pair; they
+are salted by a random number of each run, so no text can be made to collide.
 
 1. Documents with equal sets (128-bit digest and size) become one class; only its least id goes on.
 2. A linked document shares at least o = ceil(percent * n / 100) of its n shingles. Blocks of documents exchange hashes
@@ -19,8 +20,8 @@ words the whole sequence is one shingle; without words it is empty and links wit
 5. Links give components; equal sets rejoin their class.
 
 No step lists the pairs of a group that leaders have joined, and none drops candidates. Ids are read as longs. Rows that
-share an id are one document of the join, with the set of the one whose (size, digest) is least; a row keeps its own
-n_shingles. Null ids link with nothing: their component_id is null.
+share an id are one document of the join, with the set of the one whose (size, hash of the text) is least; a row keeps its own
+n_shingles. Blocks are dealt by id and text, so no id fills one. Null ids link with nothing: their component_id is null.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import discard, join_classes, materialize, release_memory
 from tessera.llm.components import components
-from tessera.llm.repeats import BLOBS, REPLIES, blocked, by_bucket, common_entries, counts_for, scramble, send_hashes, senders, window_hashes
+from tessera.llm.repeats import BLOBS, REPLIES, by_bucket, common_entries, counts_for, new_salt, scramble, send_hashes, senders, use_salt, window_hashes
 from tessera.llm.words import word_codes
 
 #: Numbers of prefix shingles that a pair may be asked to share, and the cost of verifying a shingle in entries met.
@@ -87,13 +88,10 @@ def digest(texts: pd.Series, width: int) -> pd.DataFrame:
     return pd.DataFrame({"n": [len(s) for s in sets], "x": [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets], "y": [int(np.bitwise_xor.reduce(m).astype(np.int64)) if len(m) else 0 for m in mix]})
 
 
-def _block_sets(block: pd.DataFrame, chosen: set[int], width: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ids and sets of the chosen documents of a block, one for each id."""
-    pick = block[block["__id"].isin(chosen)].sort_values("__id", kind="stable")
-    if pick["__id"].duplicated().any():
-        pick = pick.reset_index(drop=True)
-        order = pick[["__id"]].join(digest(pick["__text"], width)).sort_values(["__id", "n", "x", "y"]).index
-        pick = pick.loc[order].drop_duplicates("__id")
+def _block_sets(block: pd.DataFrame, chosen: dict[int, int], width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Ids and sets of the chosen documents of a block, by id; ``chosen`` has the hash of each one's text."""
+    own = [chosen.get(i) == h for i, h in zip(block["__id"].tolist(), block["__hash"].tolist(), strict=True)]
+    pick = block[np.array(own, bool)].drop_duplicates("__id").sort_values("__id", kind="stable")
     return pick["__id"].to_numpy(np.int64), shingle_sets(list(pick["__text"]), width)
 
 
@@ -119,22 +117,27 @@ def _frequencies(bucket: int, blobs: pd.DataFrame, kind: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "bucket", "kind", "data"])
 
 
-def candidate_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+def candidate_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, width: int, percent: int, salt: int) -> DataFrame:
     """(doc, n, shingles, prefix, score) of the chosen documents of which enough shingles occur in others; of the shingles those that do.
 
     prefix has the first of them in order of frequency (of blocks; the same everywhere), then hash, as far as a level may
     ask; score is the mean log-frequency of the document's shingles.
     """
     blocks, buckets = counts_for(docs, text)
-    texts = blocked(docs, doc_id, text, blocks)
-    empty = F.lit(None)
-    ids = chosen.select(F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block"), F.col("doc").alias("bucket"), F.lit(-1).alias("kind"), empty.cast("binary").alias("data"))
+    dealt = F.pmod(F.xxhash64("__id", "__hash"), F.lit(blocks)).alias("block")
+    row = docs.select(F.col(doc_id).cast("long").alias("__id"), F.xxhash64(text).alias("__hash"), F.col(text).alias("__text")).where("__id IS NOT NULL")
+    texts = row.select(dealt, "__id", "__hash", "__text")
+    named = chosen.select(F.col("doc").alias("__id"), F.col("text_hash").alias("__hash"))
+    ids = named.select(dealt, F.col("__id").alias("bucket"), F.lit(-1).alias("kind"), F.expr("unhex(lpad(hex(__hash), 16, '0'))").alias("data"))
 
     def prefix(sets: list[np.ndarray]) -> list[np.ndarray]:
         return [s[: len(s) - int(needed(len(s), percent)) + 1] for s in sets]
 
     def load(block: pd.DataFrame, told: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-        return _block_sets(block, set(told.loc[told["kind"] == -1, "bucket"].tolist()), width)
+        use_salt(salt)
+        own = told[told["kind"] == -1]
+        hashes = np.frombuffer(b"".join(own["data"]), ">i8").tolist()
+        return _block_sets(block, dict(zip(own["bucket"].tolist(), hashes, strict=True)), width)
 
     def blobs(key: tuple, distinct: np.ndarray) -> pd.DataFrame:
         rows = [(b, key[0], 0, sent) for b, _, sent in send_hashes(distinct, buckets)]
@@ -281,18 +284,21 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; component_id is the least id reachable by links, itself included."""
 
+    salt = new_salt()
+
     @F.pandas_udf("n long, x long, y long")
     def digests(texts: pd.Series) -> pd.DataFrame:
+        use_salt(salt)
         return digest(texts, width)
 
-    made = docs.select(F.col(doc_id).cast("long").alias("doc"), digests(F.col(text)).alias("d")).select("doc", "d.n", "d.x", "d.y")
+    made = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), digests(F.col(text)).alias("d")).select("doc", "text_hash", "d.n", "d.x", "d.y")
     every = materialize(made)
-    each = materialize(every.where("doc IS NOT NULL").groupBy("doc").agg(F.min(F.struct("n", "x", "y")).alias("d")).select("doc", "d.*").where("n > 0"))
+    each = materialize(every.where("doc IS NOT NULL").groupBy("doc").agg(F.min(F.struct("n", "text_hash", "x", "y")).alias("d")).select("doc", "d.*").where("n > 0"))
     keys = ["n", "x", "y"]
     classes = materialize(each.groupBy(*keys).agg(F.min("doc").alias("head"), F.count("*").alias("members")).where("members > 1"))
-    member = materialize(join_classes(each, classes, keys, "members").select("doc", F.coalesce("head", "doc").alias("head")))
-    chosen = member.where("doc = head").select("doc")
-    sets = materialize(candidate_sets(docs, chosen, doc_id, text, width, percent))
+    member = materialize(join_classes(each, classes, keys, "members").select("doc", "text_hash", F.coalesce("head", "doc").alias("head")))
+    chosen = member.where("doc = head").select("doc", "text_hash")
+    sets = materialize(candidate_sets(docs, chosen, doc_id, text, width, percent, salt))
     discard(each, classes)
     label = materialize(link_sets(sets, percent))
     discard(sets)

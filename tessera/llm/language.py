@@ -7,8 +7,8 @@ lower-cased runs of letters with the vocabulary's mark in front; a run of more t
 and scored in blocks of that length. A character that no piece covers has a fixed small probability.
 
 Probabilities are learned by expectation maximisation (forward-backward over all segmentations) from word counts of a
-bounded sample of labelled rows: about ``sample_docs`` documents of each language, chosen by the hash of their id, with
-all their words. Scoring covers whole texts of all documents in one pass, without a shuffle; a task remembers the words
+bounded sample of labelled rows: about ``sample_docs`` documents of each language, chosen by the hash of their id and
+text, with all their words. Scoring covers whole texts of all documents in one pass, without a shuffle; a task remembers the words
 it met, up to ``REMEMBERED``.
 
 A text that is null or without letters is ``und`` with score 0; so is every text if nothing could be learned. Ties go
@@ -36,11 +36,16 @@ MARK = "▁"
 #: Keeps products of up to BLOCK + 1 characters in a double's range; cancels between languages.
 SCALE = 24.0
 STRAY = 1e-6
+#: Runs of letters and of the numbers that count as word characters (such as ½); the latter part words as all else does.
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def split_words(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """The lower-cased runs of letters (general category L)."""
+    words = LETTERS.findall(text.lower())
+    if not words or "".join(words).isalpha():
+        return words
+    return [part for w in words for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 class Pieces:
@@ -197,7 +202,7 @@ def train(labelled: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text:
     known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), F.col(lang).alias("__lang"))
     sizes = known.groupBy("__lang").agg(F.count("*").alias("__n"))
     rate = F.lit(float(sample_docs)) / F.col("__n")
-    uniform = F.pmod(F.xxhash64("__id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    uniform = F.pmod(F.xxhash64("__id", "__text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sizes = materialize(sizes)
     sample = known.join(small(sizes, sizes.count()), "__lang").where(uniform < rate)
     word = F.regexp_extract_all(F.lower("__text"), F.lit(r"(\p{L}+)"), F.lit(1))

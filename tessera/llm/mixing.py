@@ -5,7 +5,8 @@ share ``share`` times all words; no target exceeds ``most`` times its source's s
 by weight until none is above. A source's rate is its target over its size. Each document is taken floor(rate) times,
 plus once more if a uniform number hashed from the seed and its id is below the fraction.
 
-Null or empty texts have size 0. A source without words has target and rate 0. Rows that share an id are hashed alike.
+Null or empty texts have size 0. A source without words has target and rate 0. Rows that share an id are hashed alike;
+rows without an id by their text, so that a source of them comes near its target too.
 The hot source costs nothing extra: sums are combined before the shuffle, and rates return by broadcast (or, beyond
 ``BROADCAST_ROWS`` sources, by a join that Spark splits where skewed).
 """
@@ -54,7 +55,8 @@ def _planned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
     table = targets.select("__source", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     joined = sized.join(small(table, targets.count()), F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
     rate = F.when(F.col("__source_size") > 0, F.least(F.col("__target") / F.col("__source_size"), F.lit(most))).otherwise(F.lit(0.0))
-    uniform = hash_bits(F.col(doc_id), f"{seed}:", 13) / F.lit(float(1 << 52))
+    key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    uniform = hash_bits(key, f"{seed}:", 13) / F.lit(float(1 << 52))
     return joined.withColumn("__rate", rate).withColumn("__copies", (F.floor("__rate") + (uniform < F.col("__rate") - F.floor("__rate")).cast("long")).cast("long"))
 
 

@@ -1,6 +1,6 @@
 """Repeated windows of long sequences: the machinery of the two substring operators.
 
-Documents are dealt into blocks of bounded size by the hash of their id. A window is ``width`` consecutive units (bytes
+Documents are dealt into blocks of bounded size by the hash of their id and text. A window is ``width`` consecutive units (bytes
 or words) of one document; its anchor is the k-gram of least hash in it, leftmost first. Equal windows have equal
 anchors at equal offsets, so a window can only repeat where its anchor does. That gives two exchanges instead of a
 shuffle of all windows:
@@ -12,11 +12,15 @@ shuffle of all windows:
 
 Whatever occurs often in a block is sent once, so a passage that a third of all documents share costs a bucket one entry
 for each block. The blocks' texts are shuffled once; later steps read the same shuffle files (a reused exchange).
+
+Hashes are salted: a random number of each run goes to all its tasks and enters, behind a non-linear mix, before any unit
+does, so no text can be made to collide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from secrets import randbits
 
 import numpy as np
 import pandas as pd
@@ -41,14 +45,35 @@ BYTE_CODES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+_salt = np.uint64(0)
+
+
+def new_salt() -> int:
+    """A random number for the hashes of a run; every task of the run takes it by ``use_salt``."""
+    return randbits(64)
+
+
+def use_salt(salt: int) -> None:
+    global _salt
+    _salt = np.uint64(salt)
+
+
+def salted(x: np.ndarray) -> np.ndarray:
+    """Hashes of numbers under the salt; different numbers have different ones."""
+    return scramble(scramble(x ^ _salt) + _salt)
+
+
 def scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _MIX
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(31))
+    x *= _MIX
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of sequences from those of their two halves. The shifts keep it from being linear, as sums of powers are."""
+    """Hashes of sequences from those of their two halves, of which the first is salted: only who knows it can make sums equal."""
     x = a * _ODD
     x += b
     x ^= x >> np.uint64(29)
@@ -58,7 +83,7 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """The hash of each window of the sequence (codes of 64 bits, or bytes), from windows of 1, 2, 4, ... times the least length.
+    """The hash of each window of the sequence (salted codes of 64 bits, or bytes), from windows of 1, 2, 4, ... times the least length.
 
     Bytes are taken eight at a time; where ``width`` is no multiple of that, the last eight of a window count twice.
     """
@@ -68,9 +93,9 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     size, most, first = 1, width, codes
     if codes.dtype == np.uint8:
         if width < 8:
-            first = BYTE_CODES[codes]
+            first = salted(BYTE_CODES)[codes]
         else:
-            size, most, first = 8, width - width % 8, np.ndarray((len(codes) - 7,), "<u8", codes, strides=(1,)).copy()
+            size, most, first = 8, width - width % 8, scramble(np.ndarray((len(codes) - 7,), "<u8", codes, strides=(1,)) ^ _salt)
     power, out, done = first, None, 0
     while True:
         if most & size:
@@ -92,7 +117,7 @@ def hashes_at(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     out = np.zeros(len(at), np.uint64)
     for start in [*range(0, width - 7, 8), width - 8]:
-        out = combine(out, eight[at + start])
+        out = combine(out, scramble(eight[at + start] ^ _salt))
     return out
 
 
@@ -217,8 +242,8 @@ def counts_for(docs: DataFrame, text: str) -> tuple[int, int]:
 
 
 def blocked(docs: DataFrame, doc_id: str, text: str, blocks: int) -> DataFrame:
-    """(block, __id, __text) of all documents."""
-    return docs.select(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(blocks)).alias("block"), F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"))
+    """(block, __id, __text) of all documents; rows that share an id, or have none, are dealt by their texts."""
+    return docs.select(F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(blocks)).alias("block"), F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"))
 
 
 def ordered(block: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
@@ -295,7 +320,10 @@ def find_repeats(
     finish(ids, texts, sequences, [(kind, blob)]) makes the rows of a block.
     """
 
+    salt = new_salt()
+
     def announce(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        use_salt(salt)
         _, data = ordered(block)
         distinct = distinct_anchors(sequences(data), width, k)[3]
         rows = [(b, key[0], 0, sent) for b, _, sent in send_hashes(distinct, buckets)]
@@ -308,6 +336,7 @@ def find_repeats(
         columns = ["bucket", "block", "kind", "data"]
         if not len(block):
             return pd.DataFrame([], columns=columns)
+        use_salt(salt)
         ids, data = ordered(block)
         seq = sequences(data)
         hashes, first, last, distinct, inverse, counts = distinct_anchors(seq, width, k)
@@ -321,12 +350,14 @@ def find_repeats(
         return pd.DataFrame(rows, columns=columns)
 
     def judge(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
+        use_salt(salt)
         rows = compare(list(zip(blobs["block"].tolist(), blobs["kind"].tolist(), blobs["data"], strict=True)))
         return pd.DataFrame([(b, key[0], kind, blob) for b, kind, blob in rows], columns=["block", "bucket", "kind", "data"])
 
     def conclude(key: tuple, block: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(block):
             return pd.DataFrame()
+        use_salt(salt)
         ids, data = ordered(block)
         return finish(ids, data, sequences(data), list(zip(replies["kind"].tolist(), replies["data"], strict=True)))
 

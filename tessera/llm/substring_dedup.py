@@ -6,7 +6,8 @@ dealt to buckets with the words that follow them. A bucket splits its suffixes b
 first word, and where a group exceeds ``GROUP`` suffixes by the next word too, until every group fits. Each group is
 sorted into suffix order with the lengths of the common prefixes of neighbours, which is its suffix tree; the inner nodes
 of depth ``width`` or more lie in intervals of neighbours that share ``width`` words, the maximal repeats' loci. The
-least id under the topmost such node decides. Words are compared themselves there, not by hashes.
+least id under the topmost such node decides. Words are compared themselves, there and within a block; hashes only
+propose.
 
 Null ids are the least. Null texts have no words; with under ``width`` words nothing is removed. Rows that share an id
 are judged separately, and never count as smaller than each other. Ids are read as longs.
@@ -38,6 +39,12 @@ def _sequences(texts: list[bytes]) -> Sequences:
     return seq
 
 
+def _numbers(seq: Sequences) -> np.ndarray:
+    """A number for each word, the same for the same words only."""
+    number = Numbers()
+    return np.concatenate([np.fromiter(map(number.__getitem__, piece.split()), np.int64) for piece in pieces(seq.data.tobytes())])
+
+
 class Numbers(dict):
     """0, 1, 2, ... for each new key."""
 
@@ -112,7 +119,13 @@ def remove_repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: s
             return []
         # Of runs with equal words the first goes, which has the least id. The first and last window cover a run.
         marks = window_hashes(seq.codes, width)
-        _, place = np.unique(np.stack([hashes, marks[first], marks[last], (last - first).astype(np.uint64)], 1), axis=0, return_index=True)
+        _, place, inverse = np.unique(np.stack([hashes, marks[first], marks[last], (last - first).astype(np.uint64)], 1), axis=0, return_index=True, return_inverse=True)
+        head = place[inverse.ravel()]
+        copies = np.flatnonzero(head != np.arange(len(head)))
+        if len(copies):
+            words, size = _numbers(seq), (last - first)[copies] + width
+            differ = words[ranges(first[copies], size)] != words[ranges(first[head[copies]], size)]
+            place = np.concatenate([place, copies[np.add.reduceat(differ, np.cumsum(size) - size) > 0]])
         place = np.sort(place)
         owner = numeric(ids)[np.searchsorted(np.cumsum(seq.sizes), first[place], "right")]
         out = []
@@ -163,8 +176,9 @@ def remove_repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: s
             _, place, inverse = np.unique(window_hashes(seq.codes, width)[starts], return_index=True, return_inverse=True)
             head = place[inverse]
             copies = np.flatnonzero(head != np.arange(len(head)))
+            words = _numbers(seq)
             for j in range(width):
-                equal = seq.codes[starts[copies] + j] == seq.codes[starts[head[copies]] + j]
+                equal = words[starts[copies] + j] == words[starts[head[copies]] + j]
                 head[copies[~equal]] = copies[~equal]
                 copies = copies[equal]
             hit = told[starts] | told[starts[head]] | (owner > owner[head])

@@ -7,7 +7,7 @@ from hashlib import blake2b
 
 import numpy as np
 
-from tessera.llm.repeats import Sequences, combine
+from tessera.llm.repeats import Sequences, combine, salted
 
 #: Bytes of text that are read at once, and of a word that is hashed eight bytes at a time; a longer one is digested.
 PIECE, CHUNKED = 1_000_000, 4096
@@ -26,10 +26,10 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _codes(joined: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; ``joined`` has seven bytes at least after the last word."""
+    """A salted 64-bit hash of each word; ``joined`` has seven bytes at least after the last word."""
     eight = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))
     size = end - begin
-    out = size.astype(np.uint64)
+    out = salted(size.astype(np.uint64))
     at, done = np.flatnonzero(size <= CHUNKED), 0
     while len(at):
         rest = np.minimum(size[at] - done, 8)
@@ -38,7 +38,7 @@ def _codes(joined: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         done += 8
         at = at[size[at] > done]
     for i in np.flatnonzero(size > CHUNKED).tolist():
-        out[i] = int.from_bytes(blake2b(joined[begin[i] : end[i]], digest_size=8).digest(), "little")
+        out[i] ^= np.uint64(int.from_bytes(blake2b(joined[begin[i] : end[i]], digest_size=8, key=out[i].tobytes()).digest(), "little"))
     return out
 
 
