@@ -9,10 +9,10 @@ before, and of segments; for each document its id (int64), whether it has one (o
 for each segment three int64 (ranks, control bytes, data bytes), then the control bytes and the data. A line end closes
 the file. Folders ``part=000000``, ``part=000001``, ... give the files' order; ``ranks`` beside them has the id of each rank.
 
-Tokens are those of the ``tokenizers`` library. For byte-level BPE its pre-tokenizer never joins what stands before a
-space to what follows, so a text is cut there, and where a unit is made of ASCII digits, common letters, punctuation and
-single line ends, between those; each piece not met before is encoded by the library once, and remembered up to ``REMEMBERED``.
-Other tokenizers get whole texts.
+Tokens are those of the ``tokenizers`` library. For byte-level BPE a text is first cut into the pieces of its public
+pre-tokenizer pattern; the library encodes each piece not met before, once. A worker remembers ``REMEMBERED`` pieces, then
+keeps those it met twice. The cut is made here only where all characters are of common kinds, for which the pattern is
+exact; other texts are cut before spaces alone, which the pattern never crosses. Other tokenizers get whole texts.
 
 Texts are encoded once and written, compressed, as rows of many documents. Bounds between files are quantiles of the ids; rows
 of an id that spans files are dealt among them by the CRC-32 of their ids, in its order. Each task sends what it has for
@@ -29,6 +29,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -39,17 +40,22 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded, discard, materialize, release_memory, shared_dir
 from tessera.llm.repeats import by_bucket, pack, ranges, unpack
 from tessera.llm.substring_dedup import Numbers
+from tessera.llm.token_counts import byte_alphabet
 
 #: Ids of a file, where that gives as many files as the session has shuffle partitions, and ids of a segment.
 FILE_IDS, SEGMENT = 1 << 22, 1 << 20
-#: Bytes of text that are encoded at once, and units that a worker remembers.
-BATCH_BYTES, REMEMBERED = 2 << 20, 400_000
+#: Bytes of text that are encoded at once, and pieces that a worker remembers.
+BATCH_BYTES, REMEMBERED = 2 << 20, 500_000
 MAGIC = b"TOKENS01"
 
-#: A unit in which pieces end where the kind of character changes; no apostrophes, no two line ends in a row.
-SIMPLE = re.compile(r"(?!\n)(?:[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]|\n(?!\n))++")
-PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
-BLANKS, BREAK = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
+#: Characters that are letters, digits, white space, or none of these in every version of the Unicode tables.
+_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ʯΑ-ΡΣ-ϡЀ-ҁҊ-ԯא-תء-غف-يぁ-ゖァ-ヺ一-龥가-힣"
+_BLANK = r" \t\n\r\x0b\x0c"
+_MARK = r"!-/:-@\[-`{-~¡-©«-±´¶-¸»¿×÷‐-‧‰-⁞"
+#: The pattern of byte-level BPE for texts of these characters.
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+#: Before a space that no white space precedes.
+BREAK = re.compile(r"(?<=\S)(?= )")
 
 #: Lengths of the four ranks of a control byte.
 LENGTHS = np.array([[1 + (c >> 2 * j & 3) for j in range(4)] for c in range(256)], np.int64)
@@ -61,8 +67,14 @@ def encode(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     padded[: len(ranks)] = more
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    parts = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control, parts[np.arange(4) <= more[:, None]]
+    size = more + np.int64(1)
+    start = np.cumsum(size) - size
+    data = np.empty(int(size.sum()), np.uint8)
+    data[start] = ranks
+    for k in range(1, int(more.max(initial=0)) + 1):
+        longer = np.flatnonzero(more >= k)
+        data[start[longer] + k] = ranks[longer] >> np.uint32(8 * k)
+    return control, data
 
 
 def decode(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -88,48 +100,70 @@ class Encoder:
         plain = all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
         self.cuts = model["type"] == "BPE" and not model.get("dropout") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"] and plain
         self.special = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
+        self.letters = {b: c for c, b in byte_alphabet().items()}
         self.forget()
 
     def forget(self) -> None:
-        self.units, self.pieces = Numbers(), Numbers()
-        self.of_pieces, self.of_units = Lists(), Lists()
-
-    def split(self, text: str) -> list[str]:
-        """Keys of the units: a unit that begins with a space lacks it, others (the first; all of texts with blanks in a row) have a NUL in front."""
-        if not self.cuts or BLANKS.search(text):
-            return ["\0" + u for u in (BREAK.split(text) if self.cuts else [text])]
-        units = text.split(" ")
-        units[0] = "\0" + units[0]
-        return units
-
-    def parts(self, key: str) -> list[str]:
-        """The pieces of a unit that are encoded by themselves."""
-        lead, body = ("", key[1:]) if key.startswith("\0") else (" ", key)
-        if not self.cuts or not SIMPLE.fullmatch(body) or (self.special and self.special.search(body)):
-            return [lead + body]
-        found = PART.findall(body)
-        found[0] = lead + found[0]
-        return found
+        self.pieces, self.uses, self.lists = Numbers(), np.zeros(0, np.int64), Lists()
+
+    def keep_frequent(self) -> None:
+        """Forget the pieces that were met once."""
+        often = np.flatnonzero(self.uses > 1)
+        if len(often) > REMEMBERED // 2:
+            return self.forget()
+        names, old = list(self.pieces), self.lists
+        self.forget()
+        for i in often.tolist():
+            self.pieces[names[i]]
+        self.uses = np.ones(len(often), np.int64)
+        self.lists.append(*old.get(often))
+        self.lists.settle()
+
+    def cut(self, text: str) -> list[str]:
+        """Pieces of a text that are encoded by themselves; NUL stands before those that the library has to cut itself."""
+        if not self.cuts:
+            return ["\0" + text]
+        if self.special and self.special.search(text):
+            between, found = self.special.split(text), [*self.special.findall(text), ""]
+            return [p for part, token in zip(between, found, strict=True) for p in (*(self.common(part) if part else ()), token and "\0" + token) if p]
+        return self.common(text)
+
+    def common(self, text: str) -> list[str]:
+        found = PIECE.findall(text)
+        if len("".join(found)) == len(text):
+            return found
+        out = []
+        for unit in BREAK.split(text):
+            found = PIECE.findall(unit)
+            out += found if len("".join(found)) == len(unit) else ["\0" + unit]
+        return out
+
+    def encode(self, pieces: list[str]) -> list[list[int]]:
+        """The library's ids of each piece: of its model alone where the cut is made."""
+        tokenize = self.library.model.tokenize
+        out = [None if p[0] == "\0" else [t.id for t in tokenize(p.encode().decode("latin-1").translate(self.letters))] for p in pieces]
+        whole = [i for i, ids in enumerate(out) if ids is None]
+        if whole:
+            for i, e in zip(whole, self.library.encode_batch_fast([pieces[i][1:] for i in whole], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        return out
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and their numbers."""
-        if len(self.units) > REMEMBERED:
-            self.forget()
+        if len(self.pieces) > REMEMBERED:
+            self.keep_frequent()
         met, sizes = [], []
         for t in texts:
-            keys = self.split(t) if t else []
-            met += map(self.units.__getitem__, keys)
-            sizes.append(len(keys))
-        if len(self.units) > len(self.of_units.size):
-            new = [self.parts(key) for key in list(self.units)[len(self.of_units.size) :]]
-            inside = np.fromiter((self.pieces[p] for parts in new for p in parts), np.int64)
-            fresh = list(self.pieces)[len(self.of_pieces.size) :]
-            for k in range(0, len(fresh), 1000):
-                self.of_pieces.add([e.ids for e in self.library.encode_batch_fast(fresh[k : k + 1000], add_special_tokens=False)])
-            ids, each = self.of_pieces.get(inside)
-            count = np.array([len(parts) for parts in new])
-            self.of_units.append(ids, np.add.reduceat(each, np.cumsum(count) - count))
-        ids, each = self.of_units.get(np.array(met, np.int64))
+            found = self.cut(t) if t else []
+            met += map(self.pieces.__getitem__, found)
+            sizes.append(len(found))
+        known = len(self.lists.size)
+        fresh = list(islice(self.pieces, known, None))
+        for k in range(0, len(fresh), 1000):
+            self.lists.add(self.encode(fresh[k : k + 1000]))
+        met = np.fromiter(met, np.int64, len(met))
+        self.uses = np.bincount(met, minlength=len(self.pieces)) + np.pad(self.uses, (0, len(fresh)))
+        ids, each = self.lists.get(met)
         upto = np.concatenate([[0], np.cumsum(each)])
         edges = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         return ids, np.diff(upto[edges])
@@ -139,17 +173,24 @@ class Lists:
     """Lists of numbers end to end."""
 
     def __init__(self) -> None:
-        self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.flat, self.size, self.waiting = np.zeros(0, np.int32), np.zeros(0, np.int64), []
 
     def append(self, flat: np.ndarray, size: np.ndarray) -> None:
-        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
-        self.first = np.cumsum(self.size) - self.size
+        self.waiting.append((flat, size))
 
     def add(self, lists: list[list[int]]) -> None:
-        self.append(np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists], np.int64))
+        self.append(np.array(list(chain.from_iterable(lists)), np.int32), np.array(list(map(len, lists)), np.int64))
+
+    def settle(self) -> None:
+        """Lay out the lists that were added."""
+        if self.waiting:
+            flat, size = zip(*self.waiting, strict=True)
+            self.flat, self.size, self.waiting = np.concatenate([self.flat, *flat]), np.concatenate([self.size, *size]), []
+            self.first = np.cumsum(self.size) - self.size
 
     def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Some lists end to end, and their lengths."""
+        self.settle()
         if not len(numbers):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         size = self.size[numbers]
