@@ -16,9 +16,7 @@ from tessera.operators import statistics as C
 _NULL = "observed_coupling double, null_mean_coupling double, effect_mean_diff double, p_perm double"
 
 
-def correlation(a: np.ndarray, b: np.ndarray) -> float:
-    """Pearson's r; 0 with fewer than three pairs or where a side is constant."""
-    return float(np.corrcoef(a, b)[0, 1]) if len(a) >= 3 and a.std() > 0 and b.std() > 0 else 0.0
+correlation = K.correlation
 
 
 def lagged(pairs: DataFrame, keys: list[str], a: str, b: str, *, lags: list[int], surrogates: int, seed: int, measure: Callable[[np.ndarray, np.ndarray], float] = K.mutual_information, order: str = "sample") -> DataFrame:

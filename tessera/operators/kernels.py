@@ -38,13 +38,18 @@ def spaced_peaks(trace: np.ndarray, distance: int) -> np.ndarray:
     inner = np.arange(1, len(edge) - 1)
     top = inner[(level[inner] > level[inner - 1]) & (level[inner] > level[inner + 1])]
     peaks = (edge[top] + stop[top]) // 2
-    keep = np.ones(len(peaks), bool)
-    for i in np.argsort(x[peaks], kind="stable")[::-1]:
+    return peaks[spaced(x[peaks], peaks, distance)]
+
+
+def spaced(height: np.ndarray, at: np.ndarray, distance: int) -> np.ndarray:
+    """Which of some peaks in order stay if none may be nearer than ``distance`` to a higher one that stays (the later of equal ones counts as higher)."""
+    keep = np.ones(len(at), bool)
+    for i in np.argsort(height, kind="stable")[::-1]:
         if keep[i]:
-            lo, hi = np.searchsorted(peaks, (peaks[i] - distance + 1, peaks[i] + distance))
+            lo, hi = np.searchsorted(at, (at[i] - distance + 1, at[i] + distance))
             keep[lo:hi] = False
             keep[i] = True
-    return peaks[keep]
+    return keep
 
 
 def smooth_runs(labels: np.ndarray, scores: np.ndarray, least: int) -> np.ndarray:
@@ -312,19 +317,93 @@ def bootstrap_interval(values: np.ndarray, seed: int, rounds: int = 5000, level:
     return float(values.mean()), float(low), float(high)
 
 
-def mutual_information(a: np.ndarray, b: np.ndarray) -> float:
-    """Normalised mutual information of two label arrays (0 where an entropy is 0)."""
-    if len(a) != len(b) or len(a) < 2:
+def information(counts: np.ndarray) -> float:
+    """Normalised mutual information of a table of joint counts (0 where an entropy is 0)."""
+    counts = counts[counts.any(axis=1)][:, counts.any(axis=0)]
+    if counts.sum() < 2:
         return 0.0
-    _, x = np.unique(a, return_inverse=True)
-    _, y = np.unique(b, return_inverse=True)
-    table = np.bincount(x * (y.max() + 1) + y, minlength=(x.max() + 1) * (y.max() + 1)).reshape(x.max() + 1, -1) / len(a)
+    table = counts / counts.sum()
     px, py = table.sum(axis=1), table.sum(axis=0)
     h = lambda p: -(p[p > 0] * np.log(p[p > 0])).sum()
     hx, hy = h(px), h(py)
     return float((hx + hy - h(table.ravel())) / np.sqrt(hx * hy)) if hx > 0 and hy > 0 else 0.0
 
 
+def crossed(x: np.ndarray, y: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Joint counts of codes below n and m."""
+    return np.bincount(x * m + y, minlength=n * m).reshape(n, m)
+
+
+def mutual_information(a: np.ndarray, b: np.ndarray) -> float:
+    """Normalised mutual information of two label arrays (0 where an entropy is 0)."""
+    if len(a) != len(b) or len(a) < 2:
+        return 0.0
+    (u, x), (v, y) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+    return information(crossed(x, y, len(u), len(v)))
+
+
+def transform_length(n: int) -> int:
+    """n if it has small factors only, else the least 2^a, 5 * 2^a / 4 or 3 * 2^a / 2 that holds two lengths."""
+    rest = n
+    for p in (2, 3, 5, 7, 11):
+        while rest % p == 0 and rest > 1:
+            rest //= p
+    if rest <= 1:
+        return n
+    top = 1 << (2 * n - 1).bit_length()
+    return next(size for size in (top * 5 // 8, top * 3 // 4, top) if size >= 2 * n)
+
+
+def shifted_products(x: list[np.ndarray], y: list[np.ndarray], shifts: np.ndarray) -> np.ndarray:
+    """(shift, x, y): sums over i of x[i] * y[(i + shift) mod length], by circular cross-correlation.
+
+    The transforms cost O(length * log(length)) for each pair of arrays, whatever the number of shifts. An awkward
+    length is padded; then a sum has two parts, before and behind the end.
+    """
+    n = len(x[0])
+    size, at = transform_length(n), np.asarray(shifts) % n
+    ahead, behind = [np.conj(np.fft.rfft(u, size)) for u in x], [np.fft.rfft(v, size) for v in y]
+    out = np.empty((len(at), len(x), len(y)))
+    for i, u in enumerate(ahead):
+        for j, v in enumerate(behind):
+            sums = np.fft.irfft(u * v, n=size)
+            out[:, i, j] = sums[at] if size == n else sums[at] + np.where(at, sums[at - n], 0.0)
+    return out
+
+
+def shifted_counts(x: np.ndarray, y: np.ndarray, n: int, m: int, shifts: np.ndarray) -> np.ndarray:
+    """(shift, code, code): joint counts of x[i] and y[(i + shift) mod length]."""
+    found = shifted_products([(x == u).astype(float) for u in range(n)], [(y == v).astype(float) for v in range(m)], shifts)
+    return np.rint(found).astype(np.int64)
+
+
+def shifted_information(a: np.ndarray, b: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """``mutual_information`` of a and b rolled by each shift."""
+    (u, x), (v, y) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+    return np.array([information(t) for t in shifted_counts(x, y, len(u), len(v), -np.asarray(shifts))])
+
+
+def correlation(a: np.ndarray, b: np.ndarray) -> float:
+    """Pearson's r; 0 with fewer than three pairs or where a side is constant."""
+    return float(shifted_correlation(a, b, np.zeros(1, np.int64))[0])
+
+
+def shifted_correlation(a: np.ndarray, b: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """``correlation`` of a and b rolled by each shift, from one circular cross-correlation."""
+    shifts = np.asarray(shifts)
+    if len(a) < 3 or np.ptp(a) == 0 or np.ptp(b) == 0:
+        return np.zeros(len(shifts))
+    x, y = a - a.mean(), b - b.mean()
+    scale = np.sqrt((x**2).sum() * (y**2).sum())
+    if len(shifts) == 1:
+        return np.array([(x * np.roll(y, int(shifts[0]))).sum() / scale])
+    return shifted_products([x], [y], -shifts)[:, 0, 0] / scale
+
+
+#: What gives a measure at many shifts at once.
+BY_SHIFT = {mutual_information: shifted_information, correlation: shifted_correlation}
+
+
 def shifted_coupling(a: np.ndarray, b: np.ndarray, lags: list[int], surrogates: int, seed: int, measure=mutual_information) -> pd.DataFrame:
     """Observed measure at each lag against circular shifts of b, drawn in order of ascending lags from one stream."""
     rng, rows = np.random.default_rng(seed), []
@@ -332,8 +411,9 @@ def shifted_coupling(a: np.ndarray, b: np.ndarray, lags: list[int], surrogates:
         x, y = (a[: len(a) - lag], b[lag:]) if lag >= 0 else (a[-lag:], b[:lag])
         if len(x) < 2:
             continue
-        observed = measure(x, y)
-        null = np.array([measure(x, np.roll(y, int(k))) for k in rng.integers(1, max(2, len(y)), size=max(1, surrogates))])
+        shifts = rng.integers(1, max(2, len(y)), size=max(1, surrogates))
+        observed, *null = BY_SHIFT[measure](x, y, np.append(0, shifts))
+        null = np.array(null)
         rows.append((lag, len(x), observed, null.mean(), observed - null.mean(), (np.sum(null >= observed) + 1) / (len(null) + 1)))
     return pd.DataFrame(rows, columns=["lag_samples", "n_samples", "observed_coupling", "null_mean_coupling", "effect_mean_diff", "p_perm"])
 
@@ -344,13 +424,19 @@ def arithmetic_shifts(n: int, count: int) -> np.ndarray:
 
 
 def shifted_lag_grid(a: np.ndarray, b: np.ndarray, lags: list[int], shifts: np.ndarray, digits: int = 9) -> pd.DataFrame:
-    """Mutual information at each lag, where all of b is shifted around its end before lagging; values are compared rounded."""
-    rows = []
-    for lag in sorted(set(lags)):
-        if abs(lag) >= len(a):
-            continue
-        x, at = (a[: len(a) - lag], slice(lag, None)) if lag >= 0 else (a[-lag:], slice(None, lag))
-        observed, *null = (round(mutual_information(x, np.roll(b, int(k))[at]), digits) for k in (0, *shifts))
+    """Mutual information at each lag, where all of b is shifted around its end before lagging; values are compared rounded.
+
+    A lag of a shifted sequence is one more circular shift, less the pairs that wrap around the ends.
+    """
+    rows, n = [], len(a)
+    (u, x), (v, y) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+    lags = [lag for lag in sorted(set(lags)) if abs(lag) < n]
+    moved = np.array([[lag - k for k in (0, *shifts.tolist())] for lag in lags], np.int64).reshape(len(lags), -1)
+    counts = shifted_counts(x, y, len(u), len(v), moved.ravel()).reshape(*moved.shape, len(u), len(v)) if len(lags) else moved
+    for lag, by, tables in zip(lags, moved, counts, strict=True):
+        wrapped = np.arange(n - lag, n) if lag >= 0 else np.arange(-lag)
+        values = [information(t - crossed(x[wrapped], y[(wrapped + s) % n], len(u), len(v))) for t, s in zip(tables, by.tolist(), strict=True)]
+        observed, *null = (round(value, digits) for value in values)
         null = np.array(null)
         rows.append((lag, observed, null.mean(), observed - null.mean(), (np.sum(null >= observed) + 1) / (len(null) + 1)))
     return pd.DataFrame(rows, columns=["lag_samples", "observed_coupling", "null_mean_coupling", "effect_mean_diff", "p_perm"])
@@ -366,23 +452,23 @@ def shifted_response_rates(events: pd.DataFrame, times: np.ndarray, labels: np.n
     group, start = group.ravel(), events["event_sec"].to_numpy(float)
     size = np.bincount(group, minlength=len(kinds))
 
-    def switches(states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(states[1:] != states[:-1]) + 1
-        return times[at], states[at]
-
-    def rates(states: np.ndarray) -> np.ndarray:
-        at, to = switches(states)
-        out = []
-        for d in (None, *asked):
-            soon = np.append(at if d is None else at[to == d], np.inf)
-            hit = soon[np.searchsorted(soon, start)] < start + window
-            out.append(np.bincount(group, weights=hit, minlength=len(kinds)) / size)
-        return np.array(out)
-
-    asked = np.unique(switches(labels)[1]).tolist()
-    rows, observed = [], rates(labels)
-    shifts = np.random.default_rng(seed).integers(1, max(2, len(labels)), size=max(1, surrogates))
-    null = np.array([rates(np.roll(labels, int(k))) for k in shifts])
+    n = len(labels)
+    turned = np.append(labels[:1] != labels[-1:], labels[1:] != labels[:-1])  # around the end
+    asked = np.unique(labels[1:][turned[1:]]).tolist()
+    kinds_of = [turned] + [turned & (labels == d) for d in asked]
+    upto = [np.concatenate([[0], np.cumsum(np.concatenate([t, t]))]) for t in kinds_of]
+    # Switches in [low, high) of the shifted labels; the first label has none before it.
+    low, high = np.maximum(np.searchsorted(times, start), 1), np.searchsorted(times, start + window)
+    high = np.maximum(high, low)
+
+    def rates(shift: int) -> np.ndarray:
+        back = shift % n if n else 0
+        hits = [u[high - back + n] > u[low - back + n] for u in upto]
+        return np.array([np.bincount(group, weights=hit, minlength=len(kinds)) / size for hit in hits])
+
+    rows, observed = [], rates(0)
+    shifts = np.random.default_rng(seed).integers(1, max(2, n), size=max(1, surrogates))
+    null = np.array([rates(int(k)) for k in shifts])
     for j, d in enumerate((-1, *asked)):
         for i, (a, b) in enumerate(kinds):
             obs, each = observed[j, i], null[:, j, i]
@@ -391,15 +477,23 @@ def shifted_response_rates(events: pd.DataFrame, times: np.ndarray, labels: np.n
 
 
 def shifted_trajectory(trace: np.ndarray, at: np.ndarray, before: int, after: int, surrogates: int, seed: int) -> pd.DataFrame:
-    """Mean of a trace at each offset from events, against circular shifts of the trace; two-sided about the shifts' mean."""
-    rng, rows = np.random.default_rng(seed), []
+    """Mean of a trace at each offset from events, against circular shifts of the trace; two-sided about the shifts' mean.
+
+    The trace's sums over all events at every distance are one circular cross-correlation; events whose offset falls
+    off an end are taken off again.
+    """
+    rng, rows, n = np.random.default_rng(seed), [], len(trace)
+    centre = trace.mean() if n else 0.0
+    sums = shifted_products([np.bincount(at, minlength=n).astype(float)], [trace - centre], np.arange(n))[:, 0, 0] if n else trace
     for offset in range(-before, after + 1):
-        held = at + offset
-        held = held[(held >= 0) & (held < len(trace))]
+        inside = (at + offset >= 0) & (at + offset < n)
+        held, off = at[inside] + offset, at[~inside]
         if not len(held):
             continue
         observed = trace[held].mean()
-        null = np.array([trace[(held - k) % len(trace)].mean() for k in rng.integers(1, max(2, len(trace)), size=max(1, surrogates))])
+        shifts = rng.integers(1, max(2, n), size=max(1, surrogates))
+        total = sums[(offset - shifts) % n] - (trace[(off[:, None] + offset - shifts) % n] - centre).sum(axis=0)
+        null = total / len(held) + centre
         extreme = np.abs(null - null.mean()) >= abs(observed - null.mean())
         rows.append((offset, len(held), observed, null.mean(), observed - null.mean(), (extreme.sum() + 1) / (len(null) + 1)))
     return pd.DataFrame(rows, columns=["offset_samples", "n_events", "observed_coupling", "null_mean_coupling", "effect_mean_diff", "p_perm"])

@@ -10,16 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 1_000_000
+from tessera.operators.chunks import CHUNK, chunk_of, exact_median, neighbours
 
 
 def runs(labels: DataFrame, keys: list[str], *, state: str = "microstate", order: str = "sample", time: str = "time_sec", chunk: int = CHUNK) -> DataFrame:
     """Maximal runs of equal states: keys, run_id (0-based), state, start_sample, n_samples, start_sec, end_sec.
 
     ``order`` should be dense within a key for ``end_sec`` and chunks to mean what they say; null states are a state.
+    Runs are found within chunks; a summary of each chunk (its first and last state, its number of runs) then tells how
+    many runs begin before it and whether its first one continues another.
     """
-    part = F.floor(F.col(order) / chunk)
-    cut = labels.select(*keys, F.col(order).alias("__o"), F.col(time).alias("__t"), F.col(state).alias("__s"), part.alias("__chunk"))
+    cut = labels.select(*keys, F.col(order).alias("__o"), F.col(time).alias("__t"), F.col(state).alias("__s"), chunk_of(order, chunk).alias("__chunk"))
     local = Window.partitionBy(*keys, "__chunk").orderBy("__o")
     new = F.coalesce((~F.col("__s").eqNullSafe(F.lag("__s").over(local))).cast("int"), F.lit(0))
     first = F.row_number().over(local) == 1
@@ -28,20 +29,26 @@ def runs(labels: DataFrame, keys: list[str], *, state: str = "microstate", order
         .groupBy(*keys, "__chunk", "__p")
         .agg(F.first("__s").alias("__s"), F.min("__o").alias("__o"), F.count("*").alias("__n"), F.min("__t").alias("__t0"), F.max("__t").alias("__t1"))
     )
-    whole = Window.partitionBy(*keys).orderBy("__o")
-    turn = F.when(F.row_number().over(whole) == 1, 0).otherwise((~F.col("__s").eqNullSafe(F.lag("__s").over(whole))).cast("int"))
+    edges = pieces.groupBy(*keys, "__chunk").agg(F.min_by("__s", "__p").alias("__first"), F.max_by("__s", "__p").alias("__last"), F.max("__p").alias("__m"))
+    along = Window.partitionBy(*keys).orderBy("__chunk")
+    before = F.coalesce(F.sum("__m").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = (F.lag("__m").over(along).isNotNull() & F.col("__first").eqNullSafe(F.lag("__last").over(along))).cast("long")
+    offsets = edges.select(*keys, "__chunk", before.alias("__before"), joined.alias("__joined")).select(*keys, "__chunk", (F.col("__before") - F.sum("__joined").over(along)).alias("__offset"))
+    blank = [F.lit(None).cast(pieces.schema[c].dataType).alias(c) for c in ("__p", "__s", "__o", "__n", "__t0", "__t1")]
+    both = pieces.withColumn("__offset", F.lit(None).cast("long")).unionByName(offsets.select(*keys, "__chunk", *blank, "__offset"))
+    numbered = both.withColumn("__offset", F.max("__offset").over(Window.partitionBy(*keys, "__chunk"))).where("__p IS NOT NULL")
     return (
-        pieces.withColumn("__turn", turn)
-        .withColumn("run_id", F.sum("__turn").over(whole).cast("long"))
+        numbered.withColumn("run_id", F.col("__offset") + F.col("__p") - 1)
         .groupBy(*keys, "run_id")
         .agg(F.first("__s").alias(state), F.min("__o").alias("start_sample"), F.sum("__n").alias("n_samples"), F.min("__t0").alias("start_sec"), F.max("__t1").alias("end_sec"))
     )
 
 
-def sample_period(labels: DataFrame, keys: list[str], *, order: str = "sample", time: str = "time_sec") -> DataFrame:
+def sample_period(labels: DataFrame, keys: list[str], *, order: str = "sample", time: str = "time_sec", chunk: int = CHUNK) -> DataFrame:
     """Median of the first differences of time by key; 0 with fewer than two samples."""
-    step = F.col(time) - F.lag(time).over(Window.partitionBy(*keys).orderBy(order))
-    return labels.withColumn("__step", step).groupBy(*keys).agg(F.coalesce(F.median("__step"), F.lit(0.0)).alias("sample_period_sec"))
+    beside = neighbours(labels.select(*keys, F.col(order).alias("__at"), F.col(time).alias("__time")), keys, ["__time"], order="__at", chunk=chunk)
+    steps = beside.select(*keys, (F.col("__time") - F.col("__time__before")).alias("__step"))
+    return exact_median(steps, keys, "__step", "sample_period_sec", default=0.0)
 
 
 def state_profile(labels: DataFrame, keys: list[str], *, state: str = "microstate", **options) -> DataFrame:
@@ -59,11 +66,10 @@ def state_profile(labels: DataFrame, keys: list[str], *, state: str = "microstat
 
 def transitions(labels: DataFrame, keys: list[str], *, state: str = "microstate", **options) -> DataFrame:
     """One row for each pair of neighbouring runs; the event is the start of the later. Durations are last minus first time."""
-    order = Window.partitionBy(*keys).orderBy("run_id")
-    before = lambda c: F.lag(c).over(order)
+    found = neighbours(runs(labels, keys, state=state, **options), keys, [state, "start_sec", "end_sec"], order="run_id")
+    before = lambda c: F.col(f"{c}__before")
     return (
-        runs(labels, keys, state=state, **options)
-        .withColumns({"from_state": before(state), "from_start_sec": before("start_sec"), "from_end_sec": before("end_sec")})
+        found.withColumns({"from_state": before(state), "from_start_sec": before("start_sec"), "from_end_sec": before("end_sec")})
         .where(F.col("run_id") > 0)
         .select(
             *keys,
@@ -100,16 +106,16 @@ def dense_transition_matrix(labels: DataFrame, keys: list[str], *, state: str =
 
 def boundary_events(labels: DataFrame, keys: list[str], *, state: str = "microstate", **options) -> DataFrame:
     """An onset and an offset row for each run, with the states before and after."""
-    order = Window.partitionBy(*keys).orderBy("run_id")
-    wide = runs(labels, keys, state=state, **options).withColumns({"previous_state": F.lag(state).over(order), "next_state": F.lead(state).over(order), "duration_sec": F.col("end_sec") - F.col("start_sec")})
+    found = neighbours(runs(labels, keys, state=state, **options), keys, [state], order="run_id")
+    wide = found.withColumns({"previous_state": F.col(f"{state}__before"), "next_state": F.col(f"{state}__after"), "duration_sec": F.col("end_sec") - F.col("start_sec")})
     both = F.explode(F.array(F.struct(F.lit("onset").alias("event_type"), F.col("start_sec").alias("event_sec")), F.struct(F.lit("offset").alias("event_type"), F.col("end_sec").alias("event_sec"))))
     return wide.withColumn("__e", both).select(*keys, F.col("run_id").alias("event_id"), "__e.event_type", "__e.event_sec", state, "previous_state", "next_state", "start_sec", "end_sec", "duration_sec", "n_samples")
 
 
-def switch_indicator(labels: DataFrame, keys: list[str], *, state: str, order: str = "sample", name: str = "switch_indicator") -> DataFrame:
+def switch_indicator(labels: DataFrame, keys: list[str], *, state: str, order: str = "sample", name: str = "switch_indicator", chunk: int = CHUNK) -> DataFrame:
     """1.0 where the state differs from the sample before, else 0.0; the first sample has 0.0."""
-    before = F.lag(state).over(Window.partitionBy(*keys).orderBy(order))
-    return labels.withColumn(name, F.coalesce((F.col(state) != before).cast("double"), F.lit(0.0)))
+    beside = neighbours(labels, keys, [state], order=order, chunk=chunk)
+    return beside.select(*(c for c in labels.columns if c != name), F.coalesce((F.col(state) != F.col(f"{state}__before")).cast("double"), F.lit(0.0)).alias(name))
 
 
 def dense_states(labels: DataFrame, keys: list[str], states: list[int], **options) -> DataFrame:
@@ -183,10 +189,10 @@ def lag_pairs(left: DataFrame, right: DataFrame, keys: list[str], lags: list[int
     return spread.join(given, [*keys, "__to"]).drop("__to")
 
 
-def local_maxima(trace: DataFrame, keys: list[str], *, value: str, order: str = "sample") -> DataFrame:
+def local_maxima(trace: DataFrame, keys: list[str], *, value: str, order: str = "sample", chunk: int = CHUNK) -> DataFrame:
     """Samples above both neighbours."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return trace.withColumns({"__a": F.lag(value).over(w), "__b": F.lead(value).over(w)}).where((F.col(value) > F.col("__a")) & (F.col(value) > F.col("__b"))).drop("__a", "__b")
+    beside = neighbours(trace, keys, [value], order=order, chunk=chunk)
+    return beside.where((F.col(value) > F.col(f"{value}__before")) & (F.col(value) > F.col(f"{value}__after"))).select(*trace.columns)
 
 
 def around_events(events: DataFrame, samples: DataFrame, keys: list[str], *, before: int, after: int, order: str = "sample") -> DataFrame:

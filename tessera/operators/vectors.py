@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.asof import interval_join
+from tessera.operators.gram import connectivity, connectivity_on_off  # noqa: F401
 from tessera.operators.kernels import pair_connectivity
 
 
@@ -120,37 +121,6 @@ def mean_pattern(samples: DataFrame, keys: list[str], *, min_subjects: int | Non
     return made.select(*keys, oriented(unit_pattern(F.col("__m"))).alias("map"), "n_subjects", "n_samples")
 
 
-def connectivity(signals: DataFrame, keys: list[str], *, series: str = "region", order: str = "sample") -> DataFrame:
-    """Absolute correlation of each pair of series; pairs with a constant side drop out."""
-    a = signals.select(*keys, order, F.col(series).alias("region_a"), F.col("value").alias("__x"))
-    b = signals.select(*keys, order, F.col(series).alias("region_b"), F.col("value").alias("__y"))
-    pairs = a.join(b, [*keys, order]).where("region_a < region_b").groupBy(*keys, "region_a", "region_b")
-    found = pairs.agg(F.count("*").alias("n_samples"), F.covar_pop("__x", "__y").alias("__c"), (F.stddev_pop("__x") * F.stddev_pop("__y")).alias("__s")).where("__s > 0")
-    return found.select(*keys, "region_a", "region_b", "n_samples", F.abs(F.col("__c") / F.col("__s")).alias("connectivity"))
-
-
-def connectivity_on_off(signals: DataFrame, keys: list[str], *, state: str, min_samples: int = 2, series: str = "region", order: str = "sample") -> DataFrame:
-    """Connectivity within each state against outside it, where both have enough samples: from sums, in one pass."""
-    a = signals.select(*keys, order, state, F.col(series).alias("region_a"), F.col("value").alias("__x"))
-    b = signals.select(*keys, order, F.col(series).alias("region_b"), F.col("value").alias("__y"))
-    by = [*keys, "region_a", "region_b"]
-    x, y = F.col("__x"), F.col("__y")
-    sums = a.join(b, [*keys, order]).where("region_a < region_b").groupBy(*by, state).agg(
-        F.count("*").alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy")
-    )
-    w = Window.partitionBy(*by)
-    names = ("n", "x", "y", "xy", "xx", "yy")
-    both = sums.withColumns({f"{c}_o": F.sum(c).over(w) - F.col(c) for c in names}).where((F.col("n") >= min_samples) & (F.col("n_o") >= min_samples))
-
-    def corr(s: str) -> Column:
-        n, sx, sy, sxy, sxx, syy = (F.col(c + s) for c in names)
-        return F.abs(F.try_divide(sxy - sx * sy / n, F.sqrt(F.greatest((sxx - sx * sx / n) * (syy - sy * sy / n), F.lit(0.0)))))
-
-    return both.select(*by, state, corr("").alias("state_connectivity"), corr("_o").alias("off_connectivity"), (corr("") - corr("_o")).alias("effect_mean_diff"), F.col("n").alias("n_state_samples"), F.col("n_o").alias("n_nonstate_samples")).dropna(
-        subset=["state_connectivity", "off_connectivity"]
-    )
-
-
 def event_locked_connectivity(signals: DataFrame, events: DataFrame, keys: list[str], event_keys: list[str], *, window: float, min_samples: int, method: str = "corr", series: str = "region", time: str = "time_sec", event: str = "event_sec") -> DataFrame:
     """Connectivity in [event, event + window) against [event - window, event), as means over the events of a kind.
 

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import coupling as U
+from tessera.operators import gram as M
 from tessera.operators import kernels as K
 from tessera.operators import sequence as S
+from tessera.operators import smoothing as Y
 from tessera.operators import vectors as V
 from tessera.plans.registry import register
-from tessera.plans.standins import aligned, effects, field, paired_labels, vectors
+from tessera.plans.standins import SQL, aligned, effects, field, paired_labels, vectors
 from tessera.plans.vector_queries import labelled_transitions, regions
 
 KEY = ["patient_id"]
@@ -28,12 +30,7 @@ def _patterns(spark: SparkSession, d: str) -> DataFrame:
 
 @register("peaks_min_distance")
 def peaks_min_distance(spark: SparkSession, d: str) -> DataFrame:
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sample")
-        at = K.spaced_peaks(rows["gfp"].to_numpy(), 5)
-        return pd.DataFrame({"peak_id": np.arange(len(at)), "sample": rows["sample"].to_numpy()[at], "gfp": rows["gfp"].to_numpy()[at]})
-
-    return K.grouped(field(spark, d).select("patient_id", "sample", "gfp"), KEY, "peak_id long, sample long, gfp double", kernel)
+    return Y.spaced_maxima(field(spark, d).select("patient_id", "sample", "gfp"), KEY, value="gfp", distance=5)
 
 
 @register("polarity_kmeans")
@@ -47,13 +44,8 @@ def polarity_kmeans(spark: SparkSession, d: str) -> DataFrame:
 
 @register("smooth_short_runs")
 def smooth_short_runs(spark: SparkSession, d: str) -> DataFrame:
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sample")
-        state = rows["field_state"].to_numpy()
-        scores = np.abs(rows["gfp"].to_numpy()[:, None] - np.arange(4)[None] * 10.0)
-        return pd.DataFrame({"sample": rows["sample"].to_numpy(), "field_state": K.smooth_runs(state, -scores, 3)})
-
-    return K.grouped(field(spark, d).select("patient_id", "sample", "field_state", "gfp"), KEY, "sample long, field_state long", kernel)
+    rows = field(spark, d).select("patient_id", "sample", F.col("field_state").cast("long").alias("field_state"), F.array(*(-F.abs(F.col("gfp") - F.lit(10.0 * i)) for i in range(4))).alias("scores"))
+    return Y.smooth_labels(rows, KEY, label="field_state", scores="scores", n_labels=4, least=3).drop("scores")
 
 
 @register("group_archetype_assignment")
@@ -116,23 +108,30 @@ def pca_kmeans_states(spark: SparkSession, d: str) -> DataFrame:
     return K.grouped(_patterns(spark, d), KEY, "sample long, seeg_state long, component_1 double", kernel)
 
 
-@register("hilbert_envelope")
-def hilbert_envelope(spark: SparkSession, d: str) -> DataFrame:
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sample")
-        return pd.DataFrame({"sample": rows["sample"].to_numpy(), "envelope": np.abs(K.analytic(rows["value"].to_numpy(float)))})
+#: The imaginary part of the analytic signal of each channel: a circular convolution with the transform's kernel.
+_ANALYTIC = """, dims AS (SELECT patient_id, max(sample) + 1 AS n FROM vec GROUP BY 1),
+ker AS (SELECT n, k, sum(CASE WHEN f = 0 THEN 1 WHEN 2 * f < n THEN 2 WHEN 2 * f = n THEN 1 ELSE 0 END * sin(2 * pi() * ((f * k) % n) / n)) / n AS g FROM (SELECT DISTINCT n FROM dims), range((SELECT max(n) FROM dims)) a(k), range((SELECT max(n) FROM dims)) b(f) WHERE k < n AND f < n GROUP BY 1, 2),
+ana AS (SELECT v.patient_id, channel, (v.sample + k) % n AS sample, sum(value * g) AS im FROM vec v JOIN dims USING (patient_id) JOIN ker USING (n) GROUP BY 1, 2, 3),
+hil AS (SELECT patient_id, channel, sample, value AS re, im, sqrt(value * value + im * im) AS size FROM vec JOIN ana USING (patient_id, channel, sample))
+"""
+
 
-    return K.grouped(vectors(spark, d), ["patient_id", "channel"], "sample long, envelope double", kernel)
+@register("hilbert_envelope", SQL + _ANALYTIC + "SELECT patient_id, channel, sample, round(size, 6) AS envelope FROM hil")
+def hilbert_envelope(spark: SparkSession, d: str) -> DataFrame:
+    z = M.analytic_signals(vectors(spark, d), KEY)
+    return z.select("patient_id", "channel", "sample", F.round(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2), 6).alias("envelope"))
 
 
-@register("plv_wpli")
+@register(
+    "plv_wpli",
+    SQL
+    + _ANALYTIC
+    + """SELECT a.patient_id, a.channel AS region_a, b.channel AS region_b, count(*) AS n_samples, round(sqrt(avg((a.re * b.re + a.im * b.im) / (a.size * b.size)) ** 2 + avg((a.im * b.re - a.re * b.im) / (a.size * b.size)) ** 2), 6) AS plv,
+round(abs(avg(a.im * b.re - a.re * b.im)) / avg(abs(a.im * b.re - a.re * b.im)), 6) AS wpli FROM hil a JOIN hil b ON a.patient_id = b.patient_id AND a.sample = b.sample AND a.channel < b.channel GROUP BY 1, 2, 3""",
+)
 def plv_wpli(spark: SparkSession, d: str) -> DataFrame:
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        z = K.analytic(_matrix(rows).T)
-        pairs = [(a, b) for a in range(len(z)) for b in range(a + 1, len(z))]
-        return pd.DataFrame([(a, b, K.phase_locking(z[a], z[b]), K.weighted_phase_lag(z[a], z[b])) for a, b in pairs], columns=["region_a", "region_b", "plv", "wpli"])
-
-    return K.grouped(V.to_arrays(vectors(spark, d), KEY), KEY, "region_a long, region_b long, plv double, wpli double", kernel)
+    found = M.phase_connectivity(vectors(spark, d), KEY)
+    return found.select("patient_id", "region_a", "region_b", "n_samples", F.round("plv", 6).alias("plv"), F.round("wpli", 6).alias("wpli"))
 
 
 @register("band_limited_resample")

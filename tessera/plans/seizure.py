@@ -67,7 +67,8 @@ def field_labels(signals: DataFrame, templates: DataFrame, assignments: DataFram
 
     scored = packed.select(*ids, "sample", "time_sec", V.let(pattern, score).alias("scores"))
     least = max(1, round(config.field.min_duration_ms / 1000 * config.sample_rate))
-    labels = G.smoothed_labels(scored, ids, least=least).withColumnRenamed("microstate", "field_state")
+    n_labels = templates.agg(F.max(F.size("weights"))).first()[0] or 1
+    labels = G.smoothed_labels(scored, ids, least=least, n_labels=n_labels).withColumnRenamed("microstate", "field_state")
     return T.attach_assignments(labels, assignments, ["patient_id"])
 
 
