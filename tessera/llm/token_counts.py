@@ -13,11 +13,11 @@ The byte-level BPE tokenizer of a ``tokenizers`` JSON file is compiled into two
   there.
 
 Texts are cut into chunks that run in lockstep. A chunk's map from entry state to (exit state, count) is constant
-behind its first piece start; the part before it (its head) is the only one that depends on the entry. Maps compose in
-a prefix scan over all chunks at once: a chunk with a start is its constant, whatever precedes it; one without (within a
-piece that is longer than a chunk) is run from an assumed entry, then again where the exit before it turns out to be
-another one, until none changes. Exits depend on the last bytes only, save in rare cases, so a round or two settle a
-piece of any length; each round settles one more chunk of every piece at least. Then all heads run in lockstep.
+behind its first piece start; the part before it (its head) is the only one that depends on the entry. Chunks without a
+start lie within a piece that is longer than a chunk. Their maps are kept for the states that can enter: first the
+piece's start state, then whatever the chunk before leaves, until none is new; as exits depend on the last bytes only,
+save in rare cases, that is two states or so. The maps then compose pairwise in a parallel prefix scan, by pointer
+doubling: the whole piece is one map after log2(chunks) rounds. Then all heads run in lockstep.
 
 Special tokens inside texts count as one token each, as is the library's default. Null and empty texts have none.
 """
@@ -178,6 +178,37 @@ class Machine:
         most = int(left.max(initial=0))
         return self.run(entry, np.ascontiguousarray(symbols[:, :most].T), np.zeros((most, 1), bool), left)
 
+    def scan(self, whole: np.ndarray, through: np.ndarray, leaves: np.ndarray, counts: np.ndarray, symbols: np.ndarray, left: np.ndarray) -> None:
+        """Compose the maps of neighbouring chunks without a start: the first of each row of them gets the count of all, the last its exit state.
+
+        A map is a set of entries (chunk, state) with exit and count; an entry leads to that of the next chunk by its exit.
+        """
+        if not len(whole):
+            return
+        opens = ~through[whole - 1]
+        follows = np.append(through[1:], False)
+        begin = whole[opens] << 32 | leaves[whole[opens] - 1]
+        known, exits, sums = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new = np.unique(np.concatenate([begin, whole[~opens] << 32 | ROOT]))
+        while len(new):
+            lane, entry = new >> 32, new & 0xFFFFFFFF
+            left_by, count = self.heads(entry, symbols[lane], left[lane])
+            known, exits, sums = np.concatenate([known, new]), np.concatenate([exits, left_by]), np.concatenate([sums, count])
+            on = follows[lane]
+            new = np.setdiff1d((lane[on] + 1) << 32 | left_by[on], known)
+        order = np.argsort(known)
+        known, exits, sums = known[order], exits[order], np.append(sums[order], 0)
+        n, lane = len(known), known >> 32
+        jump = np.append(np.where(follows[lane], np.searchsorted(known, (lane + 1) << 32 | exits), n), n)
+        last, self.rounds = np.arange(n + 1), 0
+        while (jump < n).any():
+            sums, last, jump = sums + sums[jump], np.where(jump < n, last[jump], last), jump[jump]
+            self.rounds += 1
+        at = np.searchsorted(known, begin)
+        counts[whole] = 0
+        counts[whole[opens]] = sums[at]
+        leaves[lane[last[at]]] = exits[last[at]]
+
     def kinds(self, points: np.ndarray) -> np.ndarray:
         kinds = self.kind[points]
         if (kinds == UNKNOWN).any():
@@ -269,14 +300,7 @@ class Machine:
         through = ~flags.any(axis=1)
         head = np.where(through, LANE, flags.argmax(axis=1))
         left = np.where(through, (symbols != PAD).sum(axis=1), head)  # bytes that wait for the entry state
-        whole = np.flatnonzero(through)
-        entry = np.full(len(whole), -1, np.int64)
-        leaves[whole] = ROOT
-        # The scan: all chunks without a start run at once, from what the last round left of the chunk before, until no entry changes.
-        while len(changed := np.flatnonzero(leaves[whole - 1] != entry)):
-            lane = whole[changed]
-            entry[changed] = leaves[lane - 1]
-            leaves[lane], counts[lane] = self.heads(entry[changed], symbols[lane], left[lane])
+        self.scan(np.flatnonzero(through), through, leaves, counts, symbols, left)
         rest = np.flatnonzero(~through & (left > 0))
         counts[rest] += self.heads(leaves[rest - 1], symbols[rest], left[rest])[1]
         np.add.at(total, np.repeat(owner, lanes), counts)
