@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, materialize
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.jaccard_join import keep_one
 from tessera.llm.language import UNDETERMINED, identify
@@ -17,6 +17,8 @@ from tessera.llm.sharding import assign_shards
 from tessera.llm.text_queries import vocabulary
 from tessera.session import share_package
 
+#: Score from which a predicted language fills an empty one.
+SURE = 0.95
 #: Bytes of text in a shard.
 SHARD_LIMIT = 16 << 20
 #: A stage of this pipeline (language identification) has no SQL form.
@@ -24,9 +26,15 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determinable language (null, or no letter) go; not those with letters if nothing could be learned."""
+    """Documents without a determinable language (null, or no letter) go; not those with letters if nothing could be learned.
+
+    A null ``lang`` takes the prediction if its score is ``SURE`` or more.
+    """
     share_package(spark)
-    return identify(docs, vocabulary("piece_bpe_32k.model")).where((F.col("lang_pred") != UNDETERMINED) | F.col("text").rlike(r"\p{L}")).select(*docs.columns)
+    found = identify(docs, vocabulary("piece_bpe_32k.model"))
+    kept = found.where((F.col("lang_pred") != UNDETERMINED) | F.col("text").rlike(r"\p{L}"))
+    sure = F.when((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= SURE), F.col("lang_pred"))
+    return kept.withColumn("lang", F.coalesce("lang", sure)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +62,10 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchm
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written before the next stage reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each result written before the next stage reads it, and deleted when the one after is."""
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        discard(*done)
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
