@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import kernels as K
 from tessera.operators import vectors as V
 from tessera.operators.asof import asof_nearest
+from tessera.operators.clustering import mean_fits, polarity_templates
 from tessera.operators.smoothing import smooth_labels
 
 
@@ -56,20 +55,12 @@ def sampled_peaks(peaks: DataFrame, keys: list[str], *, most: int, seed: int, or
     return peaks.withColumn("__r", rank).where(F.col("__r") <= most).drop("__r")
 
 
-def group_model(patterns: DataFrame, k: int, *, seed: int, restarts: int = 8, pattern: str = "pattern") -> DataFrame:
-    """microstate, template: polarity-invariant templates of pooled, sampled peaks; the best of some seeded starts.
-
-    ``patterns`` must be bounded (see ``sampled_peaks``): one task reads them.
-    """
-
-    def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        matrix = K.unit_rows(np.stack(part[pattern].to_numpy()))
-        tries = [K.polarity_clusters(matrix, k, seed + i)[0] for i in range(restarts)]
-        best = max(tries, key=lambda t: float(np.abs(matrix @ t.T).max(axis=1).mean()))
-        return pd.DataFrame({"microstate": np.arange(len(best)), "template": [row.tolist() for row in best]})
-
-    pooled = patterns.select(F.lit(0).alias("pool"), pattern)
-    return K.grouped(pooled, ["pool"], "microstate long, template array<double>", kernel).drop("pool")
+def group_model(patterns: DataFrame, k: int, *, seed: int, restarts: int = 8, pattern: str = "pattern", keys: tuple[str, ...] = ("patient_id",), order: str = "sample") -> DataFrame:
+    """microstate, template: polarity-invariant templates of pooled peaks; the best of some seeded starts, fitted side by side."""
+    unit = patterns.select(*keys, order, V.unit_pattern(F.col(pattern).cast("array<double>")).alias("pattern"))
+    tries = polarity_templates(unit, k, [seed + i for i in range(restarts)], list(keys), order=order)
+    best = tries[int(np.argmax(mean_fits(unit, tries)))] if tries[0].size else tries[0]
+    return patterns.sparkSession.createDataFrame([(i, row.tolist()) for i, row in enumerate(best)], "microstate long, template array<double>")  # k rows
 
 
 def align_archetypes(topographies: DataFrame, labels: DataFrame, field_labels: DataFrame, assignments: DataFrame, keys: list[str], *, tolerance: float, state: str = "field_state") -> DataFrame:

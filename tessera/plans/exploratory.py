@@ -25,6 +25,7 @@ from tessera.operators import statistics as C
 from tessera.operators import topography as T
 from tessera.operators import vectors as V
 from tessera.operators.asof import asof_nearest
+from tessera.operators.clustering import archetypes as clustered
 from tessera.plans.workflows import KEY, group_statistics, state_coupling
 
 Tables = dict[str, DataFrame]
@@ -119,22 +120,13 @@ def peak_global_coupling(t: Tables, config: RunConfig) -> Tables:
 
 @_analysis("field-state-archetypes")
 def archetypes(t: Tables, config: RunConfig) -> Tables:
-    """Templates by region as oriented unit patterns, clustered over all patients (a few rows each)."""
+    """Templates by region as oriented unit patterns, clustered over all patients."""
     long = t["templates"].select(*KEY, F.col("field_state").alias("sample"), F.posexplode("pattern").alias("channel", "value")).withColumn("channel", F.col("channel").cast("long"))
     units = R.region_signals(long, t["mapping"], KEY)
     regions = units.select("region").distinct()
     grid = long.select(*KEY, "sample").distinct().crossJoin(F.broadcast(regions)).join(units, [*KEY, "sample", "region"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     projected = V.to_arrays(grid, KEY, channel="region").withColumn("pattern", V.oriented(V.unit_pattern(F.col("pattern")))).withColumnRenamed("sample", "field_state")
-    k, seed = config.field.n_states, config.seed
-
-    def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["patient_id", "field_state"])
-        made, assigned, likeness = K.group_archetypes(np.stack(part["pattern"].to_numpy()), part["patient_id"].to_numpy(), k, seed)
-        return pd.DataFrame({"patient_id": part["patient_id"].astype(str).to_numpy(), "field_state": part["field_state"].to_numpy(), "assigned_archetype": assigned, "assignment_similarity": likeness, "archetype": [made[i].tolist() for i in assigned]})
-
-    schema = "patient_id string, field_state long, assigned_archetype long, assignment_similarity double, archetype array<double>"
-    pooled = projected.withColumn("pool", F.lit(0))
-    found = K.grouped(pooled, ["pool"], schema, kernel).drop("pool")
+    found = clustered(projected, config.field.n_states, config.seed, KEY)
     support = found.groupBy("assigned_archetype").agg(F.countDistinct("patient_id").alias("n_subjects"), F.avg("assignment_similarity").alias("mean_similarity"), F.first("archetype").alias("archetype"))
     return {"projections": projected, "assignments": found.drop("archetype"), "archetypes": support.where(F.col("n_subjects") >= config.min_subjects)}
 
@@ -179,11 +171,23 @@ def run(name: str, tables: Tables, config: RunConfig) -> Tables:
         raise ValueError(f"{name} is none of {sorted(ANALYSES)}")
     out: Tables = {}
     for each in ANALYSES if name == "all" else (name,):
+        given = Needed(tables)
         try:
-            made = ANALYSES[each](tables, config)
-        except KeyError as missing:
+            made = ANALYSES[each](given, config)
+        except MissingTable as missing:
             if name != "all":
                 raise ValueError(f"{each} needs the table {missing}") from None
             continue
         out.update({f"{each}.{k}": v for k, v in made.items()})
     return out
+
+
+class MissingTable(LookupError):
+    """An analysis asked for a table that is not there."""
+
+
+class Needed(dict):
+    """Tables by name; only asking for one that is missing counts as such, not any other lookup that fails inside an analysis."""
+
+    def __missing__(self, name: str) -> DataFrame:
+        raise MissingTable(name)

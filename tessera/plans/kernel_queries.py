@@ -13,6 +13,7 @@ from tessera.operators import kernels as K
 from tessera.operators import sequence as S
 from tessera.operators import smoothing as Y
 from tessera.operators import vectors as V
+from tessera.operators.clustering import archetypes as clustered
 from tessera.plans.registry import register
 from tessera.plans.standins import SQL, aligned, effects, field, paired_labels, vectors
 from tessera.plans.vector_queries import labelled_transitions, regions
@@ -50,15 +51,8 @@ def smooth_short_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @register("group_archetype_assignment")
 def group_archetype_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """Templates of each patient to group archetypes: one group, of a few rows for each patient."""
-    templates = polarity_kmeans(spark, d).withColumn("space", F.lit("channel"))
-
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["patient_id", "field_state"])
-        _, assigned, similarity = K.group_archetypes(np.stack(rows["pattern"].to_numpy()), rows["patient_id"].to_numpy(), 4, 42)
-        return pd.DataFrame({"patient_id": rows["patient_id"].to_numpy(), "field_state": rows["field_state"].to_numpy(), "assigned_archetype": assigned, "assignment_similarity": similarity})
-
-    return K.grouped(templates, ["space"], "patient_id long, field_state long, assigned_archetype long, assignment_similarity double", kernel)
+    """Templates of each patient to group archetypes, clustered over all patients."""
+    return clustered(polarity_kmeans(spark, d), 4, 42, KEY).drop("archetype")
 
 
 @register("best_unique_assignment")

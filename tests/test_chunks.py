@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import chunks as C
+from tessera.operators import clustering as L
 from tessera.operators import gram as G
 from tessera.operators import kernels as K
 from tessera.operators import sequence as S
@@ -229,3 +230,50 @@ def test_awkward_lengths_are_padded():
     assert K.transform_length(45_000) == 45_000 and K.transform_length(1) == 1
     for n in (13, 44_983, 44_987):
         assert 2 * n <= K.transform_length(n) <= 2.7 * n + 4
+
+
+# ---- clustering
+
+
+def test_templates_of_all_tasks_equal_one_group(spark):
+    rng = np.random.default_rng(9)
+    centres = K.unit_rows(rng.normal(size=(4, 12)))
+    owners = np.sort(rng.integers(0, 5, 200))
+    patterns = K.unit_rows((centres[rng.integers(0, 4, 200)] + 0.35 * rng.normal(size=(200, 12))) * rng.choice([-1, 1], 200)[:, None])
+    df = spark.createDataFrame([(f"p{o}", i, p.tolist()) for i, (o, p) in enumerate(zip(owners, patterns, strict=True))], "patient_id string, sample long, pattern array<double>").repartition(5)
+    seeds = [42, 43, 1]
+    found = L.polarity_templates(df, 4, seeds, ["patient_id"], chunk=13)
+    for templates, seed in zip(found, seeds, strict=True):
+        assert np.allclose(templates, K.polarity_clusters(patterns, 4, seed)[0])
+    assert np.allclose(L.mean_fits(df, found), [np.abs(patterns @ t.T).max(axis=1).mean() for t in found])
+    assert np.allclose(L.polarity_templates(df, 1, [3], ["patient_id"])[0], K.polarity_clusters(patterns, 1, 3)[0])
+    rows = {r["sample"]: r["row"] for r in L.numbered(df, ["patient_id"], chunk=7).collect()}
+    assert rows == {i: i for i in range(200)}
+    assert L.polarity_templates(df.where("sample < 0"), 4, [1], ["patient_id"])[0].size == 0
+
+
+def test_archetypes_equal_one_group(spark):
+    rng = np.random.default_rng(10)
+    base = rng.normal(size=(4, 9))
+    patterns = K.unit_rows(np.concatenate([base + 0.3 * rng.normal(size=(4, 9)) for _ in range(7)]))
+    owners = np.repeat(np.arange(7), 4)
+    df = spark.createDataFrame([(int(o), i % 4, p.tolist()) for i, (o, p) in enumerate(zip(owners, patterns, strict=True))], "patient_id long, field_state long, pattern array<double>").repartition(3)
+    means, assigned, likeness = K.group_archetypes(patterns, owners, 4, 42)
+    got = L.archetypes(df, 4, 42, ["patient_id"]).orderBy("patient_id", "field_state").collect()
+    assert [r["assigned_archetype"] for r in got] == assigned.tolist() and np.allclose([r["assignment_similarity"] for r in got], likeness)
+    assert all(np.allclose(r["archetype"], means[r["assigned_archetype"]]) for r in got)
+
+
+def test_only_missing_tables_are_left_out(spark):
+    from tessera.functions.parameters import RunConfig
+    from tessera.plans import exploratory
+
+    assert exploratory.run("all", {}, RunConfig()) == {}
+    with pytest.raises(ValueError, match="needs the table"):
+        exploratory.run("field-state-archetypes", {}, RunConfig())
+    exploratory.ANALYSES["broken"] = lambda tables, config: {}["other"]
+    try:
+        with pytest.raises(KeyError):
+            exploratory.run("all", {}, RunConfig())
+    finally:
+        del exploratory.ANALYSES["broken"]
