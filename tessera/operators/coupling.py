@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.operators import kernels as K
 from tessera.operators import sequence as S
 from tessera.operators import statistics as C
+from tessera.operators.asof import asof_nearest
 
 _NULL = "observed_coupling double, null_mean_coupling double, effect_mean_diff double, p_perm double"
 
@@ -57,9 +58,14 @@ def peak_trajectory(trace: DataFrame, keys: list[str], *, value: str, peaks_of:
     return K.grouped(joined, keys, f"offset_samples long, n_events long, {_NULL}", kernel)
 
 
-def controlled_effects(aligned: DataFrame, keys: list[str], *, events: str, y: str, x: str = "gfp", samples: int = 5) -> DataFrame:
-    """``y`` from the transitions of a state on against before, at equal ``x``; ``aligned`` has a row for each sample."""
-    moves = S.transitions(aligned, keys, state=events).select(*keys, F.col("event_sec").alias("time_sec"), "from_state", "to_state")
-    at = moves.join(aligned.select(*keys, "time_sec", "sample"), [*keys, "time_sec"]).drop("time_sec")
+def controlled_effects(aligned: DataFrame, keys: list[str], *, events: str, y: str, x: str = "gfp", samples: int = 5, tolerance: float = 0.004, moves: DataFrame | None = None) -> DataFrame:
+    """``y`` from the transitions of a state on against before, at equal ``x``; ``aligned`` has a row for each sample.
+
+    Events are those of ``moves`` (event_sec, from_state, to_state), or of the aligned state itself; each is at its
+    nearest sample, which must be ``tolerance`` seconds away at most (half a sampling period and 2 ms at 250 Hz).
+    """
+    found = S.transitions(aligned, keys, state=events) if moves is None else moves
+    asked = found.select(*keys, F.col("event_sec").alias("time_sec"), "from_state", "to_state")
+    at = asof_nearest(asked, aligned.select(*keys, "time_sec", "sample"), keys, tolerance=tolerance).drop("time_sec")
     around = S.around_events(at, aligned.select(*keys, "sample", F.col(y).alias("y"), F.col(x).alias("x")), keys, before=samples, after=samples - 1)
     return C.event_adjusted_effect(around, [*keys, "from_state", "to_state"], y="y", x="x")

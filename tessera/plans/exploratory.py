@@ -3,7 +3,8 @@
 Tables: ``labels`` (patient_id, sample, time_sec, microstate, corr), ``power`` (patient_id, sample, time_sec, gfp),
 ``field_labels`` (patient_id, sample, time_sec, field_state), ``global_trace`` (patient_id, sample, time_sec,
 global_value), ``templates`` (patient_id, field_state, pattern), ``mapping`` (patient_id, channel, region),
-``topography`` (patient_id, sample, channel, value), ``assignments`` (patient_id, field_state, assigned_archetype).
+``topography`` (patient_id, sample, channel, value), ``assignments`` (patient_id, field_state, assigned_archetype),
+``eeg_templates`` (microstate, template).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from tessera.operators import topography as T
 from tessera.operators import vectors as V
 from tessera.operators.asof import asof_nearest
 from tessera.operators.clustering import archetypes as clustered
-from tessera.plans.workflows import KEY, group_statistics, state_coupling
+from tessera.plans.workflows import KEY, aligned_coupling, group_statistics, state_coupling
 
 Tables = dict[str, DataFrame]
 #: Lags of the fine grid in samples, seconds after an event, samples around events and peaks, and shifts.
@@ -64,7 +65,7 @@ def field_state_coupling(t: Tables, config: RunConfig) -> Tables:
 @_analysis("fine-lag-field-state-coupling")
 def fine_lag_coupling(t: Tables, config: RunConfig) -> Tables:
     effects = state_coupling(t["labels"], t["field_labels"], config, lags=LAGS)
-    group = O.with_means(group_statistics(effects, ["lag_samples"], config), effects, ["lag_samples"], {"observed_coupling": "mean_observed_coupling", "null_mean_coupling": "mean_null_mean_coupling"})
+    group = O.with_means(group_statistics(effects, ["lag_samples"], config), effects, ["lag_samples"], _COUPLING)
     return {"subject": effects, "peaks": C.lag_peak(effects, KEY, lag="lag_samples", effect="effect_mean_diff"), "group": group}
 
 
@@ -131,16 +132,56 @@ def archetypes(t: Tables, config: RunConfig) -> Tables:
     return {"projections": projected, "assignments": found.drop("archetype"), "archetypes": support.where(F.col("n_subjects") >= config.min_subjects)}
 
 
+_RESPONSE = ["from_state", "to_state", "response_kind", "response_state"]
+_COUPLING = {"observed_coupling": "mean_observed_coupling", "null_mean_coupling": "mean_null_mean_coupling"}
+
+
+def template_similarity(maps: DataFrame, templates: DataFrame) -> DataFrame:
+    """Absolute correlation of each conditioned map with each label template (a few rows, constants of the projection)."""
+    rows = sorted((int(r["microstate"]), r["template"]) for r in templates.select("microstate", "template").collect())  # a row for each state
+    scored = T.confidence(maps, np.array([t for _, t in rows], float), pattern="map")
+    pair = F.explode(F.arrays_zip(F.array(*(F.lit(k) for k, _ in rows)).alias("microstate"), F.col("scores").alias("similarity"))).alias("__p")
+    return scored.select(*KEY, "assigned_archetype", "n_samples", pair).select(*KEY, "assigned_archetype", "n_samples", F.col("__p.microstate").cast("long").alias("microstate"), "__p.similarity")
+
+
 @_analysis("archetype-conditioned-eeg-topography")
 def conditioned_topography(t: Tables, config: RunConfig) -> Tables:
+    """Labels and topographies under each archetype: maps, likeness to the label templates, preference, lags and switches, by subject and group.
+
+    Archetypes of fewer than ``min_subjects`` subjects are left out. ``eeg_templates``: microstate, template.
+    """
+    supported = t["assignments"].groupBy("assigned_archetype").agg(F.countDistinct("patient_id").alias("__n")).where(F.col("__n") >= config.min_subjects).select("assigned_archetype")
+    assignments = t["assignments"].join(supported, "assigned_archetype", "left_semi")
     maps = T.topography(t["topography"], KEY).join(t["labels"].select(*KEY, "sample", "time_sec"), [*KEY, "sample"]).drop("sample")
-    aligned = T.align_archetypes(t["labels"], maps, t["field_labels"].select(*KEY, "time_sec", "field_state"), t["assignments"], KEY, tolerance=config.tolerance_ms / 1000)
+    aligned = T.align_archetypes(t["labels"], maps, t["field_labels"].select(*KEY, "time_sec", "field_state"), assignments, KEY, tolerance=config.tolerance_ms / 1000)
     long = aligned.select(*KEY, "sample", "assigned_archetype", F.posexplode("map").alias("channel", "value"))
+    by, group = [*KEY, "assigned_archetype"], ["assigned_archetype", "microstate"]
+    subject_maps = V.mean_pattern(long, by)
+    likeness = template_similarity(subject_maps, t["eeg_templates"])
+    known = likeness.groupBy(*group).agg(F.countDistinct("patient_id").alias("n_subjects"), F.avg("similarity").alias("mean_similarity"), F.median("similarity").alias("median_similarity"), F.min("similarity").alias("min_similarity"))
     preference = C.preference(aligned, KEY, given="assigned_archetype", state="microstate")
+    shares = {"conditional_probability": "mean_conditional_probability", "baseline_probability": "mean_baseline_probability", "joint_samples": "mean_joint_samples", "n_samples": "mean_state_samples"}
+    period = S.sample_period(aligned, KEY)
+    lagged = aligned_coupling(aligned, period, config, state="assigned_archetype", lags=LAGS, surrogates=SURROGATES)
+    peaks = C.lag_peak(lagged, KEY, lag="lag_samples", effect="effect_mean_diff").join(period, KEY)
+    ms = lambda c: F.rint(F.col(c) * F.col("sample_period_sec") * 1000)
+    peaks = peaks.select(*KEY, "peak_lag_samples", ms("peak_lag_samples").alias("peak_lag_ms"), F.col("peak_effect").alias("peak_effect_mean_diff"), ms("peak_width_samples").alias("peak_width_ms"), "n_lags")
+    kinds = peaks.unpivot(KEY, ["peak_lag_ms", "peak_effect_mean_diff", "peak_width_ms"], "summary_kind", "summary_value")
+    states = t["field_labels"].join(assignments, [*KEY, "field_state"]).select(*KEY, "sample", "time_sec", "assigned_archetype")
+    switches = U.response_rates(states, t["labels"], KEY, event_state="assigned_archetype", state="microstate", window=WINDOW_SEC, surrogates=SURROGATES, seed=config.seed)
     return {
-        "subject_maps": V.mean_pattern(long, [*KEY, "assigned_archetype"]),
+        "subject_maps": subject_maps,
         "group_maps": V.mean_pattern(long, ["assigned_archetype"], min_subjects=config.min_subjects),
-        "preference": preference,
+        "subject_similarity": likeness,
+        "group_similarity": known.where(F.col("n_subjects") >= config.min_subjects),
+        "subject_preference": preference,
+        "group_preference": O.with_means(group_statistics(preference, group, config), preference, group, shares),
+        "subject_fine_lag": lagged,
+        "group_fine_lag": O.with_means(group_statistics(lagged, ["lag_ms"], config), lagged, ["lag_ms"], _COUPLING),
+        "subject_fine_lag_peaks": peaks,
+        "group_fine_lag_peak_summary": group_statistics(kinds, ["summary_kind"], config, value="summary_value"),
+        "subject_transition_effects": switches,
+        "group_transition_effects": group_statistics(switches, _RESPONSE, config),
     }
 
 

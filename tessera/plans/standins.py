@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Event types in the order of their state numbers.
@@ -13,12 +13,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _base(spark: SparkSession, sf_dir: str, patient: Column | None = None) -> DataFrame:
     events = read(spark, sf_dir, "events")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     state = F.array_position(F.array(*map(F.lit, STATES)), F.col("event_type")) - 1
     return events.select(
-        F.concat(F.lit("p"), F.col("user_id") % 10).alias("patient_id"),
+        (F.concat(F.lit("p"), F.col("user_id") % 10) if patient is None else patient).alias("patient_id"),
         "event_id",
         ((micros - F.lit(1704067200000000)) / F.lit(1e6)).alias("time_sec"),
         state.cast("long").alias("microstate"),
@@ -39,6 +39,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labels(_base(spark, sf_dir))
 
 
+def numbered_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as labels of the five patients of ``vectors``."""
+    return _labels(_base(spark, sf_dir, F.col("user_id") % 5))
+
+
 def paired_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of events with even ids only, for queries that also read ``field``: its rows are the others."""
     return _labels(_base(spark, sf_dir).where("event_id % 2 = 0"))

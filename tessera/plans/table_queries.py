@@ -14,10 +14,13 @@ from tessera.operators import sequence as S
 from tessera.operators import statistics as C
 from tessera.operators import topography as T
 from tessera.operators import vectors as V
+from tessera.operators.asof import asof_nearest
 from tessera.plans.registry import register
-from tessera.plans.standins import SQL, aligned, effects, field, labels, paired_labels, read, vectors
+from tessera.plans.standins import SQL, aligned, effects, field, numbered_labels, paired_labels, read, vectors
 
 KEY = ["patient_id"]
+#: Seconds within which a label takes a patient's nearest vector.
+DAY = 86_400.0
 
 
 def _round(df: DataFrame, digits: int, *names: str) -> DataFrame:
@@ -236,11 +239,11 @@ def waveform_display(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "segment_matrix",
-    SQL + ", s AS (SELECT sample, channel, avg(value) AS value FROM vec WHERE sample < 3 GROUP BY 1, 2), a AS (SELECT channel::varchar AS row_name, sample, value FROM s UNION ALL SELECT 'spatial_std_raw', sample, stddev_pop(value) FROM s GROUP BY sample UNION ALL SELECT 'rms_raw', sample, sqrt(avg(value * value)) FROM s GROUP BY sample) SELECT row_name, round(max(value) FILTER (sample = 0), 6) AS point_00000, round(max(value) FILTER (sample = 1), 6) AS point_00001, round(max(value) FILTER (sample = 2), 6) AS point_00002 FROM a GROUP BY 1",
+    SQL + ", s AS (SELECT sample % 3 AS sample, channel, avg(value) AS value FROM vec GROUP BY 1, 2), a AS (SELECT channel::varchar AS row_name, sample, value FROM s UNION ALL SELECT 'spatial_std_raw', sample, stddev_pop(value) FROM s GROUP BY sample UNION ALL SELECT 'rms_raw', sample, sqrt(avg(value * value)) FROM s GROUP BY sample) SELECT row_name, round(max(value) FILTER (sample = 0), 6) AS point_00000, round(max(value) FILTER (sample = 1), 6) AS point_00001, round(max(value) FILTER (sample = 2), 6) AS point_00002 FROM a GROUP BY 1",
 )
 def segment_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """A segment of three samples, averaged over patients: the segment's bounds are the feature's parameter."""
-    segment = vectors(spark, d).where("sample < 3").groupBy("sample", "channel").agg(F.avg("value").alias("value"))
+    """The mean course of all samples over a cycle of three, as a matrix."""
+    segment = vectors(spark, d).groupBy((F.col("sample") % 3).alias("sample"), "channel").agg(F.avg("value").alias("value"))
     return _round(O.segment_matrix(segment, [0, 1, 2]), 6, "point_00000", "point_00001", "point_00002")
 
 
@@ -367,10 +370,12 @@ def direct_state_coupling(spark: SparkSession, d: str) -> DataFrame:
     from tessera.plans.kernel_queries import pca_kmeans_states
 
     states = pca_kmeans_states(spark, d)
-    state = next(c for c in states.columns if c.endswith("state"))
-    own = labels(spark, d).select(F.substring("patient_id", 2, 9).cast("long").alias("patient_id"), "sample", "microstate")
-    pairs = own.join(states.select("patient_id", "sample", F.col(state).alias("direct_state")), ["patient_id", "sample"])
-
+    labelled = numbered_labels(spark, d)
+    last = labelled.groupBy("patient_id").agg(F.max("time_sec").alias("__t"))
+    size = states.groupBy("patient_id").agg(F.max("sample").alias("__n"))
+    # A patient's vectors are spread evenly over the time of its labels.
+    placed = states.join(last, "patient_id").join(size, "patient_id").select("patient_id", (F.col("sample") * F.col("__t") / F.greatest("__n", F.lit(1))).alias("time_sec"), F.col("seeg_state").alias("direct_state"))
+    pairs = asof_nearest(labelled.select("patient_id", "sample", "time_sec", "microstate"), placed, KEY, tolerance=DAY)
     return U.lagged(pairs, KEY, "microstate", "direct_state", lags=[0], surrogates=128, seed=42)
 
 

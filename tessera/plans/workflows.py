@@ -101,15 +101,19 @@ def state_coupling(labels: DataFrame, field_labels: DataFrame, config: RunConfig
     A patient's seed is the run's seed plus its rank among the patients.
     """
     aligned = asof_nearest(labels.select(*KEY, "sample", "time_sec", "microstate"), field_labels.select(*KEY, "time_sec", "field_state"), KEY, tolerance=config.tolerance_ms / 1000)
+    return aligned_coupling(aligned, S.sample_period(labels, KEY), config, lags=lags, surrogates=surrogates)
+
+
+def aligned_coupling(aligned: DataFrame, period: DataFrame, config: RunConfig, *, state: str = "field_state", lags: tuple[int, ...] = (0,), surrogates: int = 128) -> DataFrame:
+    """The coupling of two columns of an aligned table; ``period`` has each patient's sample period."""
     ranks = aligned.select(*KEY).distinct().withColumn("rank", F.dense_rank().over(Window.orderBy(*KEY)) - 1)  # a row for each patient
-    period = S.sample_period(labels, KEY)
 
     def couple(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("sample")
-        return K.shifted_coupling(rows["microstate"].to_numpy(), rows["field_state"].to_numpy(), list(lags), surrogates, config.seed + int(rows["rank"].iloc[0]))
+        return K.shifted_coupling(rows["microstate"].to_numpy(), rows[state].to_numpy(), list(lags), surrogates, config.seed + int(rows["rank"].iloc[0]))
 
     schema = "lag_samples long, n_samples long, observed_coupling double, null_mean_coupling double, effect_mean_diff double, p_perm double"
-    effects = K.grouped(aligned.join(F.broadcast(ranks), KEY), KEY, schema, couple)
+    effects = K.grouped(aligned.select(*KEY, "sample", "microstate", state).join(ranks, KEY), KEY, schema, couple)
     return effects.join(period, KEY).withColumn("lag_ms", F.rint(F.col("lag_samples") * F.col("sample_period_sec") * 1000).cast("long")).drop("sample_period_sec")
 
 
@@ -125,7 +129,7 @@ def group_statistics(effects: DataFrame, keys: list[str], config: RunConfig, *,
         rows = rows.sort_values("patient_id")
         return pd.DataFrame({"p_perm": [K.sign_flip_p(rows[value].to_numpy(), config.seed + int(rows["rank"].iloc[0]))]})
 
-    p = K.grouped(known.join(F.broadcast(ranks), keys).select(*keys, "patient_id", value, "rank"), keys, "p_perm double", flip)
+    p = K.grouped(known.join(ranks, keys).select(*keys, "patient_id", value, "rank"), keys, "p_perm double", flip)
     table = C.group_summary(known, keys, value=value, min_subjects=config.min_subjects).join(p, keys)
     return C.benjamini_hochberg(table.withColumn("__all", F.lit(1)), ["__all"], tie=keys).drop("__all")  # a row for each key
 

@@ -277,3 +277,22 @@ def test_only_missing_tables_are_left_out(spark):
             exploratory.run("all", {}, RunConfig())
     finally:
         del exploratory.ANALYSES["broken"]
+
+
+def test_direct_states_meet_all_labels(spark):
+    from tessera.plans import registry, table_queries
+
+    sf = "/root/testdata/sf0.001"
+    found = registry.queries()["direct_state_coupling"](spark, sf).toPandas()
+    assert len(found) == 5 and found.n_samples.sum() == spark.read.parquet(f"{sf}/events.parquet").count()
+    assert found.p_perm.between(1 / 129, 1).all() and found.observed_coupling.between(0, 1).all()
+    assert table_queries.DAY > 0
+
+
+def test_events_off_the_grid_take_the_nearest_sample(spark):
+    from tessera.operators import coupling as U
+
+    trace = spark.createDataFrame([("p", i, i * 0.004, float(i % 7), float(i >= 50)) for i in range(100)], "p string, sample long, time_sec double, gfp double, y double")
+    moves = spark.createDataFrame([("p", 50 * 0.004 + 0.0015, 1, 2), ("p", 10.0, 1, 2)], "p string, event_sec double, from_state long, to_state long")
+    one = U.controlled_effects(trace, ["p"], events="none", y="y", samples=5, moves=moves).collect()
+    assert len(one) == 1 and one[0]["n_samples"] == 10 and np.isclose(one[0]["effect_mean_diff"], 1.0, atol=0.2)

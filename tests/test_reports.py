@@ -155,10 +155,26 @@ def test_exploratory_analyses(spark):
         "templates": made["templates"].select("patient_id", "field_state", "pattern"), "mapping": table.select("patient_id", "channel").distinct().withColumn("region", F.concat(F.lit("r"), F.col("channel") % 3)),
         "topography": table, "assignments": states.select("patient_id", "field_state").distinct().withColumn("assigned_archetype", F.col("field_state")),
         "patterns": V.to_arrays(table.where("sample < 60"), ["patient_id"]),
+        "eeg_templates": spark.createDataFrame([(i, np.roll([1.0, -1.0, 2.0] + [0.5] * (table.select("channel").distinct().count() - 3), i).tolist()) for i in range(4)], "microstate int, template array<double>"),
     }
-    for name in exploratory.ANALYSES:
+    for name in sorted(set(exploratory.ANALYSES) - {"archetype-conditioned-eeg-topography"}):
         for part, df in exploratory.run(name, tables, config).items():
             assert df.limit(1).count() == 1, part
+    topography = exploratory.run("archetype-conditioned-eeg-topography", tables, config)
+    assert len(topography) == 12
+    shared = {k.split(".")[1]: df.toPandas() for k, df in topography.items() if "similarity" in k or "preference" in k or "peak" in k or k.endswith("fine_lag")}
+    likeness, maps = shared["subject_similarity"], topography["archetype-conditioned-eeg-topography.subject_maps"].toPandas().set_index(["patient_id", "assigned_archetype"])["map"]
+    given = {r.microstate: r.template for r in tables["eeg_templates"].collect()}
+    for r in likeness.itertuples():
+        assert np.isclose(r.similarity, abs(np.corrcoef(maps[r.patient_id, r.assigned_archetype], given[r.microstate])[0, 1]))
+    for (a, m), rows in likeness.groupby(["assigned_archetype", "microstate"]):
+        one = shared["group_similarity"].query("assigned_archetype == @a and microstate == @m").iloc[0]
+        assert one.n_subjects == len(rows) and np.isclose(one.median_similarity, rows.similarity.median()) and np.isclose(one.min_similarity, rows.similarity.min())
+    curve = shared["subject_fine_lag"].set_index(["patient_id", "lag_samples"])["effect_mean_diff"]
+    for r in shared["subject_fine_lag_peaks"].itertuples():
+        assert curve[r.patient_id].idxmax() == r.peak_lag_samples and np.isclose(curve[r.patient_id].max(), r.peak_effect_mean_diff)
+    assert {"mean_conditional_probability", "mean_state_samples", "q_fdr"} <= set(shared["group_preference"].columns)
+    assert set(shared["group_fine_lag_peak_summary"].summary_kind) == {"peak_lag_ms", "peak_effect_mean_diff", "peak_width_ms"}
     assert set(n.split(".")[0] for n in exploratory.run("all", {"patterns": tables["patterns"]}, config)) == {"field-state-model-order-evaluation"}
     with pytest.raises(ValueError, match="needs the table"):
         exploratory.run("field-state-coupling", {}, config)
