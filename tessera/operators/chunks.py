@@ -1,8 +1,7 @@
 """Ordered steps over long sequences in chunks: neighbours, running totals, runs, exact medians and separated groups.
 
-A sequence is cut into chunks of sample numbers. What a chunk needs of the others is one small row: its neighbours' edge
-rows (a halo), or the total of all chunks before it. Those rows join the chunk's own in one window, so no task sorts more than a
-chunk; only the summaries, a row for each chunk, are put in order over a whole sequence.
+A sequence is cut into chunks of sample numbers; no task sorts more than a chunk. What a chunk needs of the others is held by
+their edge rows or by one total: those few rows, one or two a chunk, are put in order over a whole sequence, apart from all others.
 """
 
 from __future__ import annotations
@@ -24,21 +23,26 @@ def _split(table: DataFrame, keys: list[str], order: str, chunk: int) -> DataFra
     return table.select(*keys, chunk_of(order, chunk).alias("__chunk"), F.lit(0).alias("__halo"), F.col(order).alias("__o"), F.struct(*table.columns).alias("__row"))
 
 
+def edge_window(keys: list[str], edge: Column, chunk: str, order: str):
+    """The window in which the edge rows of a key's chunks meet; other rows stay with their chunk."""
+    return Window.partitionBy(*keys, F.when(edge, F.lit(-1)).otherwise(F.pmod(F.col(chunk), F.lit(1 << 40)))).orderBy(order)
+
+
 def neighbours(table: DataFrame, keys: list[str], columns: list[str], *, order: str = "sample", chunk: int = CHUNK) -> DataFrame:
     """``table`` with ``<column>__before`` and ``<column>__after``: the values in the row before and behind by ``order``; null at the ends.
 
-    Order numbers may have gaps, and chunks may be empty. Rows that share one are neighbours in any order.
+    Order numbers may have gaps, and chunks may be empty. Rows that share one are neighbours in any order. The table
+    is read once: within chunks each row sees its neighbours; then the first and last rows of chunks see each other.
     """
-    rows = _split(table, keys, order, chunk)
-    edges = rows.groupBy(*keys, "__chunk").agg(F.min_by("__row", "__o").alias("__first"), F.max_by("__row", "__o").alias("__last"))
-    along = Window.partitionBy(*keys).orderBy("__chunk")
-    beside = edges.select(*keys, "__chunk", F.lag("__last").over(along).alias("__a"), F.lead("__first").over(along).alias("__b"))
-    halo = beside.select(*keys, "__chunk", F.explode(F.array(F.struct(F.lit(-1).alias("h"), F.col("__a").alias("r")), F.struct(F.lit(1).alias("h"), F.col("__b").alias("r")))).alias("__e")).where("__e.r IS NOT NULL")
-    halo = halo.select(*keys, "__chunk", F.col("__e.h").alias("__halo"), F.lit(None).cast(rows.schema["__o"].dataType).alias("__o"), F.col("__e.r").alias("__row"))
-    local = Window.partitionBy(*keys, "__chunk").orderBy("__halo", "__o")
-    beside = [f(F.col("__row").getField(c)).over(local).alias(f"{c}__{name}") for c in columns for f, name in ((F.lag, "before"), (F.lead, "after"))]
-    held = rows.unionByName(halo).select("__halo", "__row", *beside)
-    return held.where("__halo = 0").select("__row.*", *(f"`{c}__{name}`" for c in columns for name in ("before", "after")))
+    local = Window.partitionBy(*keys, "__chunk").orderBy("__o")
+    place = table.withColumns({"__chunk": chunk_of(order, chunk), "__o": F.col(order), "__v": F.struct(*(F.col(c).alias(f"v{i}") for i, c in enumerate(columns)))})
+    inner = place.withColumns({"__a": F.lag("__v").over(local), "__b": F.lead("__v").over(local)})
+    first, last = F.col("__a").isNull(), F.col("__b").isNull()
+    across = edge_window(keys, first | last, "__chunk", "__o")
+    outer = inner.withColumns({"__c": F.lag("__v").over(across), "__d": F.lead("__v").over(across)})
+    before, after = F.when(first, F.col("__c")).otherwise(F.col("__a")), F.when(last, F.col("__d")).otherwise(F.col("__b"))
+    beside = [side.getField(f"v{i}").alias(f"{c}__{name}") for i, c in enumerate(columns) for side, name in ((before, "before"), (after, "after"))]
+    return outer.select(*table.columns, *beside)
 
 
 def running_total(table: DataFrame, keys: list[str], value: Column, name: str, *, order: str = "sample", chunk: int = CHUNK) -> DataFrame:

@@ -10,15 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.chunks import CHUNK, chunk_of, exact_median, neighbours
+from tessera.operators.chunks import CHUNK, chunk_of, edge_window, exact_median, neighbours
 
 
 def runs(labels: DataFrame, keys: list[str], *, state: str = "microstate", order: str = "sample", time: str = "time_sec", chunk: int = CHUNK) -> DataFrame:
     """Maximal runs of equal states: keys, run_id (0-based), state, start_sample, n_samples, start_sec, end_sec.
 
     ``order`` should be dense within a key for ``end_sec`` and chunks to mean what they say; null states are a state.
-    Runs are found within chunks; a summary of each chunk (its first and last state, its number of runs) then tells how
-    many runs begin before it and whether its first one continues another.
+    Runs are found within chunks; the first and last ones of all chunks then tell how many runs begin before a chunk
+    and whether its first one continues another.
     """
     cut = labels.select(*keys, F.col(order).alias("__o"), F.col(time).alias("__t"), F.col(state).alias("__s"), chunk_of(order, chunk).alias("__chunk"))
     local = Window.partitionBy(*keys, "__chunk").orderBy("__o")
@@ -29,14 +29,17 @@ def runs(labels: DataFrame, keys: list[str], *, state: str = "microstate", order
         .groupBy(*keys, "__chunk", "__p")
         .agg(F.first("__s").alias("__s"), F.min("__o").alias("__o"), F.count("*").alias("__n"), F.min("__t").alias("__t0"), F.max("__t").alias("__t1"))
     )
-    edges = pieces.groupBy(*keys, "__chunk").agg(F.min_by("__s", "__p").alias("__first"), F.max_by("__s", "__p").alias("__last"), F.max("__p").alias("__m"))
-    along = Window.partitionBy(*keys).orderBy("__chunk")
-    before = F.coalesce(F.sum("__m").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = (F.lag("__m").over(along).isNotNull() & F.col("__first").eqNullSafe(F.lag("__last").over(along))).cast("long")
-    offsets = edges.select(*keys, "__chunk", before.alias("__before"), joined.alias("__joined")).select(*keys, "__chunk", (F.col("__before") - F.sum("__joined").over(along)).alias("__offset"))
-    blank = [F.lit(None).cast(pieces.schema[c].dataType).alias(c) for c in ("__p", "__s", "__o", "__n", "__t0", "__t1")]
-    both = pieces.withColumn("__offset", F.lit(None).cast("long")).unionByName(offsets.select(*keys, "__chunk", *blank, "__offset"))
-    numbered = both.withColumn("__offset", F.max("__offset").over(Window.partitionBy(*keys, "__chunk"))).where("__p IS NOT NULL")
+    whole = Window.partitionBy(*keys, "__chunk")
+    sized = pieces.withColumn("__m", F.max("__p").over(whole))
+    head, tail = F.col("__p") == 1, F.col("__p") == F.col("__m")
+    across = edge_window(keys, head | tail, "__chunk", "__o")
+    # Only rows of the edge window count: the first piece of a chunk may continue the last one of the chunk before.
+    joined = F.when(head & F.lag("__m").over(across).isNotNull() & F.col("__s").eqNullSafe(F.lag("__s").over(across)), 1).otherwise(0)
+    placed = sized.withColumn("__joined", joined)
+    begun = F.when(tail, F.col("__m")).otherwise(0) - F.col("__joined")
+    before = F.coalesce(F.sum(begun).over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.withColumn("__offset", F.when(head, before - F.col("__joined")))
+    numbered = placed.withColumn("__offset", F.max("__offset").over(whole))
     return (
         numbered.withColumn("run_id", F.col("__offset") + F.col("__p") - 1)
         .groupBy(*keys, "run_id")

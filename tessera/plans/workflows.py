@@ -123,14 +123,18 @@ def group_statistics(effects: DataFrame, keys: list[str], config: RunConfig, *,
     Seeds count all keys, also those that the support rule drops; q is computed on those that stay.
     """
     known = effects.where(F.col(value).isNotNull()).dropna(subset=keys)
-    ranks = known.select(*keys).distinct().withColumn("rank", F.dense_rank().over(Window.orderBy(*keys)) - 1)  # a row for each key
-
-    def flip(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("patient_id")
-        return pd.DataFrame({"p_perm": [K.sign_flip_p(rows[value].to_numpy(), config.seed + int(rows["rank"].iloc[0]))]})
-
-    p = K.grouped(known.join(ranks, keys).select(*keys, "patient_id", value, "rank"), keys, "p_perm double", flip)
-    table = C.group_summary(known, keys, value=value, min_subjects=config.min_subjects).join(p, keys)
+    each = known.groupBy(*keys).agg(
+        F.count("*").alias("n_subjects"), F.avg(value).alias("mean_effect"), F.median(value).alias("median_effect"), F.array_sort(F.collect_list(F.struct("patient_id", F.col(value).cast("double").alias("v")))).alias("__v")
+    )  # a value for each subject
+    ranked = each.withColumn("__rank", F.dense_rank().over(Window.orderBy(*keys)) - 1)  # a row for each key
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.drop("__v", "__rank").schema)
+
+    def flip(parts):
+        for part in parts:
+            p = [K.sign_flip_p(np.array([x["v"] for x in v], float), config.seed + int(r)) for v, r in zip(part["__v"], part["__rank"], strict=True)]
+            yield part.drop(columns=["__v", "__rank"]).assign(p_perm=np.array(p, float))
+
+    table = ranked.repartition(*keys).mapInPandas(flip, f"{head}, p_perm double").where(F.col("n_subjects") >= config.min_subjects)
     return C.benjamini_hochberg(table.withColumn("__all", F.lit(1)), ["__all"], tie=keys).drop("__all")  # a row for each key
 
 

@@ -72,15 +72,16 @@ def test_runs_and_period(sequence, chunk):
         assert np.isclose(period[None if pd.isna(p) else p], np.median(steps) if len(steps) else 0.0)
 
 
-def test_no_window_covers_a_sequence(sequence):
-    """Only summaries, a row for each chunk, are ordered over a whole key."""
-    for table in (S.switch_indicator(sequence, KEY, state="state"), S.local_maxima(sequence, KEY, value="v")):
+def test_a_task_sorts_a_chunk_or_edges(sequence):
+    """The table is read once, and every window is partitioned by more than the key."""
+    for table in (S.switch_indicator(sequence, KEY, state="state"), S.local_maxima(sequence, KEY, value="v"), C.neighbours(sequence, KEY, ["v"], chunk=50)):
         plan = table._jdf.queryExecution().optimizedPlan().toString()
-        windows = [line for line in plan.splitlines() if " Window [" in line]
-        assert windows and all("__chunk" in line.split("windowspecdefinition", 1)[1] for line in windows)
+        windows = [line.split("], [")[1] for line in plan.splitlines() if "Window [" in line]
+        assert len(windows) == 2 and all("," in part for part in windows)
+        assert plan.count("InMemoryRelation") == 1
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=12, deadline=None)
 @given(st.lists(st.sampled_from([0.0, 0.004, 0.004, 0.008, 1.0, 3600.0]), min_size=1, max_size=40))
 def test_exact_median(spark, values):
     table = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
