@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import kernels as K
 from tessera.operators import vectors as V
 from tessera.operators.asof import asof_nearest
 from tessera.operators.clustering import mean_fits, polarity_templates
-from tessera.operators.smoothing import smooth_labels
 
 
 def topography(signals: DataFrame, keys: list[str], *, order: str = "sample") -> DataFrame:
@@ -38,15 +39,19 @@ def confidence(samples: DataFrame, templates: np.ndarray, *, pattern: str = "pat
 def label_fixed(samples: DataFrame, templates: np.ndarray, keys: list[str], *, least: int, order: str = "sample", pattern: str = "pattern", time: str = "time_sec") -> DataFrame:
     """keys, sample, time, microstate, corr: the best template of each sample, after runs shorter than ``least`` were smoothed."""
     scored = confidence(samples, templates, pattern=pattern).select(*keys, order, time, "scores")
-    return smoothed_labels(scored, keys, least=least, n_labels=len(templates), order=order, time=time)
+    return smoothed_labels(scored, keys, least=least, order=order, time=time)
 
 
-def smoothed_labels(scored: DataFrame, keys: list[str], *, least: int, n_labels: int, order: str = "sample", time: str = "time_sec") -> DataFrame:
-    """Labels from a column of at most ``n_labels`` scores, the highest first, with short runs smoothed (see ``smoothing``)."""
-    first = (F.array_position("scores", F.array_max("scores")) - 1).cast("long")
-    labelled = scored.select(*keys, F.col(order).cast("long").alias(order), F.col(time).cast("double").alias(time), "scores", first.alias("microstate"))
-    smooth = smooth_labels(labelled, keys, label="microstate", scores="scores", n_labels=n_labels, least=least, order=order)
-    return smooth.select(*keys, order, time, "microstate", F.get("scores", F.col("microstate").cast("int")).alias("corr"))
+def smoothed_labels(scored: DataFrame, keys: list[str], *, least: int, order: str = "sample", time: str = "time_sec") -> DataFrame:
+    """Labels from a column of scores; smoothing reads the scores of one recording in order (``smoothing.smooth_labels`` reads runs of any length)."""
+
+    def kernel(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        scores = np.stack(part["scores"].to_numpy())
+        labels = K.smooth_runs(scores.argmax(axis=1), scores, least)
+        return pd.DataFrame({order: part[order].to_numpy(), time: part[time].to_numpy(), "microstate": labels, "corr": scores[np.arange(len(labels)), labels]})
+
+    return K.grouped(scored, keys, f"{order} long, {time} double, microstate long, corr double", kernel)
 
 
 def sampled_peaks(peaks: DataFrame, keys: list[str], *, most: int, seed: int, order: str = "sample") -> DataFrame:
