@@ -8,6 +8,7 @@ import re
 from dataclasses import asdict, dataclass
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,8 +64,13 @@ def coordinates(text: Column) -> Column:
 
 
 def shown_number(value: Column, digits: int = 3) -> Column:
-    """A number as text with so many decimals; null: NA."""
-    return F.when(value.isNull(), F.lit("NA")).otherwise(F.format_string(f"%.{digits}f", value))
+    """A number as text with so many decimals, rounded by its exact binary value as in C (Java's formats round its shortest text, half up); null: NA."""
+
+    @F.pandas_udf("string")
+    def show(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: f"{v:.{digits}f}")
+
+    return F.when(value.isNull(), F.lit("NA")).otherwise(show(value.cast("double")))
 
 
 def shown_p(value: Column, digits: int = 3) -> Column:

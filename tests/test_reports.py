@@ -45,6 +45,15 @@ def test_labels_and_shown_values(spark):
     assert (got.l, tuple(got.c), got.p, got.n) == ("A", (1.5, None, 3.0), "<0.001", "NA")
 
 
+def test_shown_numbers_round_by_binary_value(spark):
+    values = [0.0045, 0.0055, 0.0095, 0.0625, 1.0005, -0.0004, 1e22, float("inf"), float("nan"), None]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", P.shown_number(F.col("v")).alias("shown"), P.shown_p(F.abs("v")).alias("p")).orderBy("i").collect()
+    con = duckdb.connect()
+    shown = [con.execute("select printf('%.3f', ?::double)", [v]).fetchone()[0] for v in values[:-1]]
+    assert [r.shown for r in rows] == [*shown, "NA"]
+    assert [r.p for r in rows[:3]] == ["0.004", "0.005", "0.009"]
+
+
 NAMES = [n for n in registry.oracle_sql() if registry.queries()[n].__module__ == table_queries.__name__]
 
 
