@@ -270,9 +270,10 @@ def pearson_lag_guarded(spark: SparkSession, d: str) -> DataFrame:
 _PEAKS = ", pk AS (SELECT patient_id, sample FROM (SELECT *, lag(gfp) OVER w AS p, lead(gfp) OVER w AS q FROM ali WINDOW w AS (PARTITION BY patient_id ORDER BY sample)) WHERE gfp > p AND gfp > q)"
 
 
-@register("local_maxima", SQL + _PEAKS.replace("FROM ali", "FROM fld") + " SELECT * FROM pk")
+@register("local_maxima", SQL + _PEAKS.replace("FROM ali", "FROM lab").replace("gfp", "corr") + " SELECT * FROM pk")
 def local_maxima(spark: SparkSession, d: str) -> DataFrame:
-    return S.local_maxima(field(spark, d), KEY, value="gfp").select("patient_id", "sample")
+    """Peaks of the values of all events."""
+    return S.local_maxima(labels(spark, d), KEY, value="corr").select("patient_id", "sample")
 
 
 @register(

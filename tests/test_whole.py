@@ -84,3 +84,12 @@ def test_both_strata_and_all_aliases(spark):
     found = run(spark, "stratified_delta", sf)
     assert rows(found) == rows(want) and set(found.stratum) == {0, 1}
     assert rows(run(spark, "subject_alias", sf)) == rows(con.execute(registry.oracle_sql()["subject_alias"].replace(" WHERE c_nationkey = 3", "")).df())
+
+
+def test_local_maxima_of_all_events(spark):
+    con = duckdb.connect()
+    want = con.execute(
+        f"""WITH e AS (SELECT 'p' || (user_id % 10) AS patient_id, row_number() OVER w - 1 AS sample, value, lag(value) OVER w AS before, lead(value) OVER w AS after
+        FROM '{SF}/events.parquet' WINDOW w AS (PARTITION BY user_id % 10 ORDER BY ts, event_id)) SELECT patient_id, sample FROM e WHERE value > before AND value > after"""
+    ).df()
+    assert len(want) > 0 and rows(run(spark, "local_maxima")) == rows(want)
