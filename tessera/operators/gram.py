@@ -138,3 +138,34 @@ def phase_connectivity(signals: DataFrame, keys: list[str], *, series: str = "ch
     total = each.groupBy(*keys, F.col("__a").alias("region_a"), F.col("__b").alias("region_b")).agg(*(F.sum(c).alias(c) for c in ("n", "pr", "pi", "s", "t")))
     plv = F.sqrt(F.col("pr") ** 2 + F.col("pi") ** 2) / F.col("n")
     return total.select(*keys, "region_a", "region_b", F.col("n").alias("n_samples"), plv.alias("plv"), F.when(F.col("t") > 0, F.abs("s") / F.col("t")).otherwise(F.lit(0.0)).alias("wpli"))
+
+
+def component_scores(patterns: DataFrame, keys: list[str], n: int, *, order: str = "sample", pattern: str = "pattern", chunk: int = CHUNK_SAMPLES) -> DataFrame:
+    """keys, order, scores: ``kernels.principal_components`` of all patterns of a key, from sums over chunks and a projection."""
+    from tessera.operators.vectors import dot  # which imports this module
+
+    def sums(part: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.stack(part[pattern].to_numpy()).astype(float)
+        mean = matrix.mean(axis=0)
+        centred = matrix - mean
+        return pd.DataFrame({"n": [len(matrix)], "mean": [mean], "product": [(centred.T @ centred).ravel()]})
+
+    def axes(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__chunk")
+        size, means = part["n"].to_numpy(), np.stack(part["mean"].to_numpy())
+        mean = size @ means / size.sum()
+        apart = means - mean
+        covariance = (np.stack(part["product"].to_numpy()).sum(axis=0).reshape(len(mean), -1) + (apart * size[:, None]).T @ apart) / size.sum()
+        spread = np.sqrt(covariance.diagonal())
+        spread = np.where(spread > 1e-12 * np.abs(mean), spread, np.inf)  # a constant channel has no part
+        _, v = np.linalg.eigh(covariance / np.outer(spread, spread))
+        v = v.T[::-1][: min(n, size.sum())]
+        sign = np.where(v[np.arange(len(v)), np.abs(v).argmax(axis=1)] < 0, -1.0, 1.0)
+        return pd.DataFrame({"__mean": [mean], "__axes": [list(v * sign[:, None] / spread)]})
+
+    parts = grouped(patterns.select(*keys, chunk_of(order, chunk).alias("__chunk"), pattern), [*keys, "__chunk"], "n long, mean array<double>, product array<double>", sums)
+    found = grouped(parts, keys, "__mean array<double>, __axes array<array<double>>", axes)
+    found = found.select(*(F.col(k).alias(f"__k_{k}") for k in keys), "__mean", "__axes")
+    joined = patterns.join(found, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    centred = F.zip_with(pattern, "__mean", lambda x, m: x - m)
+    return joined.select(*keys, order, centred.alias("__c"), "__axes").select(*keys, order, F.transform("__axes", lambda a: dot(a, F.col("__c"))).alias("scores"))

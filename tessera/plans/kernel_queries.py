@@ -96,10 +96,10 @@ def model_order_subject(spark: SparkSession, d: str) -> DataFrame:
 def pca_kmeans_states(spark: SparkSession, d: str) -> DataFrame:
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("sample")
-        scores = K.principal_components(_matrix(rows), 3)
+        scores = np.stack(rows["scores"].to_numpy())
         return pd.DataFrame({"sample": rows["sample"].to_numpy(), "seeg_state": K.euclidean_clusters(scores, 4, 42), "component_1": scores[:, 0]})
 
-    return K.grouped(_patterns(spark, d), KEY, "sample long, seeg_state long, component_1 double", kernel)
+    return K.grouped(M.component_scores(_patterns(spark, d), KEY, 3), KEY, "sample long, seeg_state long, component_1 double", kernel)
 
 
 #: The imaginary part of the analytic signal of each channel: a circular convolution with the transform's kernel.

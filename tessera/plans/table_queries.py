@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import parameters as P
@@ -369,14 +369,13 @@ def direct_state_coupling(spark: SparkSession, d: str) -> DataFrame:
     """Mutual information of labels and directly clustered states, against 128 circular shifts."""
     from tessera.plans.kernel_queries import pca_kmeans_states
 
-    states = pca_kmeans_states(spark, d)
+    states = pca_kmeans_states(spark, d).withColumn("__n", F.max("sample").over(Window.partitionBy("patient_id")))
     labelled = numbered_labels(spark, d)
     last = labelled.groupBy("patient_id").agg(F.max("time_sec").alias("__t"))
-    size = states.groupBy("patient_id").agg(F.max("sample").alias("__n"))
     # A patient's vectors are spread evenly over the time of its labels.
-    placed = states.join(last, "patient_id").join(size, "patient_id").select("patient_id", (F.col("sample") * F.col("__t") / F.greatest("__n", F.lit(1))).alias("time_sec"), F.col("seeg_state").alias("direct_state"))
-    pairs = asof_nearest(labelled.select("patient_id", "sample", "time_sec", "microstate"), placed, KEY, tolerance=DAY)
-    return U.lagged(pairs, KEY, "microstate", "direct_state", lags=[0], surrogates=128, seed=42)
+    placed = states.join(last, "patient_id").select("patient_id", (F.col("sample") * F.col("__t") / F.greatest("__n", F.lit(1))).alias("time_sec"), F.col("seeg_state").alias("direct_state"))
+    pairs = asof_nearest(labelled.select("patient_id", "sample", "time_sec", "microstate"), placed, KEY, tolerance=DAY, bucket=1)
+    return U.shifted_information(pairs, KEY, "microstate", "direct_state", surrogates=128, seed=42)
 
 
 @register("paired_tests")

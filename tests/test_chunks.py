@@ -290,6 +290,52 @@ def test_direct_states_meet_all_labels(spark):
     assert table_queries.DAY > 0
 
 
+@pytest.mark.parametrize("chunk", [100, 10**6])
+def test_shifted_information_of_chunks(spark, chunk):
+    """Two chunks of codes in a task give what a whole sequence in one does; sample numbers have gaps, keys and states may be null."""
+    from tessera.operators import coupling as U
+
+    rng = np.random.default_rng(3)
+    rows = [(p, int(s), None if rng.random() < 0.05 else int(rng.integers(-1, 3)), int(rng.integers(0, 300))) for p, n in (("a", 257), (None, 90), ("two", 2), ("one", 1)) for s in rng.choice(900, n, replace=False)]
+    pairs = spark.createDataFrame(rows, "p string, sample long, x long, y long").repartition(3)
+    want = U.lagged(pairs, KEY, "x", "y", lags=[0], surrogates=40, seed=5).toPandas()
+    found = U.shifted_information(pairs, KEY, "x", "y", surrogates=40, seed=5, chunk=chunk).toPandas()
+    order = lambda df: df.sort_values("n_samples").reset_index(drop=True)
+    assert len(want) == 3
+    pd.testing.assert_frame_equal(order(found), order(want), check_exact=True)
+
+
+def test_direct_states_are_coupled_by_chunks(spark, monkeypatch):
+    """The query brings no sequence whole to a kernel: with small chunks each kernel sees a chunk of samples at most."""
+    from tessera.operators import coupling as U
+    from tessera.plans import registry
+
+    sf, grouped, seen = "/root/testdata/sf0.001", K.grouped, []
+
+    def watched(table, keys, schema, kernel):
+        seen.append((tuple(keys), tuple(table.columns)))
+        return grouped(table, keys, schema, kernel)
+
+    monkeypatch.setattr(K, "grouped", watched)
+    monkeypatch.setattr(U.shifted_information, "__kwdefaults__", {**U.shifted_information.__kwdefaults__, "chunk": 50})
+    found = registry.queries()["direct_state_coupling"](spark, sf)
+    assert not any(keys == ("patient_id",) and {"microstate", "pattern"} & set(columns) for keys, columns in seen)
+    monkeypatch.undo()
+    want = registry.queries()["direct_state_coupling"](spark, sf).toPandas()
+    pd.testing.assert_frame_equal(found.toPandas().sort_values("patient_id", ignore_index=True), want.sort_values("patient_id", ignore_index=True))
+
+
+def test_component_scores_of_chunks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(p, i, [*rng.normal(size=5).tolist(), 0.1]) for p, n in (("a", 70), (None, 40), ("few", 2)) for i in range(n)]
+    table = spark.createDataFrame(rows, "p string, sample long, pattern array<double>").repartition(3)
+    found = G.component_scores(table, KEY, 3, chunk=16).toPandas()
+    for p, n in (("a", 70), (None, 40), ("few", 2)):
+        part = found[found.p.isna() if p is None else found.p == p].sort_values("sample")
+        want = K.principal_components(np.array([m[:5] for q, _, m in rows if q == p]), 3)
+        assert len(part) == n and np.allclose(np.stack(part["scores"].to_numpy()), want, atol=1e-7)
+
+
 def test_events_off_the_grid_take_the_nearest_sample(spark):
     from tessera.operators import coupling as U
 
