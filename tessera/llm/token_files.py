@@ -34,6 +34,7 @@ from itertools import chain, islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ from tessera.llm.token_counts import byte_alphabet
 #: Ids of a file, where that gives as many files as the session has shuffle partitions, and ids of a segment.
 FILE_IDS, SEGMENT = 1 << 22, 1 << 20
 #: Bytes of text that are encoded at once, and pieces that a worker remembers.
-BATCH_BYTES, REMEMBERED = 2 << 20, 500_000
+BATCH_BYTES, REMEMBERED = 4 << 20, 500_000
 MAGIC = b"TOKENS01"
 
 #: Characters that are letters, digits, white space, or none of these in every version of the Unicode tables.
@@ -57,6 +58,10 @@ PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}
 #: Before a space that no white space precedes.
 BREAK = re.compile(r"(?<=\S)(?= )")
 
+#: White space of any kind; parts that white space bounds, or with characters that the pattern above leaves out; in RE2's notation.
+SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+RARE = f"^$|^[{SPACE}]|[{SPACE}]$|[^{_LETTER}0-9{_MARK}{_BLANK}]"
+
 #: Lengths of the four ranks of a control byte.
 LENGTHS = np.array([[1 + (c >> 2 * j & 3) for j in range(4)] for c in range(256)], np.int64)
 
@@ -100,6 +105,8 @@ class Encoder:
         plain = all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
         self.cuts = model["type"] == "BPE" and not model.get("dropout") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"] and plain
         self.special = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
+        #: Texts that can't be split at each space.
+        self.alone = "|".join([f"[{SPACE}] ", *(re.escape(t["content"]) for t in added)])
         self.letters = {b: c for c, b in byte_alphabet().items()}
         self.forget()
 
@@ -140,28 +147,63 @@ class Encoder:
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
         """The library's ids of each piece: of its model alone where the cut is made."""
-        tokenize = self.library.model.tokenize
-        out = [None if p[0] == "\0" else [t.id for t in tokenize(p.encode().decode("latin-1").translate(self.letters))] for p in pieces]
+        tokenize, letters = self.library.model.tokenize, self.letters
+        # Printable ASCII but the space stands for itself.
+        spelled = [p.replace(" ", letters[32]) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters) for p in pieces]
+        out = [None if p[0] == "\0" else [t.id for t in tokenize(q)] for p, q in zip(pieces, spelled, strict=True)]
         whole = [i for i, ids in enumerate(out) if ids is None]
         if whole:
             for i, e in zip(whole, self.library.encode_batch_fast([pieces[i][1:] for i in whole], add_special_tokens=False), strict=True):
                 out[i] = e.ids
         return out
 
+    def met(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the pieces of all texts end to end, and how many each text has.
+
+        Most texts are split at each space; what stands between them is cut once, with the space before it. The first
+        part of a text has none, and texts with white space before a space or added tokens are cut by themselves.
+        """
+        column = pa.array([t or "" for t in texts], pa.large_string())
+        alone = pc.match_substring_regex(column, self.alone).to_numpy(zero_copy_only=False) if self.cuts else np.ones(len(texts), bool)
+        split = pc.split_pattern(column.filter(pa.array(~alone)), " ")
+        words = split.flatten().dictionary_encode()
+        rare = pc.match_substring_regex(words.dictionary, RARE).to_numpy(zero_copy_only=False)
+        names, codes = words.dictionary.to_numpy(zero_copy_only=False), words.indices.to_numpy()
+        parts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        heads = np.cumsum(parts) - parts
+
+        # Units: those of common characters, cut in one go (only their first pieces start with a space), then all others.
+        pieces = PIECE.findall(" " + " ".join(names[~rare].tolist())) if not rare.all() else []
+        opens = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))
+        others = [self.common(" " + n) for n in names[rare].tolist()]
+        others += [self.common(names[c]) for c in codes[heads].tolist()]
+        others += [self.cut(texts[i]) if texts[i] else [] for i in np.flatnonzero(alone).tolist()]
+        size = np.concatenate([np.diff(opens, append=len(pieces)), np.array(list(map(len, others)), np.int64)])
+        pieces += chain.from_iterable(others)
+        numbers = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+
+        # Which units each text has.
+        unit = np.empty(len(names), np.int64)
+        unit[~rare], unit[rare] = np.arange((~rare).sum()), (~rare).sum() + np.arange(rare.sum())
+        many = np.ones(len(texts), np.int64)
+        many[~alone] = parts
+        first = np.cumsum(many) - many
+        units = np.empty(int(many.sum()), np.int64)
+        units[ranges(first[~alone], parts)] = unit[codes]
+        units[first[~alone]] = len(names) + np.arange(len(parts))
+        units[first[alone]] = len(names) + len(parts) + np.arange(alone.sum())
+        upto = np.append(0, np.cumsum(size[units]))
+        return numbers[ranges((np.cumsum(size) - size)[units], size[units])], upto[first + many] - upto[first]
+
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and their numbers."""
         if len(self.pieces) > REMEMBERED:
             self.keep_frequent()
-        met, sizes = [], []
-        for t in texts:
-            found = self.cut(t) if t else []
-            met += map(self.pieces.__getitem__, found)
-            sizes.append(len(found))
+        met, sizes = self.met(texts)
         known = len(self.lists.size)
         fresh = list(islice(self.pieces, known, None))
         for k in range(0, len(fresh), 1000):
             self.lists.add(self.encode(fresh[k : k + 1000]))
-        met = np.fromiter(met, np.int64, len(met))
         self.uses = np.bincount(met, minlength=len(self.pieces)) + np.pad(self.uses, (0, len(fresh)))
         ids, each = self.lists.get(met)
         upto = np.concatenate([[0], np.cumsum(each)])

@@ -151,6 +151,18 @@ def test_encoder_equals_the_library(name):
         assert size.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
+def test_encoder_cuts_a_word_once(monkeypatch):
+    """Common words of a batch reach the pattern once, whatever their number; texts that can't be split at spaces are cut whole."""
+    own, library = Encoder(vocabulary("byte_bpe_50k.json")), Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    texts = ["alpha beta, 12's\n" * 3, " alpha beta ", "alpha  beta", "a\xa0 b", "beta\n gamma", "x ", " ", "\u2028", "é 中🙂 ½", "x<|endoftext|> y", "\0 \0a \x1c b", "a\x1c b", None] + ["alpha beta"] * 500
+    cut, pattern = [], token_files.PIECE
+    monkeypatch.setattr(token_files, "PIECE", type("Watched", (), {"findall": lambda self, t: cut.append(t) or pattern.findall(t)})())
+    ids, size = own(texts)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert size.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert sum(t.count("beta") for t in cut) < 20
+
+
 def test_encoder_forgets(monkeypatch):
     monkeypatch.setattr(token_files, "REMEMBERED", 10)
     own, library = Encoder(vocabulary("byte_bpe_50k.json")), Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
